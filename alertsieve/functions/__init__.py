@@ -1,0 +1 @@
+"""Column functions: probability vectors, sets, ticket fields, explanations."""

@@ -1,0 +1,6 @@
+"""Composed jobs and the registered queries with their SQL checks."""
+
+from alertsieve.plans import score_queries  # noqa: F401
+from alertsieve.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]

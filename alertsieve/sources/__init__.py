@@ -1,0 +1 @@
+"""Readers, writers and the tables derived from the input tables."""

@@ -1,0 +1,4 @@
+"""Nothing here keeps state: the column functions and threshold gates run unchanged on a stream.
+
+``tests/test_streaming.py`` shows it for gating and prediction sets.
+"""
