@@ -1,0 +1,98 @@
+"""Segmentation of one short signal; called per row on windows of bounded length."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def interval_costs(x: np.ndarray, model: str) -> np.ndarray:
+    """cost[a, b] of the segment a..b-1 for squared error (l2) or a Gaussian kernel (rbf)."""
+    n = len(x)
+    a, b = np.arange(n + 1)[:, None], np.arange(n + 1)[None, :]
+    size = np.maximum(b - a, 1)
+    if model == "l2":
+        s, q = np.concatenate([[0.0], np.cumsum(x)]), np.concatenate([[0.0], np.cumsum(x * x)])
+        return (q[None, :] - q[:, None]) - (s[None, :] - s[:, None]) ** 2 / size
+    d = (x[:, None] - x[None, :]) ** 2
+    med = np.median(d[np.triu_indices(n, 1)]) if n > 1 else 0.0
+    gram = np.exp(-np.clip(d / med if med > 0 else d, 1e-2, 1e2))
+    np.fill_diagonal(gram, 1.0)
+    p = np.zeros((n + 1, n + 1))
+    p[1:, 1:] = gram.cumsum(0).cumsum(1)
+    diag = np.diag(p)
+    block = diag[None, :] - p - p.T + diag[:, None]
+    return (b - a) - block / size
+
+
+def optimal_partition(cost: np.ndarray, penalty: float, min_size: int) -> list[int]:
+    """Change points with the least total cost plus penalty per segment."""
+    n = len(cost) - 1
+    best = np.full(n + 1, np.inf)
+    best[0] = -penalty
+    last = np.zeros(n + 1, dtype=int)
+    for t in range(min_size, n + 1):
+        s = np.arange(0, t - min_size + 1)
+        total = best[s] + cost[s, t] + penalty
+        last[t] = int(np.argmin(total))
+        best[t] = total[last[t]]
+    out, t = [], n
+    while t > 0 and np.isfinite(best[t]):
+        t = int(last[t])
+        if t > 0:
+            out.append(t)
+    return out[::-1]
+
+
+def best_splits(cost: np.ndarray, n_splits: int, min_size: int) -> list[int]:
+    """Binary segmentation: the split with the largest gain, again and again."""
+    edges = [0, len(cost) - 1]
+    for _ in range(n_splits):
+        top = (0.0, -1)
+        for a, b in zip(edges, edges[1:]):
+            c = np.arange(a + min_size, b - min_size + 1)
+            if len(c):
+                gain = cost[a, b] - cost[a, c] - cost[c, b]
+                i = int(np.argmax(gain))
+                if gain[i] > top[0]:
+                    top = (float(gain[i]), int(c[i]))
+        if top[1] < 0:
+            break
+        edges = sorted([*edges, top[1]])
+    return edges[1:-1]
+
+
+def window_peaks(cost: np.ndarray, width: int, penalty: float) -> list[int]:
+    """Points where splitting a centred window gains most in their neighbourhood and more than the penalty."""
+    n, h = len(cost) - 1, width // 2
+    t = np.arange(h, n - h + 1)
+    gain = cost[t - h, t + h] - cost[t - h, t] - cost[t, t + h]
+    out = []
+    for i, g in enumerate(gain):
+        near = gain[max(0, i - h) : i + h + 1]
+        if g > penalty and g >= near.max() and g > gain[max(0, i - h) : i].max(initial=-np.inf):
+            out.append(int(t[i]))
+    return out
+
+
+def segment(signal: Column, method: str = "pelt", model: str = "l2", penalty: float = 3.0, min_size: int = 5, n_splits: int = 5, width: int = 10) -> Column:
+    """Change points of an array<double> column, array<int>. The signal must be a bounded window."""
+
+    @F.pandas_udf("array<int>")
+    def run(s: pd.Series) -> pd.Series:
+        def one(v) -> list[int]:
+            x = np.asarray(v, dtype=float)
+            if len(x) < 2 * min_size:
+                return []
+            c = interval_costs(x, model)
+            if method == "pelt":
+                return optimal_partition(c, penalty, min_size)
+            if method == "binseg":
+                return best_splits(c, n_splits, min_size)
+            return window_peaks(c, width, penalty)
+
+        return s.map(one)
+
+    return run(signal)
