@@ -31,14 +31,14 @@ def _entropy_sum(n: Column, total: Column) -> Column:
 def external_quality(df: DataFrame, truth: str, cluster: str) -> DataFrame:
     """Homogeneity, completeness, V, adjusted Rand and NMI from the contingency table (one row)."""
     c = df.groupBy(truth, cluster).agg(F.count(F.lit(1)).alias("n"))
-    tot = c.agg(F.sum("n").cast("double").alias("N"), F.sum(F.col("n") * (F.col("n") - 1) / 2.0).alias("nij"), F.sum(F.col("n") * F.ln("n")).alias("nlogn"))
+    tot = c.agg(F.sum("n").cast("double").alias("total"), F.sum(F.col("n") * (F.col("n") - 1) / 2.0).alias("nij"), F.sum(F.col("n") * F.ln("n")).alias("nlogn"))
 
     def margin(col: str, tag: str) -> DataFrame:
-        m = with_scalars(c.groupBy(col).agg(F.sum("n").alias("n")), tot.select("N"))
-        return m.agg(_entropy_sum(F.col("n"), F.col("N")).alias(f"h{tag}"), F.sum(F.col("n") * (F.col("n") - 1) / 2.0).alias(f"c{tag}"))
+        m = with_scalars(c.groupBy(col).agg(F.sum("n").alias("n")), tot.select("total"))
+        return m.agg(_entropy_sum(F.col("n"), F.col("total")).alias(f"h{tag}"), F.sum(F.col("n") * (F.col("n") - 1) / 2.0).alias(f"c{tag}"))
 
     one = with_scalars(with_scalars(tot, margin(truth, "t")), margin(cluster, "k"))
-    n, ht, hk = F.col("N"), F.col("ht"), F.col("hk")
+    n, ht, hk = F.col("total"), F.col("ht"), F.col("hk")
     joint = F.ln(n) - F.col("nlogn") / n
     mi = ht + hk - joint
     h = F.when(ht == 0, 1.0).otherwise(mi / F.when(ht == 0, 1.0).otherwise(ht))

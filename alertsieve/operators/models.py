@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
+import pandas as pd
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml import classification as cl
 from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, Imputer, NGram, Normalizer, OneHotEncoder, RegexTokenizer, StandardScaler, StopWordsRemover, StringIndexer, VectorAssembler
@@ -242,7 +244,7 @@ def permutation_importance(model, df: DataFrame, size: int, label: str = "label"
         sh = ordered(n.select(key, F.col(vector).alias("_o")).withColumn("_u", keyed_uniform(F.col(key), f"perm{r}")), [], ["_u", key]).with_position("_p").result().select("_p", "_o")
         j = materialise(n.join(sh, "_p"))
         for c in range(size):
-            x = j.withColumn(vector, F.transform(vector, lambda v, i, c=c: F.when(i == c, F.get(F.col("_o"), F.lit(c))).otherwise(v)))
+            x = j.withColumn(vector, F.concat(F.slice(vector, 1, c), F.array(F.get(F.col("_o"), F.lit(c))), F.slice(vector, c + 2, size)))
             f1 = mt.multiclass_metrics(scored(model, with_vectors(x.drop("_o", "_p"), vector)), label, "pred").first()["f1_macro"]
             rows.append((c, float(base - f1)))
     d = df.sparkSession.createDataFrame(rows, "feature int, loss double")
@@ -334,11 +336,13 @@ class ConfidenceStage:
     def fit(self, df: DataFrame) -> ConfidenceStage:
         prep = self.prepare.fit(df) if self.prepare is not None else None
         x = materialise((prep.transform(df) if prep is not None else df).select("id", self.label, "features"))
-        oof = out_of_fold(x, self.estimator, 5, self.label)
+        est = self.estimator.copy()
+        est.set(est.getParam("labelCol"), self.label)
+        oof = out_of_fold(x, est, 5, self.label)
         cal = fit_calibrator(oof, self.classes, self.label, method=self.method)
         calibrated = cal.apply(oof).withColumn("pred", pr.predicted(F.col("probs")))
         th = materialise(gt.per_class_thresholds(calibrated, self.label, "pred", pr.confidence(F.col("probs")), self.target, self.min_samples))
-        self.fitted = {"prep": prep, "oof": oof, "cal": cal, "thresholds": th, "model": self.estimator.fit(x)}
+        self.fitted = {"prep": prep, "oof": oof, "cal": cal, "thresholds": th, "model": est.fit(x)}
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -364,9 +368,6 @@ class ConfidenceStage:
 
 def rank_normal(df: DataFrame, cols: Sequence[str], key: str = "id") -> DataFrame:
     """Each column replaced by the normal quantile of its rank (r + 0.5)/n."""
-    import pandas as pd
-    from statistics import NormalDist
-
     @F.pandas_udf("double")
     def probit(p: pd.Series) -> pd.Series:
         nd = NormalDist()
@@ -413,7 +414,8 @@ def nmf_topics(weights: DataFrame, k: int = 5, words: int = 8) -> DataFrame:
 
     from alertsieve.operators.topk import first_k
 
-    terms = ordered(weights.select("term").distinct(), [], ["term"]).with_position("t").result()
+    weights = materialise(weights)
+    terms = materialise(ordered(weights.select("term").distinct(), [], ["term"]).with_position("t").result())
     w = weights.join(terms, "term").select(F.col("id").cast("int").alias("id"), F.col("t").cast("int").alias("t"), "weight")
     m = ALS(rank=k, maxIter=10, nonnegative=True, implicitPrefs=False, seed=SEED, userCol="id", itemCol="t", ratingCol="weight", regParam=0.01).fit(w)
     f = m.itemFactors.select(F.col("id").alias("t"), F.posexplode("features").alias("topic", "w"))

@@ -361,10 +361,10 @@ _UF = """a AS (SELECT *, abs(new_value-prev_value) AS m FROM alerts), g AS (SELE
 
 @query(
     "unified_features",
-    "WITH " + ALERTS_SQL + ", " + _UF + f" SELECT summary_id, line, series_id, platform, {R('m')} AS magnitude_abs, group_size, {R('group_magnitude')} AS group_magnitude, group_platforms, {R('coalesce((m-sm)/nullif(ss,0),0)')} AS series_z, (abs(coalesce((m-sm)/nullif(ss,0),0)) > 2)::INT AS is_anomaly FROM a JOIN g USING (summary_id) JOIN s USING (series_id)",
+    "WITH " + ALERTS_SQL + ", " + _UF + f" SELECT summary_id, line, series_id, platform, {R('m')} AS magnitude_abs, group_size, {R('group_magnitude*group_size')} AS group_total_magnitude, group_platforms, {R('coalesce((m-sm)/nullif(ss,0),0)')} AS series_z, (abs(coalesce((m-sm)/nullif(ss,0),0)) > 2)::INT AS is_anomaly FROM a JOIN g USING (summary_id) JOIN s USING (series_id)",
 )
 def unified_features(spark, d):
-    return jobs.alert_rows(alerts(spark, d)).select("summary_id", "line", "series_id", "platform", "magnitude_abs", "group_size", "group_magnitude", "group_platforms", "series_z", "is_anomaly")
+    return jobs.alert_rows(alerts(spark, d)).select("summary_id", "line", "series_id", "platform", "magnitude_abs", "group_size", (F.col("group_magnitude") * F.col("group_size")).alias("group_total_magnitude"), "group_platforms", "series_z", "is_anomaly")
 
 
 def _alert_rows(spark, d):
