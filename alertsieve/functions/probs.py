@@ -6,17 +6,33 @@ sort of rows and no Python.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    The optimiser may copy a column's expression to every place that names it, for instance when a
+    filter moves below a projection; a lambda variable stays one value.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def confidence(p: Column) -> Column:
     return F.array_max(p)
 
 
+def normalised(p: Column) -> Column:
+    """Vector divided by its sum."""
+    return let(p, lambda v: let(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), lambda t: F.transform(v, lambda x: x / t)))
+
+
 def predicted(p: Column) -> Column:
     """Index of the largest probability, lowest index on ties."""
-    return F.array_position(p, F.array_max(p)).cast("int") - 1
+    return let(p, lambda v: F.array_position(v, F.array_max(v)).cast("int") - 1)
 
 
 def binary_confidence(p1: Column) -> Column:
@@ -34,8 +50,12 @@ def ranked(p: Column) -> Column:
 
 def true_rank(p: Column, label: Column) -> Column:
     """1-based rank of the label in ``ranked`` order."""
-    py = F.get(p, label)
-    return F.size(F.filter(p, lambda v, i: (v > py) | ((v == py) & (i <= label))))
+    return let(p, lambda v: let(F.get(v, label), lambda py: F.size(_ahead(v, py, label))))
+
+
+def _ahead(p: Column, py: Column, label: Column) -> Column:
+    """Probabilities at or before the label in rank order."""
+    return F.filter(p, lambda v, i: (v > py) | ((v == py) & (i <= label)))
 
 
 def aps_score(p: Column, label: Column, u: Column) -> Column:
@@ -44,13 +64,13 @@ def aps_score(p: Column, label: Column, u: Column) -> Column:
 
 def raps_score(p: Column, label: Column, u: Column, lam: float = 0.01, k_reg: int = 5) -> Column:
     """Probability mass down to the label plus the rank penalty, minus u times the label's share."""
-    py = F.get(p, label)
-    ahead = F.filter(p, lambda v, i: (v > py) | ((v == py) & (i <= label)))
-    mass = F.aggregate(ahead, F.lit(0.0), lambda a, v: a + v)
-    if not lam:
-        return mass - u * py
-    penalty = F.lit(lam) * F.greatest(F.lit(0), F.size(ahead) - k_reg)
-    return mass + penalty - u * (py + penalty)
+
+    def score(py: Column, ahead: Column) -> Column:
+        mass = F.aggregate(ahead, F.lit(0.0), lambda a, v: a + v)
+        penalty = F.lit(lam) * F.greatest(F.lit(0), F.size(ahead) - k_reg)
+        return mass + penalty - u * (py + penalty)
+
+    return let(p, lambda v: let(F.get(v, label), lambda py: let(_ahead(v, py, label), lambda ahead: score(py, ahead))))
 
 
 def set_size(p: Column, q: Column, lam: float = 0.01, k_reg: int = 5) -> Column:
@@ -63,7 +83,7 @@ def set_size(p: Column, q: Column, lam: float = 0.01, k_reg: int = 5) -> Column:
         below = m + F.lit(lam) * F.greatest(F.lit(0), r - k_reg) < q
         return F.struct(m.alias("m"), r.alias("r"), (a["n"] + below.cast("int")).alias("n"))
 
-    return F.aggregate(ranked(p), start, step, lambda a: F.least(a["n"] + 1, F.size(p)))
+    return F.aggregate(ranked(p), start, step, lambda a: F.least(a["n"] + 1, a["r"]))
 
 
 def prediction_set(p: Column, size: Column) -> Column:
@@ -94,8 +114,7 @@ def from_label(label: Column, k: int, top: float = 0.80) -> Column:
 
 def margin(p: Column) -> Column:
     """Difference of the two largest probabilities."""
-    s = F.sort_array(p, asc=False)
-    return s[0] - s[1]
+    return let(F.sort_array(p, asc=False), lambda s: F.get(s, F.lit(0)) - F.get(s, F.lit(1)))
 
 
 def entropy(p: Column) -> Column:

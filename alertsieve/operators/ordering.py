@@ -224,7 +224,8 @@ def quantiles(
     value = F.col(value) if isinstance(value, str) else value
     base = df.select(*keys, value.alias("_v")).where("_v is not null")
     limit = max_rows or max_group_rows(df.sparkSession)
-    _, largest = largest_group(base, keys)
+    # counted with null values: the size needs the keys only, so the value is not computed here
+    _, largest = largest_group(df, keys)
     n = F.col("n")
 
     def pick(at: Callable[[Column], Column]) -> list[Column]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alertsieve.operators.lookup import lookup_join
@@ -24,8 +24,7 @@ def tokens(text: Column, stop_words: Sequence[str] = ()) -> Column:
     t = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1))
     if stop_words:
         # array_except would drop repeats, so filter
-        stop = F.array(*[F.lit(w) for w in stop_words])
-        t = F.filter(t, lambda w: ~F.array_contains(stop, w))
+        t = F.filter(t, lambda w: ~w.isin(list(stop_words)))
     return t
 
 
@@ -38,31 +37,43 @@ def ngrams(t: Column, n: int = 2) -> Column:
     return F.concat(t, pairs)
 
 
-def term_counts(df: DataFrame, key: str, text: Column, n: int = 2, stop_words: Sequence[str] = ()) -> DataFrame:
-    """``key, term, tf``."""
-    t = df.select(key, F.explode(ngrams(tokens(text, stop_words), n)).alias("term"))
-    return t.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+def vocabulary(df: DataFrame, text: Column, n: int = 2, max_features: int = 500, min_df: int = 2, max_df: float = 1.0, stop_words: Sequence[str] = ()) -> DataFrame:
+    """The most frequent terms with document frequency and smooth idf.
 
-
-def vocabulary(tf: DataFrame, n_docs: int, max_features: int, min_df: int = 2, max_df: float = 1.0) -> DataFrame:
-    """The most frequent terms with document frequency and smooth idf."""
-    v = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"))
+    Every task first adds up its own terms; corpus counts and document counts share one pass.
+    """
+    n_docs = df.count()
+    t = df.select(ngrams(tokens(text, stop_words), n).alias("t"))
+    every = F.transform("t", lambda w: F.struct(w.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d")))
+    once = F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d")))
+    v = t.select(F.inline(F.concat(every, once))).groupBy("term").agg(F.sum("d").alias("df"), F.sum("n").alias("n"))
     v = v.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
     v = v.orderBy(F.desc("n"), "term").limit(max_features)
     idf = F.ln(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
     return v.select("term", "df", idf.alias("idf"))
 
 
-def tfidf(df: DataFrame, key: str, text: Column, max_features: int = 500, n: int = 2, min_df: int = 2, max_df: float = 1.0, sublinear: bool = False, stop_words: Sequence[str] = ()) -> DataFrame:
-    """L2-normalised weights in long form ``key, term, weight``."""
-    n_docs = df.count()
-    tf = term_counts(df, key, text, n, stop_words)
-    w = lookup_join(tf, vocabulary(tf, n_docs, max_features, min_df, max_df), ["term"], "inner")
-    t = F.ln(F.col("tf")) + 1.0 if sublinear else F.col("tf")
-    w = w.withColumn("_w", t * F.col("idf"))
+def weigh(df: DataFrame, key: str, text: Column, vocab: DataFrame, n: int = 2, sublinear: bool = False, stop_words: Sequence[str] = ()) -> DataFrame:
+    """L2-normalised weights ``key, term, weight`` of the vocabulary's terms.
+
+    Other terms are dropped inside the row, before anything is exploded or shuffled.
+    """
+    rows = vocab.collect()  # at most max_features rows
+    known = [r["term"] for r in rows]
+    v = df.sparkSession.createDataFrame(rows, vocab.schema)
+    t = df.select(key, F.explode(F.filter(ngrams(tokens(text, stop_words), n), lambda w: w.isin(known))).alias("term"))
+    tf = t.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    w = tf.join(F.broadcast(v), "term")
+    c = F.ln(F.col("tf")) + 1.0 if sublinear else F.col("tf").cast("double")
     # a document has at most max_features terms
-    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_l"))
-    return w.join(norm, key).select(key, "term", (F.col("_w") / F.col("_l")).alias("weight"))
+    total = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
+    return w.withColumn("_w", c * F.col("idf")).select(key, "term", (F.col("_w") / total).alias("weight"))
+
+
+def tfidf(df: DataFrame, key: str, text: Column, max_features: int = 500, n: int = 2, min_df: int = 2, max_df: float = 1.0, sublinear: bool = False, stop_words: Sequence[str] = ()) -> DataFrame:
+    """Vocabulary and weights of the same documents, in long form ``key, term, weight``."""
+    v = vocabulary(df, text, n, max_features, min_df, max_df, stop_words)
+    return weigh(df, key, text, v, n, sublinear, stop_words)
 
 
 def top_terms(weights: DataFrame, k: int, n_docs: int | None = None) -> DataFrame:

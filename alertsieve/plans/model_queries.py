@@ -24,7 +24,7 @@ from alertsieve.plans.registry import R, query
 from alertsieve.plans.ticket_queries import STOP, _weights
 from alertsieve.plans.vector_queries import _NN, _VOTE, vectors
 from alertsieve.session import materialise
-from alertsieve.sources.tables import ALERTS_SQL, SCORES_SQL, TICKETS_SQL, alerts, scores, series, table, tickets
+from alertsieve.sources.tables import ALERTS_SQL, SCORES_SQL, TICKETS_SQL, alerts, documents, scores, series, table, tickets
 
 TREES = 15
 
@@ -213,7 +213,7 @@ def rank_normal(spark, d):
 
 
 def _text_model(spark, d):
-    doc = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
+    doc = documents(spark, d).select(F.col("doc_id").alias("id"), "text", "lang", "source")
     m = md.text_vectoriser(doc, "text", 300, 2, STOP)
     return doc, m
 
@@ -350,7 +350,7 @@ def answer_evaluation(spark, d):
 @query("noise_experiment")
 def noise_experiment(spark, d):
     lab = table(spark, d, "labels").select(F.col("doc_id").alias("id"), (F.lit(1) - F.col("quality")).alias("label"))
-    doc = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    doc = documents(spark, d).select(F.col("doc_id").alias("id"), "text")
     flags = {k: v.cast("double") for k, v in {**tk.quality_flags(F.col("text")), "n_chars": F.length("text")}.items()}
     df = materialise(_doc_split(doc.select("id", *[v.alias(k) for k, v in flags.items()]).join(lab, "id")))
     return jobs.noise_job(df, list(flags), _forest())

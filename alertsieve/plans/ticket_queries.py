@@ -14,8 +14,9 @@ from alertsieve.operators import splits as sp
 from alertsieve.operators import text as tx
 from alertsieve.operators.ordering import with_scalars
 from alertsieve.plans.registry import R, query
+from alertsieve.session import spread
 from alertsieve.sources import readers as rd
-from alertsieve.sources.tables import ALERTS_SQL, TICKETS_SQL, alerts, table, ticket_text, tickets
+from alertsieve.sources.tables import ALERTS_SQL, TICKETS_SQL, alerts, documents, table, ticket_text, tickets
 
 _T = "WITH " + TICKETS_SQL
 _A = "WITH " + ALERTS_SQL
@@ -48,7 +49,7 @@ def incident_rollup(spark, d):
 
 @query("cap_per_project", "SELECT doc_id AS id, source AS project FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 20")
 def cap_per_project(spark, d):
-    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("project"))
+    t = documents(spark, d).select(F.col("doc_id").alias("id"), F.col("source").alias("project"))
     return rd.cap_per_key(t, "project", ["id"], 20)
 
 
@@ -90,7 +91,7 @@ def closed_states(spark, d):
 
 @query("frequent_classes", "SELECT doc_id AS id, source FROM documents WHERE source IN (SELECT source FROM documents GROUP BY source HAVING count(*) >= 50)")
 def frequent_classes(spark, d):
-    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source")
+    t = documents(spark, d).select(F.col("doc_id").alias("id"), "source")
     return ct.keep_frequent(t, "source", 50)
 
 
@@ -135,12 +136,12 @@ def stratified_folds(spark, d):
 
 @query("leave_one_group_out", f"WITH g AS (SELECT source, count(*) AS n_test, sum(n_chars) AS s FROM documents GROUP BY source) SELECT source, n_test, sum(n_test) OVER () - n_test AS n_train, {R('s/n_test')} AS mean_test, {R('(sum(s) OVER () - s)/(sum(n_test) OVER () - n_test)')} AS mean_train FROM g")
 def leave_one_group_out(spark, d):
-    return sp.group_folds(table(spark, d, "documents").select("source", "n_chars"), "source", "n_chars")
+    return sp.group_folds(documents(spark, d).select("source", "n_chars"), "source", "n_chars")
 
 
 @query("semi_anti", "SELECT 'linked' AS side, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality=1) UNION ALL SELECT 'other', count(*), sum(n_chars)::BIGINT FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality=1)")
 def semi_anti(spark, d):
-    doc = table(spark, d, "documents").select("doc_id", "n_chars")
+    doc = documents(spark, d).select("doc_id", "n_chars")
     ids = table(spark, d, "labels").where("quality = 1").select("doc_id")
 
     def side(how: str, name: str):
@@ -152,7 +153,7 @@ def semi_anti(spark, d):
 
 @query("named_group_split", "SELECT CASE WHEN lang='en' THEN 'test' ELSE 'train' END AS split, count(*) AS n FROM documents GROUP BY 1")
 def named_group_split(spark, d):
-    train, test = sp.leave_group_out(table(spark, d, "documents").select("lang"), "lang", "en")
+    train, test = sp.leave_group_out(documents(spark, d).select("lang"), "lang", "en")
     return train.select(F.lit("train").alias("split")).unionByName(test.select(F.lit("test").alias("split"))).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -191,7 +192,7 @@ _PARTS = "p AS (SELECT doc_id AS id, source, lang, split_part(text, chr(10), 1)
 def _parts(spark, d):
     """First line as summary, the rest as description."""
     t = F.col("text")
-    return table(spark, d, "documents").select(
+    return documents(spark, d).select(
         F.col("doc_id").alias("id"),
         "source",
         "lang",
@@ -212,7 +213,7 @@ def text_features(spark, d):
 
 @query("clean_text", r"""SELECT doc_id AS id, md5(trim(regexp_replace(regexp_replace(lower(text), 'http\S+|www\S+', '', 'g'), '[^a-z0-9]+', ' ', 'g'))) AS digest FROM documents""")
 def clean_text(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.md5(tk.clean_text(F.col("text"))).alias("digest"))
+    return documents(spark, d).select(F.col("doc_id").alias("id"), F.md5(tk.clean_text(F.col("text"))).alias("digest"))
 
 
 @query(
@@ -222,7 +223,7 @@ def clean_text(spark, d):
     + ", (length(text) > 200)::INT AS is_long FROM documents) SELECT *, has_steps+has_stacktrace+has_expected_actual+has_version+has_code_ref+is_long AS quality_score FROM f",
 )
 def quality_flags(spark, d):
-    t = table(spark, d, "documents")
+    t = documents(spark, d)
     return t.select(F.col("doc_id").alias("id"), *[c.alias(n) for n, c in tk.quality_flags(F.col("text")).items()])
 
 
@@ -237,7 +238,7 @@ def _any(ws):
     + r"(contains(text,'::') OR regexp_matches(text, '\w+\.\w+\('))::INT AS has_api_ref, (contains(text,'/') OR contains(text,'.cpp') OR contains(text,'.js') OR contains(text,'.h'))::INT AS has_file_path, 0 AS n_uppercase, (starts_with(text,'[') OR starts_with(text,'('))::INT AS starts_bracket FROM l",
 )
 def lexical_flags(spark, d):
-    t = table(spark, d, "documents")
+    t = documents(spark, d)
     return t.select(F.col("doc_id").alias("id"), *[c.alias(n) for n, c in tk.lexical_flags(F.col("text")).items()])
 
 
@@ -249,8 +250,8 @@ def _cat_sql(col: str) -> str:
 
 @query("keyword_category", f"SELECT page_id AS id, {_cat_sql('html')} AS category FROM pages UNION ALL SELECT doc_id + 1000000000, {_cat_sql('text')} FROM documents")
 def keyword_category(spark, d):
-    p = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("t"))
-    x = table(spark, d, "documents").select((F.col("doc_id") + 1000000000).alias("id"), F.col("text").alias("t"))
+    p = spread(table(spark, d, "pages")).select(F.col("page_id").alias("id"), F.col("html").alias("t"))
+    x = documents(spark, d).select((F.col("doc_id") + 1000000000).alias("id"), F.col("text").alias("t"))
     return p.unionByName(x).select("id", tk.keyword_category(F.col("t")).alias("category"))
 
 
@@ -304,7 +305,7 @@ def alert_targets(spark, d):
 
 @query("answer_normalise", "WITH n AS (SELECT DISTINCT source AS name FROM documents), a AS (SELECT doc_id AS id, trim(CASE WHEN doc_id%3=0 THEN '  ' || upper(source) || ' ' WHEN doc_id%3=1 THEN '\"' || source || '\"' ELSE 'I think ' || source || '.' END, ' \"') AS t FROM documents) SELECT id, coalesce(max(name) FILTER (WHERE name=t), min(name) FILTER (WHERE lower(name)=lower(t)), min(name) FILTER (WHERE contains(lower(name),lower(t)) OR contains(lower(t),lower(name)))) AS label FROM a, n GROUP BY id")
 def answer_normalise(spark, d):
-    doc = table(spark, d, "documents")
+    doc = documents(spark, d)
     names = tx.bounded_labels(doc, "source")
     s = F.col("source")
     a = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("  "), F.upper(s), F.lit(" "))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit('"'), s, F.lit('"')))
@@ -345,7 +346,7 @@ def prompt_texts(spark, d):
 
 @query("few_shot_examples", "WITH f AS (SELECT source AS label, min(doc_id) AS id FROM documents GROUP BY source), h AS (SELECT *, 0 AS o FROM f ORDER BY id LIMIT 5) SELECT label, id FROM h")
 def few_shot_examples(spark, d):
-    t = table(spark, d, "documents").select(F.col("source").alias("label"), F.col("doc_id").alias("id"), "text")
+    t = documents(spark, d).select(F.col("source").alias("label"), F.col("doc_id").alias("id"), "text")
     return tx.few_shot(t, "label", "id", "text", 5).select("label", "id")
 
 
@@ -366,14 +367,14 @@ def _train_docs(doc):
 
 @query("label_map_topk", "WITH " + _LM + " SELECT doc_id AS id, coalesce(label, 8) AS label, CASE WHEN label IS NULL THEN 'Other' ELSE d.source END AS source_mapped FROM documents d LEFT JOIN lm USING (source)")
 def label_map_topk(spark, d):
-    doc = table(spark, d, "documents").select("doc_id", "source")
+    doc = documents(spark, d).select("doc_id", "source")
     m = ct.label_mapping(_train_docs(doc), "source", 8)
     return ct.apply_label_mapping(doc, m, "source", 8).select(F.col("doc_id").alias("id"), "label", "source_mapped")
 
 
 @query("label_map_no_other", "WITH " + _LM + " SELECT doc_id AS id, label FROM documents d JOIN lm USING (source)")
 def label_map_no_other(spark, d):
-    doc = table(spark, d, "documents").select("doc_id", "source")
+    doc = documents(spark, d).select("doc_id", "source")
     m = ct.label_mapping(_train_docs(doc), "source", 8)
     return ct.apply_label_mapping(doc, m, "source", 8, other=False).select(F.col("doc_id").alias("id"), "label")
 
@@ -385,7 +386,7 @@ def rare_group(spark, d):
 
 @query("rare_class_warnings", "WITH c AS (SELECT source, count(*) FILTER (WHERE doc_id%5<3) AS n_train, count(*) FILTER (WHERE doc_id%5=3) AS n_cal FROM documents WHERE doc_id%5<4 GROUP BY source) SELECT * FROM c WHERE n_train < 50 OR n_cal < 20")
 def rare_class_warnings(spark, d):
-    doc = table(spark, d, "documents").select("doc_id", "source")
+    doc = documents(spark, d).select("doc_id", "source")
     return ct.rare_warnings(_train_docs(doc), doc.where(F.col("doc_id") % 5 == 3), "source")
 
 
@@ -655,7 +656,7 @@ _TFIDF = _NG + ", vo AS (SELECT term, count(*) AS df, sum(tf) AS n FROM tf GROUP
 
 
 def _weights(spark, d):
-    doc = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    doc = documents(spark, d).select(F.col("doc_id").alias("id"), "text")
     return tx.tfidf(doc, "id", F.col("text"), 500, 2, 2, 0.95, True, STOP)
 
 
@@ -671,7 +672,7 @@ def tfidf_top_terms(spark, d):
 
 @query("frequent_terms", "WITH " + _TOK + ", u AS (SELECT unnest(t) AS term FROM tok) SELECT term, count(*) AS n FROM u WHERE length(term) >= 3 GROUP BY term ORDER BY n DESC, term LIMIT 20")
 def frequent_terms(spark, d):
-    return tx.frequent_terms(table(spark, d, "documents"), F.col("text"), 20, STOP)
+    return tx.frequent_terms(documents(spark, d), F.col("text"), 20, STOP)
 
 
 _KP = _TOK + ", se AS (SELECT id, source, unnest(list_distinct(t)) AS term FROM tok), tp AS (SELECT term, count(*) AS dd FROM se GROUP BY term HAVING count(*) >= 5 ORDER BY dd DESC, term LIMIT 200), kp AS (SELECT term, source, count(*)/max(dd) AS share FROM se JOIN tp USING (term) GROUP BY ALL)"
@@ -679,13 +680,13 @@ _KP = _TOK + ", se AS (SELECT id, source, unnest(list_distinct(t)) AS term FROM
 
 @query("keyword_profile", "WITH " + _KP + f" SELECT term, source, {R('share')} AS share FROM kp")
 def keyword_profile(spark, d):
-    doc = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    doc = documents(spark, d).select(F.col("doc_id").alias("id"), "source", "text")
     return tx.keyword_profile(doc, "id", F.col("text"), "source", 200, 5, STOP)
 
 
 @query("keyword_features", "WITH " + _KP + f", x AS (SELECT se.id, kp.source, sum(share) AS s FROM se JOIN kp USING (term) GROUP BY ALL) SELECT id, source, {R('s/sum(s) OVER (PARTITION BY id)')} AS share FROM x")
 def keyword_features(spark, d):
-    doc = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    doc = documents(spark, d).select(F.col("doc_id").alias("id"), "source", "text")
     p = tx.keyword_profile(doc, "id", F.col("text"), "source", 200, 5, STOP)
     return tx.keyword_features(p, doc.select("id", "text"), "id", F.col("text"), "source", STOP)
 

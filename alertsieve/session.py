@@ -69,3 +69,13 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/alertsieve/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a scan of fewer files than cores before costly work on its rows.
+
+    A file may hold a single row group, which only one task can read. With enough files the scan
+    is parallel by itself and nothing is shuffled.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if len(df.inputFiles()) < want else df

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertsieve.functions.probs import predicted
+from alertsieve.functions.probs import normalised, predicted
+from alertsieve.session import spread
 
 CLASSES = 10
 
@@ -14,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def _softmax(v: Column, offset: int, label: Column) -> Column:
     e = F.transform(
         F.sequence(F.lit(0), F.lit(CLASSES - 1)),
@@ -34,11 +39,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         _softmax(v, 10, label).alias("eb"),
     )
 
-    def norm(c: str) -> Column:
-        total = F.aggregate(F.col(c), F.lit(0.0), lambda a, x: a + x)
-        return F.transform(F.col(c), lambda x: x / total)
-
-    df = df.select("id", "split", "label", norm("ea").alias("pa"), norm("eb").alias("pb"))
+    df = df.select("id", "split", "label", normalised(F.col("ea")).alias("pa"), normalised(F.col("eb")).alias("pb"))
     df = df.withColumns({"preda": predicted(F.col("pa")), "predb": predicted(F.col("pb"))})
     return df.withColumn("agree", F.col("preda") == F.col("predb"))
 
@@ -77,7 +78,7 @@ tickets AS (SELECT o_orderkey AS id, o_orderdate AS ts, o_orderstatus AS resolut
 
 def ticket_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, text, component, lang."""
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     return d.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("component"), "lang")
 
 
