@@ -18,6 +18,8 @@ from alertsieve.functions.random import poisson_weight, seed31
 from alertsieve.operators.grid import grid_sums
 from alertsieve.operators.metrics import risk_coverage
 
+BLOCK_ROWS = 65_536  # positions whose weights are drawn in one step
+
 
 def weighted_sums(df: DataFrame, key: Column, sums: dict[str, Column], b: int, salt: str = "boot", keys: Sequence[str] = ()) -> DataFrame:
     """``keys, b, <name>`` = weighted sum of each column in resample b."""
@@ -67,7 +69,7 @@ def bootstrap_augrc(df: DataFrame, err: Column, conf: Column, b: int = 1000, key
     weights are first summed per block of positions, and blocks are then combined in order.
     """
     r = risk_coverage(df, err, conf, key)
-    rows = r.select(F.floor(F.col("pos") / 65536).alias("blk"), "pos", "err", seed31(F.col("_id"), "boot").alias("_s"))
+    rows = r.select(F.floor(F.col("pos") / BLOCK_ROWS).alias("blk"), "pos", "err", seed31(F.col("_id"), "boot").alias("_s"))
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
