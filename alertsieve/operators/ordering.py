@@ -249,7 +249,9 @@ def quantiles(
         )
 
     names = list(wanted)
-    eps = 2.0 / _ACCURACY
+    # the digest's own error, plus the few ranks by which an exact level or an interpolation
+    # may move the index in a group of more than ``limit`` rows
+    eps = 2.0 / _ACCURACY + 5.0 / limit
     points = [p for q in wanted.values() for p in (max(q.level - eps, 0.0), min(q.level + eps, 1.0))]
     stats = base.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),

@@ -84,3 +84,15 @@ def test_rank_cut(rows, limit):
     seq = sorted((r["t"], r["id"]) for r in rows.collect())
     assert cuts[:3] == [seq[100], seq[360], seq[599]] and cuts[3] is None
     assert rows.where(before_cut(["t", "id"], cuts[1])).count() == 360
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_quantiles_of_distinct_values(spark, keys):
+    rng = np.random.default_rng(8)
+    data = [("hot" if i % 3 else "cold", float(x)) for i, x in enumerate(rng.random(900))]
+    df = spark.createDataFrame(data, "k string, v double")
+    wanted = {f"c{i}": Quantile(1 - a, "higher", lambda n, a=a: F.least(F.ceil((n + 1) * (1 - a)) / n, F.lit(1.0))) for i, a in enumerate((0.01, 0.1, 0.5))}
+    for r in quantiles(df, keys, "v", wanted, max_rows=80).collect():
+        v = [x for k, x in data if not keys or k == r["k"]]
+        for i, a in enumerate((0.01, 0.1, 0.5)):
+            assert r[f"c{i}"] == np.quantile(v, min(np.ceil((len(v) + 1) * (1 - a)) / len(v), 1.0), method="higher")
