@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,10 +59,11 @@ def external_quality(df: DataFrame, truth: str, cluster: str) -> DataFrame:
 
 def internal_quality(df: DataFrame, cluster: str, v: str = "v") -> DataFrame:
     """Calinski-Harabasz and Davies-Bouldin scores from centroids (one row); noise is left out."""
-    rows = df.where(F.col(cluster) >= 0).select(cluster, F.posexplode(F.col(v).cast("array<double>")).alias("d", "x"))
-    cent = rows.groupBy(cluster, "d").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n"), F.var_pop("x").alias("s"))
-    cent_a = cent.groupBy(cluster).agg(F.max("n").alias("n"), F.sum("s").alias("spread"), F.sort_array(F.collect_list(F.struct("d", "m"))).alias("c"))
-    cent_a = cent_a.withColumn("c", F.transform("c", lambda x: x["m"]))
+    vec = array_to_vector(F.col(v).cast("array<double>"))
+    m = df.where(F.col(cluster) >= 0).groupBy(cluster).agg(Summarizer.metrics("mean", "variance", "count").summary(vec).alias("_m"))
+    n = F.col("_m.count")
+    var = F.aggregate(vector_to_array("_m.variance"), F.lit(0.0), lambda s, x: s + x)
+    cent_a = m.select(cluster, n.alias("n"), F.when(n > 1, var * (n - 1) / n).otherwise(0.0).alias("spread"), vector_to_array("_m.mean").alias("c"))
     dist = F.sqrt(F.aggregate(F.zip_with(F.col(v).cast("array<double>"), F.col("c"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
     mean_d = df.where(F.col(cluster) >= 0).join(cent_a.select(cluster, "c"), cluster).groupBy(cluster).agg(F.avg(dist).alias("s"))
     k = cent_a.join(mean_d, cluster)

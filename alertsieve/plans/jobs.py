@@ -200,3 +200,25 @@ def root_cause_job(alerts: DataFrame, order: Sequence[str], features: Sequence[s
         "coherence": al.cluster_coherence(c, "summary_id", "cluster"),
         "distances": al.downstream_distance(alerts, "summary_id", order, features),
     }
+
+
+def three_stage_decisions(df: DataFrame) -> DataFrame:
+    """Decision counts of a noise/severity/component cascade and how often all stages were right.
+
+    Rows carry s0/s1/s2 ``_pred`` and ``_ok`` columns and the true noise, severity and label.
+    """
+    n0, ok0, ok1, ok2 = F.col("s0_pred"), F.col("s0_ok"), F.col("s1_ok"), F.col("s2_ok")
+    decision = (
+        F.when(~ok0, "review: noise unsure")
+        .when(n0 == 1, "closed as noise")
+        .when(~ok1, "review: severity unsure")
+        .when(~ok2, "review: component unsure")
+        .otherwise("routed")
+    )
+    right = F.when(decision == "closed as noise", F.col("noise") == 1).when(
+        decision == "routed", (F.col("noise") == 0) & (F.col("s1_pred") == F.col("severity")) & (F.col("s2_pred") == F.col("label"))
+    )
+    g = df.groupBy(decision.alias("decision")).agg(F.count(F.lit(1)).alias("n"), F.avg(right.cast("int")).alias("accuracy"))
+    from alertsieve.operators.ordering import with_scalars
+
+    return with_scalars(g, g.agg(F.sum("n").alias("_t"))).select("decision", "n", (F.col("n") / F.col("_t")).alias("share"), "accuracy")

@@ -452,3 +452,55 @@ def threshold_grid_steps(spark, d):
     """Stage accuracy over a coarse grid for each predicted class."""
     s = scores(spark, d)
     return gt.coverage_curve(s, F.col("preda") == F.col("label"), pr.confidence(F.col("pa")), steps(0.2, 0.9, 0.1), ["preda"])
+
+
+# --- ticket cascade in three stages, series features against metadata, routing side study -----------------------
+
+
+@query("ticket_cascade")
+def ticket_cascade(spark, d):
+    """Noise, then severity, then component: only confident rows go on, a row is right if all stages are."""
+    train, test = _halves(spark, d)
+    y = {"noise": (F.col("label") == 9).cast("int"), "severity": (F.col("label") % 3).cast("int")}
+    cols = ["id", "label", "features", *y]
+    train, test = train.withColumns(y).select(cols), test.withColumns(y).select(cols)
+    est = cl.LogisticRegression(maxIter=5)
+    noise = md.ConfidenceStage("s0", est, 2, target=0.8, label="noise").fit(train)
+    severity = md.ConfidenceStage("s1", est, 3, target=0.5, label="severity").fit(train.where("noise = 0"))
+    component = md.ConfidenceStage("s2", est, 10, target=0.4, label="label").fit(train.where("noise = 0"))
+    out = component.predict(severity.predict(noise.predict(test)))
+    return jobs.three_stage_decisions(materialise(out))
+
+
+@query("series_vs_metadata")
+def series_vs_metadata(spark, d):
+    """Ablation of series features and alert metadata."""
+    from pyspark.ml import Pipeline
+
+    w = sr.all_features(sr.pre_windows(series(spark, d).withColumnRenamed("eid", "id"), F.col("kind") == "error", 20, order=("ts", "id")))
+    groups = {"local_stats": sr.FEATURE_GROUPS["local_stats"], "change": ["ts_change_abs", "ts_zscore"], "stability": sr.FEATURE_GROUPS["stability"], "metadata": ["open_hour", "open_dayofweek"]}
+    every = [c for g in groups.values() for c in g]
+    w = w.withColumns(tk.calendar_features(F.col("ts"))).withColumn("label", (F.col("value") > 50).cast("int"))
+    w = materialise(sp.temporal_split(w.select("id", "ts", "label", *[F.col(c).cast("double").alias(c) for c in every]), ["ts", "id"], [0.8, 0.2], ["train", "test"]))
+    return md.ablation(w.where("split = 'train'"), w.where("split = 'test'"), groups, lambda cols: Pipeline(stages=[md.preprocessor(numeric=cols), cl.LogisticRegression(maxIter=3)]))
+
+
+@query("routing_side_study")
+def routing_side_study(spark, d):
+    """Ticket routing with history profiles of the creator: accuracy before and after."""
+    from alertsieve.operators import categories as ct
+
+    t = sp.temporal_split(tickets(spark, d), ["ts", "id"], [0.8, 0.2], ["train", "test"])
+    codes = F.create_map(*[F.lit(x) for i, n in enumerate(["URGENT", "HIGH", "MEDIUM", "NOT SPECIFIED", "LOW"]) for x in (n, i)])
+    t = materialise(t.withColumn("label", F.element_at(codes, F.col("severity"))))
+    train = t.where("split = 'train'")
+    x = ct.profile_features(ct.entity_profile(train, "creator", "severity"), t, "creator", 5)
+    x = ct.entity_mean(train, x, "creator", "value")
+    x = materialise(x.withColumns({k: v.cast("double") for k, v in tk.calendar_features(F.col("ts")).items()}))
+    before = ["value", "open_dayofweek", "open_month"]
+    after = [*before, "profile_entropy", "profile_max", "profile_known", "value_mean", "value_diff"]
+    out = None
+    for name, cols in (("before", before), ("after", after)):
+        m = jobs.alert_classification(x, {name: cl.LogisticRegression(maxIter=5)}, cols).where(F.col("model") == name).select("model", "accuracy", "f1_macro")
+        out = m if out is None else out.unionByName(m)
+    return out

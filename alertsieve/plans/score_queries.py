@@ -668,6 +668,12 @@ def bootstrap_recall(spark, d):
     return rs.bootstrap_recall(_def_test(spark, d), F.col("id"), F.col("y"), pr.binary_predicted(F.col("p")), _B)
 
 
+@query("bootstrap_accuracy_counts")
+def bootstrap_accuracy_counts(spark, d):
+    """Rows are counted first; the draws do not grow with the table."""
+    return rs.bootstrap_accuracy(test_rows(spark, d), None, F.col("preda") == F.col("label"), 1000)
+
+
 _BC = ", ".join(f"{R(f'avg({v})')} AS {n}_mean, {R(f'quantile_cont({v}, 0.025)')} AS {n}_lower, {R(f'quantile_cont({v}, 0.975)')} AS {n}_upper" for v, n in (("c", "coverage"), ("a", "accuracy")))
 
 

@@ -114,6 +114,17 @@ def cap_per_key(df: DataFrame, key: str, order: Sequence[str], n: int) -> DataFr
     return first_k(df, [key], list(order), n).drop("_rank")
 
 
+SCORE_SCHEMA = "id long, split string, model string, label int, pred int, probs array<double>"
+
+
+def read_scores(spark: SparkSession, path: str, model_a: str, model_b: str) -> DataFrame:
+    """Two models' rows of a score table side by side: id, split, label, pa, pb, preda, predb, agree."""
+    t = spark.read.schema(SCORE_SCHEMA).parquet(path)
+    a = t.where(F.col("model") == model_a).select("id", "split", "label", F.col("probs").alias("pa"), F.col("pred").alias("preda"))
+    b = t.where(F.col("model") == model_b).select("id", F.col("probs").alias("pb"), F.col("pred").alias("predb"))
+    return a.join(b, "id").withColumn("agree", F.col("preda") == F.col("predb"))
+
+
 def align_scores(scores: DataFrame, truth: DataFrame) -> DataFrame:
     """Rows and label mismatches per split between a score table and its tickets."""
     j = scores.join(truth, "id")
