@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from alertsieve.functions.probs import ranked
 
 AGREE_ACCURACY, DISAGREE_ACCURACY = 0.857, 0.271
+# What the two models are called in the texts.
+TEXT_MODEL, METADATA_MODEL = "the text model", "the metadata model"
 
 
 def pct(p: Column) -> Column:
@@ -44,29 +46,29 @@ def action_kind(size: Column, agree: Column) -> Column:
     return F.trim(F.get(F.split(action(size, agree), " -- "), F.lit(0)))
 
 
-def reliability(agree: Column, tier: Column) -> Column:
+def reliability(agree: Column, tier: Column, text_model: str = TEXT_MODEL) -> Column:
     return (
         F.when(agree, F.lit(f"High -- both models agree. In similar cases, accuracy is ~{AGREE_ACCURACY:.0%}."))
-        .when(tier == "HIGH", F.lit("Moderate -- models disagree but the text model is very confident. Review recommended."))
+        .when(tier == "HIGH", F.lit(f"Moderate -- models disagree but {text_model} is very confident. Review recommended."))
         .otherwise(F.lit(f"Low -- models disagree. In similar cases, accuracy is ~{DISAGREE_ACCURACY:.0%}. Careful review recommended."))
     )
 
 
-def top_candidate(ra: Column, agree: Column) -> Column:
+def top_candidate(ra: Column, agree: Column, text_model: str = TEXT_MODEL) -> Column:
     why = F.when(agree, "Both models agree on this component.").otherwise("Highest probability from text analysis.")
-    return F.concat(class_name(ra[0]["cls"]), F.lit(" -- ranked #1 by the text model ("), pct(ra[0]["p"]), F.lit(" confidence). "), why)
+    return F.concat(class_name(ra[0]["cls"]), F.lit(f" -- ranked #1 by {text_model} ("), pct(ra[0]["p"]), F.lit(" confidence). "), why)
 
 
-def alternatives(pset: Column, pa: Column, pb: Column, preda: Column, predb: Column, agree: Column, alpha: float) -> Column:
+def alternatives(pset: Column, pa: Column, pb: Column, preda: Column, predb: Column, agree: Column, alpha: float, names: tuple[str, str] = (TEXT_MODEL, METADATA_MODEL)) -> Column:
     """One sentence per set member other than the top class, by probability."""
     cover = f"Included to meet {round((1 - alpha) * 100)}% coverage guarantee."
 
     def line(c: Column, i: Column) -> Column:
         own = F.concat(
-            class_name(c), F.lit(" -- ranked #"), (i + 1).cast("string"), F.lit(" by the text model ("), pct(F.get(pa, c)), F.lit(f" confidence). {cover}")
+            class_name(c), F.lit(" -- ranked #"), (i + 1).cast("string"), F.lit(f" by {names[0]} ("), pct(F.get(pa, c)), F.lit(f" confidence). {cover}")
         )
         other = F.concat(
-            class_name(c), F.lit(" -- ranked #1 by the metadata model ("), pct(F.get(pb, c)), F.lit(" confidence). Highest probability from metadata patterns.")
+            class_name(c), F.lit(f" -- ranked #1 by {names[1]} ("), pct(F.get(pb, c)), F.lit(" confidence). Highest probability from metadata patterns.")
         )
         return F.when(~agree & (c == predb), other).otherwise(own)
 
@@ -82,8 +84,8 @@ def reasoning(r: Column, prefix: str) -> Column:
     return F.concat(F.lit(prefix + " "), item(0), F.lit(" over "), item(1), F.lit(" and "), item(2), F.lit("."))
 
 
-def explain(df: DataFrame, alpha: float) -> DataFrame:
-    """Add the explanation record as columns."""
+def explain(df: DataFrame, alpha: float, names: tuple[str, str] = (TEXT_MODEL, METADATA_MODEL)) -> DataFrame:
+    """Add the explanation record as columns; ``names`` are what the two models are called."""
     agree = F.col("agree")
     df = df.withColumns({"_ra": ranked(F.col("pa")), "_rb": ranked(F.col("pb")), "set_size": F.size("pset")})
     df = df.withColumn("confidence_tier", confidence_tier(F.col("_ra")[0]["p"], agree))
@@ -91,9 +93,9 @@ def explain(df: DataFrame, alpha: float) -> DataFrame:
         {
             "prediction_set": F.transform("pset", class_name),
             "agreement_status": F.when(agree, "AGREE").otherwise("DISAGREE"),
-            "reliability_estimate": reliability(agree, F.col("confidence_tier")),
-            "top_candidate": top_candidate(F.col("_ra"), agree),
-            "alternative_candidates": alternatives(F.col("pset"), F.col("pa"), F.col("pb"), F.col("preda"), F.col("predb"), agree, alpha),
+            "reliability_estimate": reliability(agree, F.col("confidence_tier"), names[0]),
+            "top_candidate": top_candidate(F.col("_ra"), agree, names[0]),
+            "alternative_candidates": alternatives(F.col("pset"), F.col("pa"), F.col("pb"), F.col("preda"), F.col("predb"), agree, alpha, names),
             "action_recommendation": action(F.col("set_size"), agree),
             "action_kind": action_kind(F.col("set_size"), agree),
             "model_reasoning": F.struct(

@@ -280,7 +280,7 @@ class Calibrator:
 
     def apply(self, df: DataFrame, probs: str = "probs") -> DataFrame:
         for c, m in enumerate(self.models):
-            df = df.withColumn("_x", F.get(F.col(probs), F.lit(c)))
+            df = df.withColumn("_x", F.coalesce(F.get(F.col(probs), F.lit(c)), F.lit(0.0)))
             if self.method == "isotonic":
                 df = m.transform(df.withColumnRenamed("_x", "_iso")).withColumnRenamed("prediction", f"_c{c}").drop("_iso")
             else:
@@ -301,7 +301,8 @@ def fit_calibrator(oof: DataFrame, classes: int, label: str = "label", probs: st
         method = "sigmoid" if small < 500 else "isotonic"
     models = []
     for c in range(classes):
-        d = oof.select(F.get(F.col(probs), F.lit(c)).alias("_x"), (F.col(label) == c).cast("double").alias("_y"))
+        # a class that the model never saw has no entry in its vector
+        d = oof.select(F.coalesce(F.get(F.col(probs), F.lit(c)), F.lit(0.0)).alias("_x"), (F.col(label) == c).cast("double").alias("_y"))
         if method == "isotonic":
             models.append(IsotonicRegression(featuresCol="_iso", labelCol="_y").fit(d.withColumnRenamed("_x", "_iso")))
         else:

@@ -39,12 +39,12 @@ def table_profile(spark, d):
 
 @query(
     "incident_rollup",
-    f"SELECT user_id AS incident, epoch_us(min(ts)) AS opened_us, epoch_us(max(ts)) AS updated_us, count(*) AS n_events, arg_max(event_type, ts) AS final_state, {R('arg_max(value, ts)')} AS final_priority FROM events GROUP BY user_id",
+    f"SELECT user_id AS incident, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS opened_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS updated_at, count(*) AS n_events, arg_max(event_type, ts) AS final_state, {R('arg_max(value, ts)')} AS final_priority FROM events GROUP BY user_id",
 )
 def incident_rollup(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("incident"), "ts", "event_id", F.col("event_type").alias("state"), F.col("value").alias("priority"))
     r = rd.roll_up_events(e, "incident", "ts", ["ts", "event_id"], ["state", "priority"])
-    return r.select("incident", F.unix_micros(F.col("opened_at").cast("timestamp")).alias("opened_us"), F.unix_micros(F.col("updated_at").cast("timestamp")).alias("updated_us"), "n_events", "final_state", "final_priority")
+    return r.select("incident", F.date_format("opened_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("opened_at"), F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("updated_at"), "n_events", "final_state", "final_priority")
 
 
 @query("cap_per_project", "SELECT doc_id AS id, source AS project FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 20")
@@ -113,10 +113,10 @@ def temporal_split(spark, d):
     return split_tickets(spark, d).select("id", "split")
 
 
-@query("split_summary", _SPLIT_SQL + "SELECT split, count(*) AS n, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM s GROUP BY split")
+@query("split_summary", _SPLIT_SQL + "SELECT split, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_at FROM s GROUP BY split")
 def split_summary(spark, d):
     s = sp.split_summary(split_tickets(spark, d), "ts")
-    return s.select("split", "n", F.unix_micros(F.col("first_ts").cast("timestamp")).alias("first_us"), F.unix_micros(F.col("last_ts").cast("timestamp")).alias("last_us"))
+    return s.select("split", "n", F.date_format("first_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first_at"), F.date_format("last_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_at"))
 
 
 @query("split_leakage_check", _SPLIT_SQL + "SELECT max(ts) FILTER (WHERE split='train') <= min(ts) FILTER (WHERE split='test') AS ok FROM s")
