@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from alertsieve.operators.lookup import lookup_join
 from alertsieve.operators.ordering import ordered
+from alertsieve.session import materialise
 
 # Two-sided 5 % points of the t distribution at 2w-2 degrees of freedom, by window w.
 T_CRITICAL = {5: 2.306004, 10: 2.100922, 15: 2.048407, 20: 2.024394}
@@ -110,11 +111,15 @@ def raw_hits(df: DataFrame, detectors: Sequence[Detector], key: str = "series_id
 
 
 def _in_pieces(df: DataFrame, keys: Sequence[str], pos: str, gap: Column) -> DataFrame:
-    """Add ``_piece``: a new piece starts where the distance to the previous row exceeds gap."""
-    o = ordered(df, keys, [pos], before=1)
+    """Add ``_piece``: a new piece starts where the distance to the previous row exceeds gap.
+
+    The points are written first: counting keys must not run the detectors again.
+    """
+    keys = list(keys)
+    o = ordered(materialise(df), keys, [pos], before=1)
     first = o.lag(pos).isNull() | (F.col(pos) - o.lag(pos) > gap)
     df = o.with_columns({"_new": first}).result()
-    o = ordered(df, keys, [pos]).with_running({"_piece": ("last", F.when(F.col("_new"), F.col(pos)))})
+    o = ordered(df, keys, [pos], like=o).with_running({"_piece": ("last", F.when(F.col("_new"), F.col(pos)))})
     return o.result().drop("_new")
 
 

@@ -135,14 +135,18 @@ def ordered(
     before: int = 0,
     after: int = 0,
     max_rows: int | None = None,
+    like: Ordered | None = None,
 ) -> Ordered:
     """Arrange ``df`` by ``keys`` and ``order`` (which must be total inside a key).
 
     ``before``/``after`` are the row frames that will be read; leave both 0 for running
-    values.
+    values. ``like`` is an arrangement of the same rows by the same keys: if its keys were small
+    enough, they are not counted again.
     """
     keys = list(keys)
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    if like is not None and not like.split and like.keys == keys:
+        return Ordered(df, keys, order_cols, split=False)
     limit = max_rows or max_group_rows(df.sparkSession)
     n, largest = largest_group(df, keys)
     if largest <= limit:
