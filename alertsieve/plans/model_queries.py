@@ -424,7 +424,7 @@ def root_cause_profiles(spark, d):
 
 _DU = "WITH " + SCORES_SQL + f""", a AS (SELECT id, preda=label AS ok, ca, [1.0::DOUBLE + 20.0::DOUBLE*x for x in pa] AS al FROM scores), s AS (SELECT id, ok, ca, list_sum(al) AS s, unnest(al) AS x FROM a),
 g AS (SELECT id, ok, ca, max(s) AS s, -sum(x/s*ln(x/s+1e-10)) AS tot, sum(-x/s*{digamma_sql('(x+1.0::DOUBLE)')}) AS i FROM s GROUP BY ALL), u AS (SELECT id, ok, 1-ca AS confidence, tot AS total, tot - (i + {digamma_sql('(s+1.0::DOUBLE)')}) AS epistemic FROM g),
-l AS (UNPIVOT u ON confidence, total, epistemic INTO NAME measure VALUE x), o AS (SELECT measure, ok, ntile(1) OVER () AS one, row_number() OVER (PARTITION BY measure ORDER BY x, id) AS r, count(*) OVER (PARTITION BY measure) AS n FROM l), gr(coverage) AS (VALUES (0.5::DOUBLE),(0.7::DOUBLE),(0.9::DOUBLE)) """
+l AS (UNPIVOT u ON confidence, total, epistemic INTO NAME measure VALUE x), o AS (SELECT measure, ok, row_number() OVER (PARTITION BY measure ORDER BY x, id) AS r, count(*) OVER (PARTITION BY measure) AS n FROM l), gr(coverage) AS (VALUES (0.5::DOUBLE),(0.7::DOUBLE),(0.9::DOUBLE)) """
 
 
 @query("uncertainty_comparison", _DU + f"SELECT measure, coverage, {R('avg(ok::INT)')} AS accuracy FROM o, gr WHERE r <= floor(n*coverage) GROUP BY ALL")

@@ -130,27 +130,26 @@ def tomek_links(spark, d):
 
 # --- clusters -----------------------------------------------------------------------------------------------
 
-_EPS = 0.5
+_EPS = 1.17
 
 
 @query(
     "eps_neighbourhoods",
-    f"WITH v AS (SELECT vec_id AS id, [x::DOUBLE for x in embedding[1:3]] AS v FROM embeddings) SELECT a.id, count(*) AS n FROM v a, v b WHERE list_distance(a.v,b.v) <= 0.1 GROUP BY a.id",
+    _V + f" SELECT a.id, count(*) AS n FROM v a, v b WHERE list_distance(a.v,b.v) <= {_EPS} GROUP BY a.id",
 )
 def eps_neighbourhoods(spark, d):
-    v = vectors(spark, d).select("id", F.slice("v", 1, 3).alias("v"))
-    return nb.within(v, v, 0.1).select("id", "n")
+    v = vectors(spark, d).select("id", "v")
+    return nb.within(v, v, _EPS).select("id", "n")
 
 
 @query(
     "dbscan",
-    "WITH RECURSIVE v AS (SELECT vec_id AS id, [x::DOUBLE for x in embedding[1:3]] AS v FROM embeddings), e AS (SELECT a.id, b.id AS nid FROM v a, v b WHERE list_distance(a.v,b.v) <= 0.07), c AS (SELECT id FROM e GROUP BY id HAVING count(*) >= 5), ce AS (SELECT e.* FROM e WHERE id IN (SELECT id FROM c) AND nid IN (SELECT id FROM c)), "
+    "WITH RECURSIVE v AS (SELECT vec_id AS id, [x::DOUBLE for x in embedding] AS v FROM embeddings), e AS (SELECT a.id, b.id AS nid FROM v a, v b WHERE list_distance(a.v,b.v) <= 1.17), c AS (SELECT id FROM e GROUP BY id HAVING count(*) >= 5), ce AS (SELECT e.* FROM e WHERE id IN (SELECT id FROM c) AND nid IN (SELECT id FROM c)), "
     "rch(id, root) AS (SELECT id, id FROM c UNION SELECT ce.nid, r.root FROM rch r JOIN ce ON ce.id=r.id), lab AS (SELECT id, min(root) AS cluster FROM rch GROUP BY id) "
     "SELECT id, cluster, TRUE AS is_core FROM lab UNION ALL SELECT v.id, coalesce((SELECT min(l.cluster) FROM e JOIN lab l ON l.id=e.nid WHERE e.id=v.id), -1), FALSE FROM v WHERE v.id NOT IN (SELECT id FROM c)",
 )
 def dbscan(spark, d):
-    v = vectors(spark, d).select("id", F.slice("v", 1, 3).alias("v"))
-    return nb.dbscan(v, 0.07, 5)
+    return nb.dbscan(vectors(spark, d).select("id", "v"), _EPS, 5)
 
 
 _CL = _V + ", c AS (SELECT id, v, label, CASE WHEN v[1] > 0 THEN 1 ELSE 0 END + CASE WHEN v[2] > 0 THEN 2 ELSE 0 END AS cluster FROM v)"

@@ -47,3 +47,10 @@ def test_safe_columns():
     names = ["single_alert_status", "series_id", "push_timestamp", "amount", "backfill_state", "title_text"]
     assert safe_columns(names, []) == ["amount", "title_text"]
     assert safe_columns(names, ["amount"], strict=True) == ["series_id"]
+
+
+def test_read_scores(spark, tmp_path):
+    rows = [(1, "test", "text", 0, 0, [0.9, 0.1]), (1, "test", "tree", 0, 1, [0.2, 0.8]), (2, "cal", "text", 1, 1, [0.3, 0.7]), (2, "cal", "tree", 1, 1, [0.4, 0.6])]
+    spark.createDataFrame(rows, rd.SCORE_SCHEMA).write.parquet(str(tmp_path / "scores"))
+    got = {r["id"]: r for r in rd.read_scores(spark, str(tmp_path / "scores"), "text", "tree").collect()}
+    assert not got[1]["agree"] and got[2]["agree"] and got[1]["pb"] == [0.2, 0.8]
