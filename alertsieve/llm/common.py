@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +26,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Itera
             yield batch.slice(at, rows)
 
 
+def kept_in_worker(key: Hashable, make: Callable[[], Any]) -> Any:
+    """A value that later tasks of the same Python worker find again.
+
+    Functions travel to the workers by value, so a global of this module would be new in each task.
+    """
+    kept = sys.__dict__.setdefault("_alertsieve_kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def lower_words(text: str | None) -> list[bytes]:
     """Words of a text as UTF-8, with A-Z lower-cased (bytes.lower and bytes.split know ASCII only)."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -31,7 +44,7 @@ def lower_words(text: str | None) -> list[bytes]:
 
 def words(text: Column) -> Column:
     """The words of a text as an array without empty strings; empty for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAKS), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_BREAKS), "")
 
 
 def ascii_lower(text: Column) -> Column:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from alertsieve.llm import token_output
-from alertsieve.llm.common import read
+from alertsieve.llm import language, quality, token_output
+from alertsieve.llm.common import bucket, read
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -34,3 +35,17 @@ def tokenizer_file(name: str) -> str:
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = token_output.write_shards(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return token_output.read_shards(shards)
+
+
+@llm_query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = bucket(F.col("doc_id"), 5) == 0
+    model = language.fit(docs.where(~held))
+    scored = language.predict(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+@llm_query("op8_quality_rules")
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents"))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertsieve.llm.common import slices
+from alertsieve.llm.common import kept_in_worker, slices
 from alertsieve.session import materialise
 
 #: Ids per word and bits per id of each selector (fixed values). Selector 0 is an escape: its bits are a place in ``escapes``.
@@ -208,14 +208,9 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder_of(path: str) -> Encoder:
     """One encoder for each Python worker, so that later tasks find the units of earlier ones."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept_in_worker(("encoder", path), lambda: Encoder(path))
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
