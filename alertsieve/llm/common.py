@@ -6,7 +6,9 @@ import sys
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +58,99 @@ def ascii_lower(text: Column) -> Column:
 def bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
+
+
+SLICE_BYTES = 1 << 20
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], text: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices whose texts (column number ``text``) have about ``most`` bytes together; a longer text comes alone."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < batch.num_rows:
+            base = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+def mix64(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit words that spreads each bit over all."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _byte_values() -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit value for each byte, the same for A-Z and a-z; which bytes break words."""
+    values = mix64((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _MIX)
+    values[65:91] = values[97:123]
+    breaks = np.zeros(256, bool)
+    breaks[[9, 10, 11, 12, 13, 32]] = True
+    return values, breaks
+
+
+class Powers:
+    """Powers of an odd number and of its inverse modulo 2^64, as many as were asked for."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            base = 0xD6E8FEB86659FD93
+            inverse = pow(base, -1, 1 << 64)
+            size = max(n, SLICE_BYTES + 4096)
+            for name, x in (("up", base), ("down", inverse)):
+                powers = np.full(size, x, np.uint64)
+                powers[0] = 1
+                setattr(self, name, np.multiply.accumulate(powers))
+        return self.up, self.down
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, with A-Z lower-cased, and where each text's words begin and end.
+
+    Works on the UTF-8 bytes of the Arrow array without making Python strings. Nulls have no words.
+    """
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
+    first, last = int(offsets[0]), int(offsets[-1])
+    edges = offsets - first
+    n = last - first
+    if n == 0:
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8, n, first)
+    values, breaks = kept_in_worker("byte values", _byte_values)
+    up, down = kept_in_worker("powers", Powers).upto(n + 1)
+    gap = breaks[data]
+    before = np.empty(n, bool)
+    before[0], before[1:] = True, gap[:-1]
+    inner = edges[(edges > 0) & (edges < n)]
+    before[inner] = True
+    after = np.empty(n, bool)
+    after[-1], after[:-1] = True, gap[1:]
+    after[inner - 1] = True
+    starts, ends = np.flatnonzero(~gap & before), np.flatnonzero(~gap & after) + 1
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(values[data] * up[:n], out=sums[1:])
+    hashes = (sums[ends] - sums[starts]) * down[starts]
+    return mix64(hashes + (ends - starts).astype(np.uint64) * _MIX), np.searchsorted(starts, edges)
+
+
+def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the ``k``-word windows of one text; of the whole sequence if it is shorter; none without words."""
+    if len(words) == 0:
+        return words
+    size = min(k, len(words))
+    n = len(words) - size + 1
+    h = np.full(n, size, np.uint64)
+    for j in range(size):
+        h = (h ^ words[j : j + n]) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(j + 1)
+        h ^= h >> np.uint64(29)
+    return mix64(h)
