@@ -95,16 +95,17 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
     got = sorted(sample.select("_text", "_lang", "_rank").mapInArrow(flags, "lang string, rank int, bits binary").collect(), key=lambda r: (r["rank"], r["lang"]))
     languages = sorted({r["lang"] for r in got})
-    x = _normed(np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in got), np.uint8).reshape(len(got), -1), axis=1))
     y = np.asarray([[r["lang"] == k for k in languages] for r in got], np.float64)
-    z = x[:landmarks]  # sorted by rank, so each language has as many landmarks
-    values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
+    part = lambda i, n: _normed(np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in got[i : i + n]), np.uint8).reshape(-1, DIMS // 8), axis=1))
+    z = part(0, landmarks)  # sorted by rank, so each language has as many landmarks
+    kernel = np.concatenate([part(i, BATCH) @ z.T for i in range(0, len(got), BATCH)]).astype(np.float64)  # a batch of flags in memory at a time
+    values, vectors = np.linalg.eigh(kernel[: len(z)])
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    phi = (x @ z.T).astype(np.float64) @ root
+    phi = kernel @ root
     mean = phi.mean(0)
     beta = np.linalg.solve((phi - mean).T @ (phi - mean) + RIDGE * len(phi) * np.eye(phi.shape[1]) / phi.shape[1], (phi - mean).T @ (y - y.mean(0)))
-    weights = z.T.astype(np.float64) @ (root @ beta)
+    weights = z.T @ (root @ beta).astype(np.float32)
     return LanguageModel(languages, weights.astype(np.float32), (y.mean(0) - mean @ beta).astype(np.float32))
 
 

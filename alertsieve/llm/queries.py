@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertsieve.llm import jaccard, language, quality, token_output
+from alertsieve.llm import decontaminate, jaccard, language, quality, token_output
 from alertsieve.llm.common import bucket, read
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @llm_query("op4_ngram_jaccard")
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read(spark, sf_dir, "documents"))
+
+
+@llm_query("op7_benchmark_leaks")
+def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
