@@ -84,13 +84,15 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _byte_values() -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit value for each byte, the same for A-Z and a-z; which bytes break words."""
+def _byte_values() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit value for each byte, the same for A-Z and a-z; which bytes break words, without and with ASCII marks."""
     values = mix64((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _MIX)
     values[65:91] = values[97:123]
     breaks = np.zeros(256, bool)
     breaks[[9, 10, 11, 12, 13, 32]] = True
-    return values, breaks
+    marks = breaks.copy()
+    marks[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
+    return values, breaks, marks
 
 
 class Powers:
@@ -111,11 +113,14 @@ class Powers:
         return self.up, self.down
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, with A-Z lower-cased, and where each text's words begin and end.
 
-    Works on the UTF-8 bytes of the Arrow array without making Python strings. Nulls have no words.
+    Works on the UTF-8 bytes of the Arrow array without making Python strings. Nulls have no words. ``plain`` lower-cases
+    all letters and breaks words at ASCII marks too.
     """
+    if plain:
+        texts = pc.utf8_lower(texts)
     if texts.null_count:
         texts = pc.fill_null(texts, "")
     texts = texts.cast(pa.large_string())
@@ -126,9 +131,9 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8, n, first)
-    values, breaks = kept_in_worker("byte values", _byte_values)
+    values, breaks, marks = kept_in_worker("byte values", _byte_values)
     up, down = kept_in_worker("powers", Powers).upto(n + 1)
-    gap = breaks[data]
+    gap = (marks if plain else breaks)[data]
     before = np.empty(n, bool)
     before[0], before[1:] = True, gap[:-1]
     inner = edges[(edges > 0) & (edges < n)]

@@ -35,7 +35,7 @@ class Seeds:
 
     @staticmethod
     def of(ids: list, texts: list[str | None]) -> Seeds:
-        hashed, edges = word_hashes(pa.array(texts, pa.string()))
+        hashed, edges = word_hashes(pa.array(texts, pa.string()), plain=True)
         words = [hashed[a:b] for a, b in zip(edges[:-1], edges[1:])]
         seeds = [shingle_hashes(w, SEED_WORDS) for w in words]
         empty = np.zeros(0, np.int64)
@@ -121,8 +121,8 @@ def leaks_of(words: np.ndarray, seeds: Seeds, threshold: float) -> list[tuple[in
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, portion_bytes: int = PORTION_BYTES) -> DataFrame:
     """Rows (id, item_id, score, first_word, end_word) of documents that hold a test item, whole or edited.
 
-    ``score`` is the Smith-Waterman score over words (A-Z lower-cased) as a share of an exact copy's, at least
-    ``threshold``. Whole texts are searched. Null or empty texts and items give no rows; repeated documents and items
+    ``score`` is the Smith-Waterman score over words (runs between white space and ASCII marks, all
+    letters lower-cased) as a share of an exact copy's, at least ``threshold``. Whole texts are searched. Null or empty texts and items give no rows; repeated documents and items
     give their rows each; other columns are not read. Items are sent to all tasks in portions of ``portion_bytes``.
     """
     tests = items.select(F.col(item_col).cast("bigint").alias("item"), F.col(item_text).alias("text")).where("text IS NOT NULL")
@@ -146,7 +146,7 @@ def _portion(rows: DataFrame, seeds: Seeds, threshold: float) -> DataFrame:
         own = Seeds(*sent.value)
         n = np.zeros(len(own.hashes), np.int64)
         for batch in text_slices(batches, 0):
-            words, edges = word_hashes(batch.column(0))
+            words, edges = word_hashes(batch.column(0), plain=True)
             for a, b in zip(edges[:-1], edges[1:]):
                 n[np.unique(own.find(words[a:b])[1])] += 1
         some = np.flatnonzero(n)
@@ -160,7 +160,7 @@ def _portion(rows: DataFrame, seeds: Seeds, threshold: float) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Seeds(*rare.value)
         for batch in text_slices(batches, 1):
-            words, edges = word_hashes(batch.column(1))
+            words, edges = word_hashes(batch.column(1), plain=True)
             ids = batch.column(0).to_pylist()
             found = [(doc, own.ids[i], *rest) for doc, a, b in zip(ids, edges[:-1], edges[1:]) for i, *rest in leaks_of(words[a:b], own, threshold)]
             if found:
