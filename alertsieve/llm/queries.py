@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertsieve.llm import decontaminate, jaccard, language, quality, token_output
+from alertsieve.llm import decontaminate, jaccard, language, quality, sentencepiece_fst, token_counts, token_output
 from alertsieve.llm.common import bucket, read
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,17 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @llm_query("op7_benchmark_leaks")
 def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@llm_query("op3_sentencepiece")
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_file("piece_bpe_32k.model")
+    coded = sentencepiece_fst.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    back = sentencepiece_fst.decode(coded, model)
+    ids = F.concat_ws(",", F.col("piece_ids").cast("array<string>"))
+    return back.select("doc_id", F.size("piece_ids").cast("bigint").alias("n_pieces"), F.crc32(ids.cast("binary")).alias("ids_crc32"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+
+
+@llm_query("op5_token_counts")
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
