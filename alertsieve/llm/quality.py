@@ -117,9 +117,10 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
 
     own = sketches.select("_lang", "_source", F.when(F.col("_n") >= least_rows, fences(sketches)).alias("_own"))
     lang = by_lang.select("_l", F.when(F.col("_n") >= least_rows, fences(by_lang)).alias("_of_lang"))
-    every = of_all.select(F.when(F.col("_n") > 0, fences(of_all)).alias("_of_all"), F.lit(1).alias("_one"))
-    limits = own.join(lang, own["_lang"].eqNullSafe(lang["_l"]), "left").withColumn("_one", F.lit(1)).join(every, "_one", "left")
-    limits = limits.select(F.col("_lang").alias("_gl"), F.col("_source").alias("_gs"), F.coalesce("_own", "_of_lang", "_of_all").alias("_limit"))
+    every = of_all.select(F.when(F.col("_n") > 0, fences(of_all)).alias("_f")).first()["_f"]  # one row
+    rest = F.struct(*[F.lit(v).cast("double").alias(k) for k, v in every.asDict().items()]) if every else F.lit(None)
+    limits = own.join(lang, own["_lang"].eqNullSafe(lang["_l"]), "left")
+    limits = limits.select(F.col("_lang").alias("_gl"), F.col("_source").alias("_gs"), F.coalesce("_own", "_of_lang", rest).alias("_limit"))
     judged = rows.join(limits, rows["_lang"].eqNullSafe(limits["_gl"]) & rows["_source"].eqNullSafe(limits["_gs"]), "left")
     beyond = [F.when((F.col(m) > F.col(f"_limit.{m}_to")) | (F.col(m) < F.col(f"_limit.{m}_from")), F.lit(m)) for m in FENCES]
     judged = judged.withColumn("failed", F.when(F.col("base_failed"), F.array(F.lit("base"))).otherwise(F.array_compact(F.array(*beyond))))

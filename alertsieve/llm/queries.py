@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertsieve.llm import decontaminate, jaccard, language, quality, sentencepiece_fst, token_counts, token_output
+from alertsieve.llm import decontaminate, jaccard, language, quality, sentencepiece_fst, token_counts, token_output, url_rules
 from alertsieve.llm.common import bucket, read
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,24 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @llm_query("op5_token_counts")
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+#: host, path, verdict (fixed values)
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+_URL_RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+
+
+@llm_query(
+    "op2_url_rules",
+    f"""
+WITH rules(h, p, v) AS (VALUES {_URL_RULES_SQL}),
+u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+m AS (SELECT host, path, max(struct_pack(n := length(h) + length(p), k := length(h), rule := h || p, verdict := v)) AS best
+  FROM (SELECT DISTINCT host, path FROM u) JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path)
+SELECT page_id, u.host, u.path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict
+FROM u LEFT JOIN m ON u.host = m.host AND u.path = m.path
+""",
+)
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(read(spark, sf_dir, "pages"), url_rules.rule_table(spark, URL_RULES))
