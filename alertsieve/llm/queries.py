@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertsieve.llm import decontaminate, jaccard, language, quality, sentencepiece_fst, token_counts, token_output, url_rules
+from alertsieve.llm import decontaminate, jaccard, language, licenses, quality, sentencepiece_fst, token_counts, token_output, url_rules
 from alertsieve.llm.common import bucket, read
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,30 @@ FROM u LEFT JOIN m ON u.host = m.host AND u.path = m.path
 )
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(read(spark, sf_dir, "pages"), url_rules.rule_table(spark, URL_RULES))
+
+
+#: license, text of its notice (fixed values)
+LICENSES = [
+    ("all-rights-reserved", "All rights reserved."),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
+    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("mit", "Released under the MIT License."),
+]
+_LICENSES_SQL = ", ".join(f"('{k}', '{t}')" for k, t in LICENSES)
+_SCAN_SQL = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2f\x3a-\x60\x7b-\x7f]+'), lambda x: x <> '')"
+_SHINGLES_SQL = "CASE WHEN len(w) >= 3 THEN list_distinct([w[i] || ' ' || w[i+1] || ' ' || w[i+2] for i in range(1, len(w) - 1)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
+
+
+@llm_query(
+    "op10_license_scan",
+    f"""
+WITH t AS (SELECT license, {_SHINGLES_SQL} AS want FROM (SELECT license, {_SCAN_SQL} AS w FROM (VALUES {_LICENSES_SQL}) v(license, text))),
+x AS (SELECT license, want, unnest(want) AS s FROM t),
+d AS (SELECT doc_id, unnest({_SHINGLES_SQL}) AS s FROM (SELECT doc_id, {_SCAN_SQL} AS w FROM documents))
+SELECT doc_id, license, count(*) / any_value(len(want))::DOUBLE AS containment
+FROM (SELECT DISTINCT doc_id, s FROM d) d JOIN x USING (s) GROUP BY doc_id, license HAVING count(*) >= 0.8 * any_value(len(want))
+""",
+)
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"), licenses.template_table(spark, LICENSES))
