@@ -4,10 +4,12 @@ All shingles stand in one global order: those that are frequent somewhere come l
 cut into fragments, and each set into segments. Overlaps of two sets are counted for each fragment separately and
 summed per pair; a pair whose first fragment differs in more shingles than the whole pair may is dropped early.
 
-Which pairs are counted: two sets of similarity t share a shingle among the first ``n - ceil(t n) + 1`` of each in
-the global order. In each bucket of such a shingle, sets are first compared with a few pivots, which costs a row for
-each set; groups of copies become one component that way. After that only pairs of different components remain, and
-all of those are compared. So no link between components is lost and no group is expanded into all its pairs.
+Which pairs are counted: two sets of similarity t share at least l shingles among the first ``n - ceil(t n) + l`` of
+each in the global order, for any l; here l is a 32nd of the set. Sets with fewer shared shingles there link with
+nothing. In each bucket of such a shingle, sets are first compared with a few pivots, which costs a row for each set;
+groups of copies become one component that way. After that only pairs of different components remain, and all of
+those with enough shared shingles are compared. So no link between components is lost and no group is expanded into
+all its pairs.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ FRAGMENTS = 8
 COMMON = 1 << 17  # frequent shingles that the order knows; the rest of the order needs no counts
 CHUNK = 1 << 22  # shingles that a task counts at once
 PIVOT_ROUNDS = 3
+SHARED = 32
+PRUNE_ROUNDS = 3
 
 
 def _sets(batch: pa.RecordBatch, text: int, k: int) -> Iterator[np.ndarray]:
@@ -81,7 +85,7 @@ def _ordered(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> tup
 
 
 def set_table(docs: DataFrame, common, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """Written: _id, n (size of the set), digest of the set, prefix (its first shingles in the global order)."""
+    """Written: _id, n (size of the set), digest of the set, prefix (its first shingles in the global order, 48 bits of each)."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,10 +94,10 @@ def set_table(docs: DataFrame, common, id_col: str, text_col: str, k: int, perce
             for x in _sets(batch, 1, k):
                 n.append(len(x))
                 digests.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
-                first = len(x) - (percent * len(x) + 99) // 100 + 1 if len(x) else 0
-                prefixes.append(_ordered(x, sent.value)[0][:first].view(np.int64))
+                first = len(x) - (percent * len(x) + 99) // 100 + max(1, len(x) // SHARED) if len(x) else 0
+                prefixes.append(_ordered(x, sent.value)[0][:first] >> np.uint64(16))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-            flat = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))
+            flat = pa.array((np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["_id", "n", "digest", "prefix"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
@@ -172,15 +176,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Two rows link when 100 * common >= ``percent`` * united over their sets of distinct ``k``-word shingles (A-Z
     lower-cased; the whole sequence if there are fewer words). Rows without words, nulls too, link with nothing.
-    Equal sets link. Ids are whole numbers; rows that repeat an id and its text stay. Shingles and digests are
+    Equal sets link. Ids are whole numbers; rows may repeat an id together with its text. Shingles and digests are
     compared as hashes of 64 and 128 bits. Other columns are not read; an empty table gives an empty result.
     """
     common = frequent_shingles(docs, text_col, k)
     sets = set_table(docs, common, id_col, text_col, k, percent)
-    classes = materialise(sets.where("n > 0").groupBy("digest").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    prefixes = classes.select("rep", "n", F.explode("prefix").alias("s"))
-    buckets = prefixes.groupBy("s").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    shared = materialise(prefixes.join(buckets.select("s"), "s").select("s", "rep", "n"))
+    some = sets.where("n > 0")
+    classes = some.groupBy("digest").agg(F.min("_id").alias("rep"))
+    reps = some.join(classes, (some["_id"] == classes["rep"]) & (some["digest"] == classes["digest"]), "left_semi")
+    prefixes = reps.select(F.col("_id").alias("rep"), "n", F.explode("prefix").alias("s"))
+    shared = materialise(prefixes.join(prefixes.groupBy("s").count().where("count > 1").select("s"), "s"))
+    need = lambda n: F.greatest(F.lit(1), F.floor(F.ceil(n * percent / 100) / SHARED))  # noqa: E731  of a set or a partner a little smaller
+    for _ in range(PRUNE_ROUNDS):  # sets with too few shared shingles go, and then buckets with one set
+        enough = shared.groupBy("rep").agg(F.count("*").alias("_c"), F.first("n").alias("_n")).where(F.col("_c") >= need(F.col("_n"))).select("rep")
+        left = shared.join(enough, "rep")
+        shared = materialise(left.join(left.groupBy("s").count().where("count > 1").select("s"), "s").select("s", "rep", "n"))
     segments = segment_table(docs, shared.select(F.col("rep").alias("_id")).distinct(), common, id_col, text_col, k)
 
     fits = lambda n, m: (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m))
@@ -212,9 +222,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = materialise(rows.join(mixed, "s"))
     x = rows.select("s", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
     y = rows.select("s", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    last = x.join(y, "s").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb"))).select("a", "na", "b", "nb").distinct()
+    last = x.join(y, "s").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb")))
+    last = last.groupBy("a", "na", "b", "nb").count().where(F.col("count") >= need(F.greatest("na", "nb"))).drop("count")
     last = materialise(last.join(tried, ["a", "b"], "left_anti"))
     comps = components(linked(last, segments, percent), comps)
+    classes = some.groupBy("digest").agg(F.min("_id").alias("rep"))
     of_class = classes.join(comps.select(F.col("_id").alias("rep"), "comp"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("comp"))
     found = sets.select("_id", "n", "digest").join(of_class, "digest", "left")
     return found.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "_id").alias("component_id"))
