@@ -193,7 +193,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         shared = materialise(left.join(left.groupBy("s").count().where("count > 1").select("s"), "s").select("s", "rep", "n"))
     segments = segment_table(docs, shared.select(F.col("rep").alias("_id")).distinct(), common, id_col, text_col, k)
 
-    fits = lambda n, m: (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m))
+    # shingles that no other set left has can't be in an overlap
+    alone = segments.select("_id", F.explode("seg").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("_id").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("u"))
+    shared = shared.join(alone, "rep", "left").select("s", "rep", "n", F.coalesce("u", F.lit(0)).alias("u"))
+    shared = materialise(shared.where((F.col("n") - F.col("u")) * 100 >= F.col("n") * percent))
+
+    def fits(n: Column, u: Column, m: Column, v: Column) -> Column:
+        """Whether sets of n and m shingles, u and v of them in no other set, may be similar enough."""
+        least = percent * (n + m)  # times 1 / (100 + percent): the overlap that they need
+        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((n - u) * (100 + percent) >= least) & ((m - v) * (100 + percent) >= least)
 
     def pairs_of(a: Column, na: Column, b: Column, nb: Column) -> list[Column]:
         low = F.least(a, b)
@@ -203,11 +211,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tried = None
     rows = shared
     for r in range(rounds):
-        # rows of buckets that hold different components; the pivots of a bucket are chosen by hash
-        order = F.struct(F.xxhash64("rep", F.lit(r)), "rep", "n")
-        pivots = rows.groupBy("s").agg(F.min(order).alias("p"), F.max(order).alias("q"), F.min("comp" if comps is not None else "rep").alias("c0"), F.max("comp" if comps is not None else "rep").alias("c1")).where("c0 < c1")
-        near = rows.join(pivots.select("s", F.array(F.col("p"), F.col("q")).alias("pq")), "s").select("rep", "n", *(["comp"] if comps is not None else []), F.explode("pq").alias("p"))
-        near = near.where((F.col("rep") != F.col("p.rep")) & fits(F.col("n"), F.col("p.n")))
+        # rows of buckets that hold different components; pivots are the set with fewest shingles of its own, and one by hash
+        chance = F.struct(F.xxhash64("rep", F.lit(r)).alias("h"), "rep", "n", "u")
+        middle = F.struct(F.col("u").alias("h"), "rep", "n", "u")
+        pivots = rows.groupBy("s").agg((F.min(middle) if r == 0 else F.max(chance)).alias("p"), F.min(chance).alias("q"), F.min("comp" if comps is not None else "rep").alias("c0"), F.max("comp" if comps is not None else "rep").alias("c1")).where("c0 < c1")
+        near = rows.join(pivots.select("s", F.array(F.col("p"), F.col("q")).alias("pq")), "s").select("rep", "n", "u", F.explode("pq").alias("p"))
+        near = near.where((F.col("rep") != F.col("p.rep")) & fits(F.col("n"), F.col("u"), F.col("p.n"), F.col("p.u")))
         pairs = near.select(*pairs_of(F.col("rep"), F.col("n"), F.col("p.rep"), F.col("p.n"))).distinct()
         if comps is not None:
             pairs = _across(pairs, comps)
@@ -217,12 +226,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         comps = components(linked(pairs, segments, percent), comps)
         rows = shared.join(comps.select(F.col("_id").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        rows = rows.select("s", "rep", "n", "comp")
+        rows = rows.select("s", "rep", "n", "u", "comp")
     mixed = rows.groupBy("s").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("s")
     rows = materialise(rows.join(mixed, "s"))
-    x = rows.select("s", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = rows.select("s", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    last = x.join(y, "s").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb")))
+    x = rows.select("s", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("u").alias("ua"), F.col("comp").alias("ca"))
+    y = rows.select("s", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub"), F.col("comp").alias("cb"))
+    last = x.join(y, "s").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("ua"), F.col("nb"), F.col("ub")))
     last = last.groupBy("a", "na", "b", "nb").count().where(F.col("count") >= need(F.greatest("na", "nb"))).drop("count")
     last = materialise(last.join(tried, ["a", "b"], "left_anti"))
     comps = components(linked(last, segments, percent), comps)
