@@ -4,6 +4,7 @@ Words are runs of letters and digits in lower case. A template (or each part of
 belongs to the smallest size class that holds its shingles. For each class in use, a text is cut into windows of twice
 the class size that overlap by half, so a whole copy of a template of the class lies in one window. Each window and
 template has ``BANDS`` MinHash values, one row a band: the least and the largest hash under ``BANDS`` / 2 scramblings.
+A text that holds none of the shingles from which the templates' values come can't meet any and isn't cut to windows.
 A window around a verbatim copy has a Jaccard similarity of 3/8 or more with it (a class is at most 4/3 of its
 templates' size from 3 shingles on), so at least one of 16 bands meets with probability 1 - (5/8)^16 = 0.9995; at 80 %
 of the shingles it is 1 - 0.71^16 = 0.996. Retrieved templates are then compared with the text, shingle by shingle.
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertsieve.functions.probs import let
+from alertsieve.session import materialise
 
 SHINGLE = 3  # words; license notices may have no more
 CONTAINMENT = 0.8
@@ -47,35 +49,48 @@ def _scrambles() -> list[int]:
     return [x - (1 << 64) if x >= 1 << 63 else x for x in out]
 
 
-def _scrambled(hashes: Column, a: int) -> Column:
-    return F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(a)))
+def _min_and_max(hashes: str, body: str) -> str:
+    """SQL: ``body`` for the hashes under each scrambling, with ``{x}`` for them and ``{f}`` for least and greatest; all in one array."""
+    parts = [f"get(transform(array(transform({hashes}, v -> v ^ {a}L)), x -> {body.format(x='x', f=f)}), 0)" for a in _scrambles() for f in ("least", "greatest")]
+    return f"concat({', '.join(parts)})"
 
 
-def _ends(hashes: Column) -> Column:
-    """The least and the largest of an array, which are two MinHash values."""
-    return F.array(F.array_min(hashes), F.array_max(hashes))
+def _chain(x: str, sizes: list[int], width: int, wanted: list[int]) -> str:
+    """SQL: band values of the windows of ``wanted`` sizes among the doubling ``sizes``, from blocks of ``x`` of ``width`` each.
 
-
-def band_values(hashes: Column, sizes: list[int]) -> Column:
-    """MinHash values of all overlapping windows of a text, of each size class in use."""
-
-    def of_size(x: Column, size: int) -> Column:
-        windows = F.greatest(F.ceil(F.size(x) / size).cast("int") - 1, F.lit(1))
-        return F.flatten(F.transform(F.sequence(F.lit(0), windows - 1), lambda j: let(F.slice(x, j * size + 1, F.lit(2 * size)), _ends)))
-
-    scrambled = [let(_scrambled(hashes, a), lambda x: F.concat(*[of_size(x, s) for s in sizes])) for a in _scrambles()]
-    return F.when(F.size(hashes) > 0, F.concat(*scrambled)).otherwise(F.array().cast("array<bigint>"))
+    A window is two blocks side by side. Blocks of a size come from pairs of blocks of half the size, so all sizes
+    together cost two steps for each shingle.
+    """
+    name = f"b{sizes[0]}"
+    values = ", ".join(f"get({x}, j * {width} + {i})" for i in range(width))
+    blocks = x if width == 1 else f"transform(sequence(0, cast(ceil(size({x}) / {width}) AS int) - 1), j -> {{f}}({values}))"
+    windows = f"transform(sequence(0, greatest(size({name}) - 2, 0)), j -> {{f}}(get({name}, j), get({name}, j + 1)))"
+    more = [s for s in wanted if s > sizes[0]]
+    body = windows if sizes[0] in wanted else ""
+    if more:
+        rest = _chain(name, sizes[1:], 2, more)
+        body = f"concat({body}, {rest})" if body else rest
+    return f"get(transform(array({blocks}), {name} -> {body}), 0)"
+
+
+def band_values(hashes: str, sizes: list[int]) -> Column:
+    """MinHash values of all overlapping windows of a text, of each size class in use; ``hashes`` names a column of shingle hashes."""
+    twos, threes = [s for s in SIZES if s & (s - 1) == 0], [s for s in SIZES if s % 3 == 0]
+    chains = [_chain("{x}", every, every[0], [s for s in sizes if s in every]) for every in (twos, threes) if any(s in every for s in sizes)]
+    body = f"concat({', '.join(chains)})"
+    return F.expr(f"CASE WHEN size({hashes}) > 0 THEN {_min_and_max(hashes, body)} ELSE cast(array() AS array<bigint>) END")
 
 
 def template_bands(templates: DataFrame) -> DataFrame:
-    """license, size, value: band values of each template or part of a template, with the class of its size."""
-    hashed = templates.select("license", _windows(scan_words(F.col("text")), lambda *x: F.xxhash64(*x)).alias("h")).where("size(h) > 0")
+    """license, size, value, shingle: band values of each template or part of one, the class of its size, and the shingle that has the value."""
+    hashed = materialise(templates.select("license", _windows(scan_words(F.col("text")), lambda *x: F.xxhash64(*x)).alias("h"))).where("size(h) > 0")
     # the last part reaches back, so that it isn't short
     parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size("h") / LARGEST).cast("int") - 1), lambda i: F.slice("h", F.greatest(F.lit(1), F.least(i * LARGEST + 1, F.size("h") - LARGEST + 1)), F.lit(LARGEST)))
-    cut = hashed.select("license", F.explode(parts).alias("h"))
+    cut = materialise(hashed.select("license", F.explode(parts).alias("h")))  # the plan below names the hashes many times
     size = F.element_at(F.filter(F.array(*[F.lit(s) for s in SIZES]), lambda s: s >= F.size("h")), 1)
-    values = F.concat(*[let(_scrambled(F.col("h"), a), _ends) for a in _scrambles()])
-    return cut.select("license", size.alias("size"), F.explode(F.array_distinct(values)).alias("value")).distinct()
+    ends = [f"{end}(transform(h, v -> v ^ {a}L))" for a in _scrambles() for end in ("array_min", "array_max")]
+    values = F.expr("array(" + ", ".join(f"struct({x} AS value, {x} ^ {a}L AS shingle)" for x, a in zip(ends, [a for a in _scrambles() for _ in range(2)])) + ")")
+    return cut.select("license", size.alias("size"), F.inline(values)).distinct()
 
 
 def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT, most_values: int = MOST_VALUES) -> DataFrame:
@@ -86,23 +101,23 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
     Other columns are not read. Up to ``most_values`` band values of the templates travel with the scan; with more,
     the values of the documents are joined with them instead, with equal results.
     """
-    bands = template_bands(templates)
+    bands = materialise(template_bands(templates))
     sizes = sorted(r["size"] for r in bands.select("size").distinct().collect())  # twelve at most
     hits = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     if not sizes:
         return hits.select(F.col("_id").alias(id_col), F.lit("").alias("license"), F.lit(0.0).alias("containment")).limit(0)
-    known = [r["value"] for r in bands.select("value").distinct().limit(most_values + 1).collect()]
-
-    def found(text: Column) -> Column:
-        hashed = let(scan_words(text), lambda w: _windows(w, lambda *x: F.xxhash64(*x)))
-        values = let(hashed, lambda h: band_values(h, sizes))
-        if len(known) > most_values:
-            return F.array_distinct(values)
-        return F.array_intersect(values, F.array(*[F.lit(v) for v in sorted(known)]))
-
-    hits = hits.select("_id", "_text", F.explode(found(F.col("_text"))).alias("value"))
+    known = bands.select("value", "shingle").distinct().limit(most_values + 1).collect()
+    hashed = let(scan_words(F.col("_text")), lambda w: _windows(w, lambda *x: F.xxhash64(*x)))
+    hits = hits.select("_id", "_text", F.inline(F.array(F.struct(hashed.alias("_h")))))
+    values = band_values("_h", sizes)
+    if len(known) <= most_values:
+        # a window can only have a template's value if it holds the shingle that the value comes from
+        literal = lambda name: F.array(*[F.lit(v) for v in sorted({r[name] for r in known})])
+        values = F.when(F.arrays_overlap("_h", literal("shingle")), F.array_intersect(values, literal("value")))
+    # explode() would put the whole expression into a filter as well
+    hits = hits.select("_id", "_text", F.explode_outer(F.array_distinct(values)).alias("value")).where("value IS NOT NULL")
     pairs = hits.join(bands.select("license", "value").distinct(), "value").groupBy("_id", F.xxhash64("_text").alias("_key"), "license").agg(F.first("_text").alias("_text"))
-    want = templates.select("license", shingle_texts(scan_words(F.col("text"))).alias("_want")).where("size(_want) > 0").groupBy("license").agg(F.max("_want").alias("_want"))
+    want = materialise(templates.select("license", shingle_texts(scan_words(F.col("text"))).alias("_want"))).where("size(_want) > 0").groupBy("license").agg(F.max("_want").alias("_want"))
     both = pairs.join(want, "license")
     share = let(shingle_texts(scan_words(F.col("_text"))), lambda s: F.size(F.array_intersect(F.col("_want"), s)) / F.size("_want"))
     return both.select(F.col("_id").alias(id_col), "license", share.alias("containment")).where(F.col("containment") >= containment)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertsieve.llm import decontaminate, jaccard, language, licenses, quality, sentencepiece_fst, token_counts, token_output, url_rules
+from alertsieve.llm import decontaminate, jaccard, language, licenses, lm_scoring, quality, sentencepiece_fst, token_counts, token_output, url_rules
 from alertsieve.llm.common import bucket, read
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,18 +107,36 @@ LICENSES = [
 ]
 _LICENSES_SQL = ", ".join(f"('{k}', '{t}')" for k, t in LICENSES)
 _SCAN_SQL = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2f\x3a-\x60\x7b-\x7f]+'), lambda x: x <> '')"
-_SHINGLES_SQL = "CASE WHEN len(w) >= 3 THEN list_distinct([w[i] || ' ' || w[i+1] || ' ' || w[i+2] for i in range(1, len(w) - 1)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
+
+
+def _shingles_sql(key: str, rows: str) -> str:
+    """Distinct windows of three words of each text, or the whole of a shorter one, as (key, s)."""
+    return f"""SELECT DISTINCT {key}, CASE WHEN n >= 3 THEN x || ' ' || y || ' ' || z ELSE whole END AS s FROM (
+  SELECT {key}, n, whole, i, x, lead(x, 1) OVER p AS y, lead(x, 2) OVER p AS z
+  FROM (SELECT {key}, len(w) AS n, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') END AS whole, unnest(w) AS x, generate_subscripts(w, 1) AS i
+    FROM (SELECT {key}, {_SCAN_SQL} AS w FROM {rows}))
+  WINDOW p AS (PARTITION BY {key} ORDER BY i)) WHERE n < 3 OR z IS NOT NULL"""
 
 
 @llm_query(
     "op10_license_scan",
     f"""
-WITH t AS (SELECT license, {_SHINGLES_SQL} AS want FROM (SELECT license, {_SCAN_SQL} AS w FROM (VALUES {_LICENSES_SQL}) v(license, text))),
-x AS (SELECT license, want, unnest(want) AS s FROM t),
-d AS (SELECT doc_id, unnest({_SHINGLES_SQL}) AS s FROM (SELECT doc_id, {_SCAN_SQL} AS w FROM documents))
-SELECT doc_id, license, count(*) / any_value(len(want))::DOUBLE AS containment
-FROM (SELECT DISTINCT doc_id, s FROM d) d JOIN x USING (s) GROUP BY doc_id, license HAVING count(*) >= 0.8 * any_value(len(want))
+WITH t AS ({_shingles_sql("license", f"(VALUES {_LICENSES_SQL}) v(license, text)")}),
+m AS (SELECT license, count(*) AS m FROM t GROUP BY license),
+d AS ({_shingles_sql("doc_id", "documents")})
+SELECT doc_id, license, count(*) / any_value(m)::DOUBLE AS containment
+FROM d JOIN t USING (s) JOIN m USING (license) GROUP BY doc_id, license HAVING count(*) >= 0.8 * any_value(m)
 """,
 )
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"), licenses.template_table(spark, LICENSES))
+
+
+@llm_query("op1_lm_scoring")
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = bucket(F.col("doc_id"), 7) == 2
+    scored = lm_scoring.score(read(spark, sf_dir, "documents"), ~held)
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+llm_query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
