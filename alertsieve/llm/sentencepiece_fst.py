@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from alertsieve.llm.common import kept_in_worker, slices
 from alertsieve.llm.pieces import SPACE, Cutter, PieceModel
@@ -149,7 +150,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), lists], [*(f.name for f in kept), ids_col])
 
-    schema = docs.select(*[F.col(f"`{f.name}`") for f in kept]).schema.add(ids_col, "array<int>")
+    schema = docs.select(*[F.col(f"`{f.name}`") for f in kept]).schema.add(ids_col, T.ArrayType(T.IntegerType()))
     return docs.mapInArrow(run, schema)
 
 
