@@ -112,7 +112,7 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
     values = band_values("_h", sizes)
     if len(known) <= most_values:
         # a window can only have a template's value if it holds the shingle that the value comes from
-        literal = lambda name: F.array(*[F.lit(v) for v in sorted({r[name] for r in known})])
+        literal = lambda name: F.expr("array(" + ", ".join(f"{v}L" if v > -(1 << 63) else f"-{(1 << 63) - 1}L - 1L" for v in sorted({r[name] for r in known})) + ")")
         values = F.when(F.arrays_overlap("_h", literal("shingle")), F.array_intersect(values, literal("value")))
     # explode() would put the whole expression into a filter as well
     hits = hits.select("_id", "_text", F.explode_outer(F.array_distinct(values)).alias("value")).where("value IS NOT NULL")
