@@ -8,8 +8,8 @@ Which pairs are counted: two sets of similarity t share at least l shingles amon
 each in the global order, for any l; here l is a 32nd of the set. Sets with fewer shared shingles there link with
 nothing. In each bucket of such a shingle, sets are first compared with a few pivots, which costs a row for each set;
 groups of copies become one component that way. After that only pairs of different components remain, and all of
-those with enough shared shingles are compared. So no link between components is lost and no group is expanded into
-all its pairs.
+those whose first common shingle stands early enough in both sets are compared. So no link between components is lost
+and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -184,24 +184,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     some = sets.where("n > 0")
     classes = some.groupBy("digest").agg(F.min("_id").alias("rep"))
     reps = some.join(classes, (some["_id"] == classes["rep"]) & (some["digest"] == classes["digest"]), "left_semi")
-    prefixes = reps.select(F.col("_id").alias("rep"), "n", F.explode("prefix").alias("s"))
+    prefixes = reps.select(F.col("_id").alias("rep"), "n", F.posexplode("prefix").alias("at", "s"))
     shared = materialise(prefixes.join(prefixes.groupBy("s").count().where("count > 1").select("s"), "s"))
     need = lambda n: F.greatest(F.lit(1), F.floor(F.ceil(n * percent / 100) / SHARED))  # noqa: E731  of a set or a partner a little smaller
     for _ in range(PRUNE_ROUNDS):  # sets with too few shared shingles go, and then buckets with one set
         enough = shared.groupBy("rep").agg(F.count("*").alias("_c"), F.first("n").alias("_n")).where(F.col("_c") >= need(F.col("_n"))).select("rep")
         left = shared.join(enough, "rep")
-        shared = materialise(left.join(left.groupBy("s").count().where("count > 1").select("s"), "s").select("s", "rep", "n"))
+        shared = materialise(left.join(left.groupBy("s").count().where("count > 1").select("s"), "s").select("s", "rep", "n", "at"))
     segments = segment_table(docs, shared.select(F.col("rep").alias("_id")).distinct(), common, id_col, text_col, k)
 
-    # shingles that no other set left has can't be in an overlap
-    alone = segments.select("_id", F.explode("seg").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("_id").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("u"))
-    shared = shared.join(alone, "rep", "left").select("s", "rep", "n", F.coalesce("u", F.lit(0)).alias("u"))
-    shared = materialise(shared.where((F.col("n") - F.col("u")) * 100 >= F.col("n") * percent))
+    def fits(n: Column, i: Column, m: Column, j: Column) -> Column:
+        """Whether sets of n and m shingles may be similar enough whose first common shingle stands at places i and j.
 
-    def fits(n: Column, u: Column, m: Column, v: Column) -> Column:
-        """Whether sets of n and m shingles, u and v of them in no other set, may be similar enough."""
+        What stands before it is in one set only. Later common shingles of a pair may fail this; the first may not.
+        """
         least = percent * (n + m)  # times 1 / (100 + percent): the overlap that they need
-        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((n - u) * (100 + percent) >= least) & ((m - v) * (100 + percent) >= least)
+        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((n - i) * (100 + percent) >= least) & ((m - j) * (100 + percent) >= least)
 
     def pairs_of(a: Column, na: Column, b: Column, nb: Column) -> list[Column]:
         low = F.least(a, b)
@@ -211,12 +209,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tried = None
     rows = shared
     for r in range(rounds):
-        # rows of buckets that hold different components; pivots are the set with fewest shingles of its own, and one by hash
-        chance = F.struct(F.xxhash64("rep", F.lit(r)).alias("h"), "rep", "n", "u")
-        middle = F.struct(F.col("u").alias("h"), "rep", "n", "u")
+        # rows of buckets that hold different components; pivots are the set with fewest shingles before, and one by hash
+        chance = F.struct(F.xxhash64("rep", F.lit(r)).alias("h"), "rep", "n", "at")
+        middle = F.struct(F.col("at").alias("h"), "rep", "n", "at")
         pivots = rows.groupBy("s").agg((F.min(middle) if r == 0 else F.max(chance)).alias("p"), F.min(chance).alias("q"), F.min("comp" if comps is not None else "rep").alias("c0"), F.max("comp" if comps is not None else "rep").alias("c1")).where("c0 < c1")
-        near = rows.join(pivots.select("s", F.array(F.col("p"), F.col("q")).alias("pq")), "s").select("rep", "n", "u", F.explode("pq").alias("p"))
-        near = near.where((F.col("rep") != F.col("p.rep")) & fits(F.col("n"), F.col("u"), F.col("p.n"), F.col("p.u")))
+        near = rows.join(pivots.select("s", F.array(F.col("p"), F.col("q")).alias("pq")), "s").select("rep", "n", "at", F.explode("pq").alias("p"))
+        near = near.where((F.col("rep") != F.col("p.rep")) & fits(F.col("n"), F.col("at"), F.col("p.n"), F.col("p.at")))
         pairs = near.select(*pairs_of(F.col("rep"), F.col("n"), F.col("p.rep"), F.col("p.n"))).distinct()
         if comps is not None:
             pairs = _across(pairs, comps)
@@ -226,13 +224,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         comps = components(linked(pairs, segments, percent), comps)
         rows = shared.join(comps.select(F.col("_id").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        rows = rows.select("s", "rep", "n", "u", "comp")
+        rows = rows.select("s", "rep", "n", "at", "comp")
     mixed = rows.groupBy("s").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("s")
     rows = materialise(rows.join(mixed, "s"))
-    x = rows.select("s", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("u").alias("ua"), F.col("comp").alias("ca"))
-    y = rows.select("s", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub"), F.col("comp").alias("cb"))
-    last = x.join(y, "s").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("ua"), F.col("nb"), F.col("ub")))
-    last = last.groupBy("a", "na", "b", "nb").count().where(F.col("count") >= need(F.greatest("na", "nb"))).drop("count")
+    x = rows.select("s", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("comp").alias("ca"))
+    y = rows.select("s", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("comp").alias("cb"))
+    last = x.join(y, "s").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib")))
+    last = last.select("a", "na", "b", "nb").distinct()
     last = materialise(last.join(tried, ["a", "b"], "left_anti"))
     comps = components(linked(last, segments, percent), comps)
     classes = some.groupBy("digest").agg(F.min("_id").alias("rep"))
