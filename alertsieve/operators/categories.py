@@ -102,10 +102,10 @@ def label_encode(encoder: DataFrame, df: DataFrame, col: str, unknown: str = "un
 
 
 def one_hot(df: DataFrame, col: str, max_levels: int = 20) -> DataFrame:
-    """0/1 columns for all levels but the first; raises above ``max_levels``."""
+    """0/1 columns for all levels but the first; above ``max_levels`` the column is label-encoded instead."""
     levels = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(max_levels + 1).collect()]
     if len(levels) > max_levels:
-        raise ValueError(f"{col} has more than {max_levels} levels")
+        return label_encode(label_encoder(df, col), df, col).drop(col)
     return df.withColumns({f"{col}_{v}": F.coalesce((F.col(col) == v).cast("int"), F.lit(0)) for v in sorted(levels)[1:]}).drop(col)
 
 

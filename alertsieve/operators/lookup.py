@@ -5,24 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertsieve.session import max_lookup_rows
 
+def lookup_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "left", null_safe: bool = False) -> DataFrame:
+    """Join ``df`` with ``table`` on ``on``; with ``null_safe`` null keys meet null keys.
 
-def bounded_rows(table: DataFrame, limit: int | None = None):
-    """The rows of ``table`` if there are at most ``limit``, else None."""
-    limit = limit or max_lookup_rows(table.sparkSession)
-    rows = table.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
-
-
-def lookup_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "left", limit: int | None = None) -> DataFrame:
-    """Join ``df`` with ``table`` on ``on``.
-
-    The table is evaluated once. Up to ``limit`` rows it becomes a broadcast
-    side; above it the join shuffles and adaptive skew handling splits hot keys.
+    A plain join: adaptive execution broadcasts a side whose measured bytes are few enough, and otherwise splits hot keys.
     """
-    rows = bounded_rows(table, limit)
-    if rows is None:
+    if not null_safe:
         return df.join(table, on, how)
-    small = df.sparkSession.createDataFrame(rows, table.schema)
-    return df.join(F.broadcast(small), on, how)
+    keys = {k: f"_on_{i}" for i, k in enumerate(on)}
+    right = table.withColumnsRenamed(keys)
+    same = F.lit(True)
+    for k, other in keys.items():
+        same = same & df[k].eqNullSafe(right[other])
+    return df.join(right, same, how).drop(*keys.values())

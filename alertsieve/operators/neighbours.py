@@ -242,7 +242,7 @@ def tomek_links(df: DataFrame, y: str) -> DataFrame:
 # --- density clusters ---------------------------------------------------------------------------------
 
 
-def dbscan(df: DataFrame, eps: float, min_samples: int, max_rounds: int = 100) -> DataFrame:
+def dbscan(df: DataFrame, eps: float, min_samples: int) -> DataFrame:
     """``id, cluster, is_core``; noise is -1, a cluster is named by its smallest core id.
 
     Core rows take the smallest label within eps until nothing changes; between rounds labels also
@@ -251,7 +251,7 @@ def dbscan(df: DataFrame, eps: float, min_samples: int, max_rounds: int = 100) -
     pts = materialise(df.select("id", "v"))
     core = materialise(within(pts, pts, eps).where(F.col("n") >= min_samples).select("id").join(pts, "id"))
     lab = core.withColumn("label", F.col("id"))
-    for _ in range(max_rounds):
+    while True:  # labels only fall, so it ends
         lab = lab.select("id", "v", "label")
         nxt = within(lab, lab, eps, "label").select("id", F.col("low").alias("_new"))
         step = lab.join(nxt, "id")
@@ -260,8 +260,6 @@ def dbscan(df: DataFrame, eps: float, min_samples: int, max_rounds: int = 100) -
         lab = step
         if not step.where("label <> _old").limit(1).count():
             break
-    else:
-        raise RuntimeError("labels still change; raise max_rounds")
     lab = lab.select("id", "v", "label")
     border = within(pts.join(lab.select("id"), "id", "left_anti"), lab, eps, "label").select("id", F.col("low").alias("cluster"))
     out = lab.select("id", F.col("label").alias("cluster"), F.lit(True).alias("is_core")).unionByName(border.withColumn("is_core", F.lit(False)))

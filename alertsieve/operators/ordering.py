@@ -110,7 +110,7 @@ class Ordered:
             "last": lambda a, b: F.coalesce(b, a),
         }
         df = self.df.withColumns({f"_l_{n}": local[op](c).over(upto) for n, (op, c) in specs.items()})
-        df = lookup_join(df, carry, ["_blk", *self.keys], limit=2 * _MAX_BLOCKS)
+        df = lookup_join(df, carry, ["_blk", *self.keys], null_safe=True)
         df = df.withColumns({n: combine[op](F.col(f"_c_{n}"), F.col(f"_l_{n}")) for n, (op, c) in specs.items()})
         self.df = df.drop(*[p + n for n in specs for p in ("_c_", "_l_")])
         return self
@@ -275,7 +275,7 @@ def quantiles(
     )
     if keys:
         bounds = materialise(bounds)
-        tagged = lookup_join(base, bounds, keys, "inner")
+        tagged = lookup_join(base, bounds, keys, "inner", null_safe=True)
     else:
         tagged = with_scalars(base, bounds)
     below = tagged.groupBy(*keys).agg(
@@ -297,17 +297,20 @@ def quantiles(
     inside = materialise(inside)
     run = ordered(inside, [*keys, "_j"], ["_v"], max_rows=limit).with_running({"_cum": ("sum", F.col("count"))}).result()
     if keys:
-        out = lookup_join(run, lookup_join(below, bounds, keys, "inner"), keys, "inner")
+        out = lookup_join(run, lookup_join(below, bounds, keys, "inner", null_safe=True), keys, "inner", null_safe=True)
     else:
         out = with_scalars(with_scalars(run, below), bounds)
     cols = []
+    kind = base.schema["_v"].dataType
     for j, (name, q) in enumerate(wanted.items()):
         first = F.col(f"_b{j}") + F.col("_cum") - F.col("count")
         last = F.col(f"_b{j}") + F.col("_cum")
         h = q.index(n)
 
         def at(i: Column, j=j, first=first, last=last) -> Column:
-            return F.max(F.when((F.col("_j") == j) & (i >= first) & (i < last), F.col("_v")))
+            found = F.max(F.when((F.col("_j") == j) & (i >= first) & (i < last), F.col("_v")))
+            # a rank outside the digest's bracket must not become a null
+            return F.coalesce(found, F.raise_error(F.lit("a rank lies outside its bracket")).cast(kind))
 
         lo, hi = at(F.floor(h)), at(F.ceil(h))
         if q.method == "linear":
@@ -320,7 +323,8 @@ def quantiles(
 def rank_cut(df: DataFrame, order: Sequence[str], ranks: Sequence[int], max_rows: int | None = None) -> list[tuple]:
     """The tuples of ``order`` at the given 0-based ranks, column by column.
 
-    Each column is one exact selection; ties are resolved by the next column.
+    Each column is one exact selection, with nulls as the smallest value; ties are resolved by the next column.
+    A rank beyond the last row has no tuple.
     """
     out = []
     total = df.count()
@@ -336,10 +340,18 @@ def rank_cut(df: DataFrame, order: Sequence[str], ranks: Sequence[int], max_rows
         rest, left, cut = df, k, []
         for c in order:
             n = rest.count() if cut else total
+            nulls = rest.where(F.col(c).isNull()).count()
+            if left < nulls:
+                cut.append(None)
+                rest = rest.where(F.col(c).isNull())
+                continue
+            left, n, rest = left - nulls, n - nulls, rest.where(F.col(c).isNotNull())
             level = left / (n - 1) if n > 1 else 0.0
             # the index is rebuilt from the rank itself, so guard against rounding below it
             q = _RankAt(level, "lower", None, left)
             v = quantiles(rest, [], c, {"v": q}, max_rows).first()["v"]
+            if v is None:
+                raise RuntimeError(f"no value of {c} at rank {left} of {n}")
             cut.append(v)
             left -= rest.where(F.col(c) < F.lit(v)).count()
             rest = rest.where(F.col(c) == F.lit(v))
@@ -359,4 +371,4 @@ def before_cut(order: Sequence[str], cut: tuple | None) -> Column:
     """True for rows that sort before ``cut`` (every row if there is no cut)."""
     if cut is None:
         return F.lit(True)
-    return F.struct(*[F.col(c) for c in order]) < F.struct(*[F.lit(v).alias(c) for c, v in zip(order, cut)])
+    return F.struct(*[F.col(c) for c in order]) < F.struct(*[(F.when(F.lit(False), F.col(c)) if v is None else F.lit(v)).alias(c) for c, v in zip(order, cut)])

@@ -19,6 +19,7 @@ from alertsieve.operators import series as sr
 from alertsieve.operators import splits as sp
 from alertsieve.operators import text as tx
 from alertsieve.operators.grid import steps
+from alertsieve.operators.ordering import ordered
 from alertsieve.plans import jobs
 from alertsieve.plans.registry import R, query
 from alertsieve.plans.ticket_queries import STOP, _weights
@@ -370,9 +371,9 @@ def unified_features(spark, d):
 def _alert_rows(spark, d):
     """Unified alert rows with a unique id and a time split; class = status."""
     r = jobs.alert_rows(alerts(spark, d))
-    key = F.xxhash64("summary_id", "line", "ts", "series_id", "platform", "new_value", "prev_value")
     codes = F.when(F.col("status") == "A", 0).when(F.col("status") == "N", 1).otherwise(2)
-    r = r.withColumns({"id": key, "label": codes}).dropDuplicates(["id"])
+    order = ["ts", "summary_id", "line", "series_id", "platform", "new_value", "prev_value"]
+    r = ordered(r.withColumn("label", codes), [], order).with_position("id").result()
     return materialise(sp.temporal_split(materialise(r), ["ts", "id"], [0.8, 0.2], ["train", "test"]))
 
 

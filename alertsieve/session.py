@@ -14,8 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 GROUP_ROWS_CONF = "spark.alertsieve.maxGroupRows"
 DEFAULT_GROUP_ROWS = 2_000_000
-LOOKUP_ROWS_CONF = "spark.alertsieve.maxLookupRows"
-DEFAULT_LOOKUP_ROWS = 50_000
 
 
 def build_session(app: str = "alertsieve", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -58,11 +56,6 @@ def max_group_rows(spark: SparkSession) -> int:
     return int(_conf(spark, GROUP_ROWS_CONF) or DEFAULT_GROUP_ROWS)
 
 
-def max_lookup_rows(spark: SparkSession) -> int:
-    """Rows up to which a lookup table is broadcast."""
-    return int(_conf(spark, LOOKUP_ROWS_CONF) or DEFAULT_LOOKUP_ROWS)
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and scan it from there."""
     spark = df.sparkSession

@@ -74,8 +74,14 @@ def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
 
 def read_series(spark: SparkSession, glob: str) -> DataFrame:
     """One CSV per series; the id is the last number in the file name."""
-    df = spark.read.option("header", True).schema(SERIES_FIELDS).csv(glob).select("*", F.col("_metadata.file_path").alias("_f"))
-    df = df.where(~F.col("_f").contains("__MACOSX"))
+    lines = spark.read.text(glob).select(F.regexp_replace("value", '[\r"]', "").alias("_line"), F.col("_metadata.file_path").alias("_f")).where(~F.col("_f").contains("__MACOSX"))
+    # fields are found by name, as files may order them differently; a header names both needed columns
+    is_head = F.col("_line").contains("push_timestamp") & F.col("_line").contains("value")
+    heads = lines.where(is_head).groupBy("_f").agg(F.first(F.split("_line", ",")).alias("_head"))
+    rows = lines.where(~is_head).join(heads, "_f").withColumn("_cells", F.split("_line", ","))
+    names = [x.split() for x in SERIES_FIELDS.split(", ")]
+    cell = lambda n: F.when(F.array_position("_head", n) > 0, F.nullif(F.try_element_at("_cells", F.array_position("_head", n).cast("int")), F.lit("")))
+    df = rows.select("_f", *[cell(n).try_cast(kind).alias(n) for n, kind in names])
     name = F.regexp_extract("_f", r"([^/]+)$", 1)
     return df.withColumn("series_id", F.regexp_extract(name, r"(\d+)[^\d]*$", 1).cast("long")).drop("_f").where("series_id is not null and value is not null")
 

@@ -96,3 +96,21 @@ def test_quantiles_of_distinct_values(spark, keys):
         v = [x for k, x in data if not keys or k == r["k"]]
         for i, a in enumerate((0.01, 0.1, 0.5)):
             assert r[f"c{i}"] == np.quantile(v, min(np.ceil((len(v) + 1) * (1 - a)) / len(v), 1.0), method="higher")
+
+
+def test_null_keys_and_null_order_values_on_both_paths(spark):
+    from pyspark.sql import functions as F
+
+    from alertsieve.operators.ordering import Quantile, before_cut, ordered, quantiles, rank_cut
+
+    rows = [(i, None if i % 2 else "a", float(i), None if i < 10 else i // 3) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, k string, v double, t int")
+    wanted = {"m": Quantile(0.5, "linear")}
+    small, large = (sorted(map(repr, quantiles(df, ["k"], "v", wanted, max_rows=n).collect())) for n in (1000, 5))
+    assert small == large and len(small) == 2
+    for limit in (1000, 5):
+        got = ordered(df, ["k"], ["id"], max_rows=limit).with_running({"n": ("count", F.lit(1))}).result()
+        assert {(r.k, r.n) for r in got.groupBy("k").agg(F.max("n").alias("n")).collect()} == {("a", 20), (None, 20)}
+        cuts = rank_cut(df, ["t", "id"], [5, 24, 32], max_rows=limit)
+        assert cuts[0] == (None, 5)
+        assert [df.where(before_cut(["t", "id"], c)).count() for c in cuts] == [5, 24, 32]
