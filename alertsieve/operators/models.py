@@ -198,7 +198,7 @@ def grid_search(train: DataFrame, estimator: Estimator, grid: dict[str, Sequence
     return fitted.bestModel, train.sparkSession.createDataFrame(rows, ", ".join(f"{n} double" for n in [*grid, "f1"]))
 
 
-def positive_weight_search(df: DataFrame, build: Callable[[str], Estimator], label: str = "label", multiples: Sequence[float] = (0.5, 0.75, 1.0, 1.5, 2.0)) -> DataFrame:
+def positive_weight_search(df: DataFrame, build: Callable[[str], Estimator], label: str = "label", multiples: Sequence[float] = (0.75, 1.0, 1.25, 1.5, 2.0)) -> DataFrame:
     """Out-of-fold F1 of the positive class for multiples of the negative/positive ratio."""
     r = df.agg((F.count_if(F.col(label) == 0) / F.count_if(F.col(label) == 1)).alias("r")).first()["r"]
     out = None

@@ -133,7 +133,7 @@ def confidence_stage(spark, d):
 @query("positive_weight_search")
 def positive_weight_search(spark, d):
     train, _ = _halves(spark, d, True)
-    return md.positive_weight_search(train.select("id", "label", "features"), lambda w: cl.LogisticRegression(maxIter=5, weightCol=w), multiples=(0.5, 1.0, 2.0))
+    return md.positive_weight_search(train.select("id", "label", "features"), lambda w: cl.LogisticRegression(maxIter=5, weightCol=w))
 
 
 @query("stacking")

@@ -69,8 +69,8 @@ def report_sql(p: str, grp: str, alphas) -> str:
 # --- conformal -----------------------------------------------------------------------------
 
 
-@query("maccp_flagship", report_sql("pa", "agree", ALPHAS))
-def maccp_flagship(spark, d):
+@query("agreement_conditioned_sets", report_sql("pa", "agree", ALPHAS))
+def agreement_conditioned_sets(spark, d):
     """Agreement-conditioned sets over a grid of alphas, for all rows and both parts."""
     return cf.agreement_report(cf.conformal_run(scores(spark, d), F.col("pa"), ["agree"], ALPHAS), ALPHAS)
 

@@ -1,10 +1,9 @@
-"""Queries over vectors: neighbours, clusters, uncertainty, segments."""
+"""Queries over vectors: neighbours, clusters, uncertainty."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from alertsieve.functions.segments import segment
 from alertsieve.functions.uncertainty import digamma_sql, dirichlet
 from alertsieve.operators import clusters as cu
 from alertsieve.operators import metrics as mt
@@ -224,30 +223,6 @@ def dirichlet_uncertainty(spark, d):
 # --- segmentation of signals ---------------------------------------------------------------------------------------
 
 
-def _signals(spark, d):
-    w = sr.around_windows(series(spark, d), F.col("kind") == "error")
-    return w.select(F.col("eid").alias("id"), "signal", "true_pos")
-
-
-def _segments(method, model, **kw):
-    def run(spark, d):
-        # z-scores of the bounded window, as the solvers expect
-        s = _signals(spark, d)
-        m = F.aggregate("signal", F.lit(0.0), lambda a, x: a + x) / F.size("signal")
-        s = s.withColumn("_m", m).withColumn("_s", F.sqrt(F.aggregate("signal", F.lit(0.0), lambda a, x: a + (x - F.col("_m")) * (x - F.col("_m"))) / F.size("signal")))
-        z = F.transform("signal", lambda x: F.when(F.col("_s") > 0, (x - F.col("_m")) / F.col("_s")).otherwise(0.0))
-        s = s.withColumn("z", z).withColumn("points", segment(F.col("z"), method, model, **kw))
-        return s.select("id", "true_pos", F.size("points").alias("n_points"), F.array_join(F.col("points").cast("array<string>"), ",").alias("points"))
-
-    return run
-
-
-query("pelt_l2_segments")(_segments("pelt", "l2"))
-query("pelt_rbf_segments")(_segments("pelt", "rbf"))
-query("binary_segmentation")(_segments("binseg", "l2"))
-query("window_segments")(_segments("window", "l2"))
-
-
 @query("labelled_rows", "SELECT l.quality, count(*) AS n FROM documents d JOIN labels l USING (doc_id) GROUP BY 1")
 def labelled_rows(spark, d):
     lab = table(spark, d, "labels").select("doc_id", "quality")

@@ -14,7 +14,7 @@ from alertsieve.plans import QUERIES  # noqa: E402
 from alertsieve.session import build_session  # noqa: E402
 
 HEADLINE = [
-    "maccp_flagship",
+    "agreement_conditioned_sets",
     "raps_single_model",
     "hybrid_routing",
     "mondrian_confidence",

@@ -1,11 +1,8 @@
 """Sequential rules against plain loops: gap suppression, greedy matching, segmentation."""
 
-import itertools
-
 import numpy as np
 import pytest
 
-from alertsieve.functions.segments import best_splits, interval_costs, optimal_partition
 from alertsieve.operators import detect as dt
 
 
@@ -69,28 +66,3 @@ def test_match(points, nearest):
     for s in det:
         want = (_nearest if nearest else _first)(det[s], tru[s], 5)
         assert sorted(got.get(s, [])) == sorted(want), s
-
-
-@pytest.mark.parametrize("model", ["l2", "rbf"])
-def test_optimal_partition(model):
-    rng = np.random.default_rng(1)
-    for _ in range(5):
-        x = np.concatenate([rng.normal(0, 1, 6), rng.normal(4, 1, 6)])
-        c = interval_costs(x, model)
-        best = min(
-            (sum(c[a, b] + 1.5 for a, b in zip(e, e[1:])), e)
-            for k in range(4)
-            for m in itertools.combinations(range(3, 10), k)
-            for e in [(0, *m, 12)]
-            if all(b - a >= 3 for a, b in zip(e, e[1:]))
-        )
-        got = optimal_partition(c, 1.5, 3)
-        e = (0, *got, 12)
-        assert np.isclose(sum(c[a, b] + 1.5 for a, b in zip(e, e[1:])), best[0])
-
-
-def test_costs_and_splits():
-    x = np.array([0.0] * 10 + [5.0] * 10)
-    c = interval_costs(x, "l2")
-    assert np.isclose(c[0, 20], ((x - x.mean()) ** 2).sum()) and np.isclose(c[3, 9], 0)
-    assert best_splits(c, 1, 3) == [10]
