@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertsieve.llm.common import shingle_hashes, text_slices, word_hashes
+from alertsieve.llm.common import most_frequent, shingle_hashes, text_slices, word_hashes
 from alertsieve.session import materialise
 
 FRAGMENTS = 8
@@ -64,8 +64,8 @@ def frequent_shingles(docs: DataFrame, text_col: str, k: int, most: int = COMMON
         if held:
             yield report(held)
 
-    counted = docs.select(F.col(text_col).alias("_text")).mapInArrow(count, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "s").limit(most).toPandas()  # bounded by ``most``
+    counted = materialise(docs.select(F.col(text_col).alias("_text")).mapInArrow(count, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")))
+    top = most_frequent(counted, "n", most).orderBy(F.desc("n"), "s").toPandas()  # bounded by ``most``
     hashes = top["s"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     places = (len(hashes) - np.arange(len(hashes))).astype(np.uint64)  # the most frequent one is last
