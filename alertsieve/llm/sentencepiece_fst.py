@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from alertsieve.llm.common import kept_in_worker, slices
 from alertsieve.llm.pieces import SPACE, Cutter, PieceModel
 
-UNITS_KEPT = 300_000
-PAIRS_KEPT = 1_000_000
+UNITS_KEPT = 100_000
+PAIRS_KEPT = 250_000
 FALLBACK = -1  # the piece before is a fallback or the start: anything may follow
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from alertsieve.llm.common import kept_in_worker, text_slices
 from alertsieve.llm.pieces import Cutter, PieceModel
 
-KEPT = 600_000  # terminal counts that a worker keeps
+KEPT = 250_000  # terminal counts that a worker keeps
 UNKNOWN_COST = 10.0  # below the least score of a piece (fixed value)
 
 
