@@ -83,7 +83,7 @@ def band_values(hashes: str, sizes: list[int]) -> Column:
 
 def template_bands(templates: DataFrame) -> DataFrame:
     """license, size, value, shingle: band values of each template or part of one, the class of its size, and the shingle that has the value."""
-    hashed = materialise(templates.select("license", _windows(scan_words(F.col("text")), lambda *x: F.xxhash64(*x)).alias("h"))).where("size(h) > 0")
+    hashed = materialise(templates.select("license", let(scan_words(F.col("text")), lambda w: _windows(w, lambda *x: F.xxhash64(*x))).alias("h"))).where("size(h) > 0")
     # the last part reaches back, so that it isn't short
     parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size("h") / LARGEST).cast("int") - 1), lambda i: F.slice("h", F.greatest(F.lit(1), F.least(i * LARGEST + 1, F.size("h") - LARGEST + 1)), F.lit(LARGEST)))
     cut = materialise(hashed.select("license", F.explode(parts).alias("h")))  # the plan below names the hashes many times
@@ -117,9 +117,9 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
     # explode() would put the whole expression into a filter as well
     hits = hits.select("_id", "_text", F.explode_outer(F.array_distinct(values)).alias("value")).where("value IS NOT NULL")
     pairs = hits.join(bands.select("license", "value").distinct(), "value").groupBy("_id", F.xxhash64("_text").alias("_key"), "license").agg(F.first("_text").alias("_text"))
-    want = materialise(templates.select("license", shingle_texts(scan_words(F.col("text"))).alias("_want"))).where("size(_want) > 0").groupBy("license").agg(F.max("_want").alias("_want"))
+    want = materialise(templates.select("license", let(scan_words(F.col("text")), shingle_texts).alias("_want"))).where("size(_want) > 0").groupBy("license").agg(F.max("_want").alias("_want"))
     both = pairs.join(want, "license")
-    share = let(shingle_texts(scan_words(F.col("_text"))), lambda s: F.size(F.array_intersect(F.col("_want"), s)) / F.size("_want"))
+    share = let(let(scan_words(F.col("_text")), shingle_texts), lambda s: F.size(F.array_intersect(F.col("_want"), s)) / F.size("_want"))
     return both.select(F.col("_id").alias(id_col), "license", share.alias("containment")).where(F.col("containment") >= containment)
 
 
