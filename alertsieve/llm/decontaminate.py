@@ -1,8 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds find candidates, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: bounds of the alignment score find candidates, Smith-Waterman alignment scores them.
 
-The seeds of a test item are the rarer half of its word n-grams, by the number of documents that have them, so an item
-keeps seeds even where all of its n-grams are frequent. Each place in a text where a seed occurs gives a window; the
-words of the window are aligned with those of the item, with gaps, so edited and paraphrased copies score too.
+No n-gram of an edited copy has to survive. An item that scores ``t`` has a share of ``t`` of its words in the text at
+least, each as often as it is matched. A stretch of the text scores at most ``MATCH`` for each word of the item and loses
+one for each other word; the highest such sums begin after the running sum was lowest. Only texts and stretches below
+these bounds are left out, so each item at or above the threshold is found, with the score of the whole text.
 """
 
 from __future__ import annotations
@@ -15,58 +16,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertsieve.llm.common import shingle_hashes, text_slices, word_hashes
+from alertsieve.llm.common import text_slices, word_hashes
 
-SEED_WORDS = 3
-LEAST_SEEDS = 8
 THRESHOLD = 0.5
 MATCH, MISS, GAP = 2, 1, 1
+BLOCK_SUMS = 1 << 20
 PORTION_BYTES = 8 << 20  # text of the test items that one broadcast holds; a larger benchmark takes several passes
 
 
 @dataclass
-class Seeds:
+class Items:
     ids: list  # item ids
     words: list[np.ndarray]  # word hashes of each item
-    hashes: np.ndarray  # sorted distinct seeds
-    edges: np.ndarray  # where the places of each seed begin
-    item: np.ndarray  # item of each place
-    offset: np.ndarray  # word of the item at which the seed stands
+    known: np.ndarray  # sorted distinct words of all items
+    edges: np.ndarray  # where the items of each known word begin
+    item: np.ndarray  # items that count the word
+    times: np.ndarray  # how often they have it
+    sizes: np.ndarray  # words of each item
+    least: np.ndarray  # counted words that an alignment at the threshold has
 
     @staticmethod
-    def of(ids: list, texts: list[str | None]) -> Seeds:
+    def of(ids: list, texts: list[str | None], threshold: float) -> Items:
         hashed, edges = word_hashes(pa.array(texts, pa.string()), plain=True)
         words = [hashed[a:b] for a, b in zip(edges[:-1], edges[1:])]
-        seeds = [shingle_hashes(w, SEED_WORDS) for w in words]
-        empty = np.zeros(0, np.int64)
-        return Seeds.sort(ids, words, np.concatenate([*seeds, np.zeros(0, np.uint64)]), np.concatenate([np.full(len(s), i) for i, s in enumerate(seeds)] + [empty]), np.concatenate([np.arange(len(s)) for s in seeds] + [empty]))
-
-    @staticmethod
-    def sort(ids: list, words: list[np.ndarray], seeds: np.ndarray, item: np.ndarray, offset: np.ndarray) -> Seeds:
-        order = np.argsort(seeds, kind="stable")
-        hashes, first = np.unique(seeds[order], return_index=True)
-        return Seeds(ids, words, hashes, np.append(first, len(seeds)), item[order], offset[order])
-
-    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in a text where seeds stand, and which seeds."""
-        if not len(self.hashes):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        x = shingle_hashes(words, SEED_WORDS)
-        at = np.minimum(np.searchsorted(self.hashes, x), len(self.hashes) - 1)
-        places = np.flatnonzero(self.hashes[at] == x)
-        return places, at[places]
-
-    def rare(self, documents: np.ndarray) -> Seeds:
-        """The rarer half of each item's seeds, ``LEAST_SEEDS`` at least; ties are kept."""
-        of_seed = np.repeat(documents, np.diff(self.edges))
-        seed = np.repeat(self.hashes, np.diff(self.edges))
-        keep = np.zeros(len(seed), bool)
-        for i in range(len(self.ids)):
-            own = np.flatnonzero(self.item == i)
-            if len(own):
-                n = sorted(of_seed[own].tolist())
-                keep[own] = of_seed[own] <= n[min(len(n), max(LEAST_SEEDS, len(n) // 2)) - 1]
-        return Seeds.sort(self.ids, self.words, seed[keep], self.item[keep], self.offset[keep])
+        known, code = np.unique(hashed, return_inverse=True)
+        item = np.repeat(np.arange(len(ids)), np.diff(edges))
+        most = max(1, len(ids))
+        pairs, times = np.unique(code.astype(np.int64) * most + item, return_counts=True)
+        word, item = np.divmod(pairs, most)
+        # an alignment needs `need` equal words; those of up to half as many places, the commonest, are taken as equal and not counted
+        sizes = np.diff(edges)
+        need = np.array([next(m for m in range(n + 2) if m > n or m / max(1, n) >= threshold) for n in sizes.tolist()], np.int64)
+        order = np.lexsort((-np.bincount(word, minlength=len(known))[word], item))
+        before = np.append(0, np.cumsum(times[order]))
+        own = before[1:] - before[np.searchsorted(item[order], item[order])]
+        free = np.zeros(len(pairs), bool)
+        free[order] = own <= (need // 2)[item[order]]
+        least = need - np.bincount(item[free], times[free], len(ids)).astype(np.int64)
+        word, item, times = word[~free], item[~free], times[~free]
+        return Items(ids, words, known, np.searchsorted(word, np.arange(len(known) + 1)), item, times, sizes, least)
+
+    def codes(self, words: np.ndarray) -> np.ndarray:
+        """Numbers of the known words, ``len(known)`` for all others."""
+        at = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
+        return np.where(self.known[at] == words, at, len(self.known))
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int]:
@@ -87,34 +80,74 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int]:
     return best / (MATCH * len(item)), end
 
 
-def leaks_of(words: np.ndarray, seeds: Seeds, threshold: float) -> list[tuple[int, float, int, int]]:
-    """(item number, score, first word, end) of the items that a text holds, best alignment of each."""
-    places, which = seeds.find(words)
-    if not len(places):
+def stretches(inside: np.ndarray, size: int, threshold: float) -> list[tuple[int, int]]:
+    """Parts (begin, end) of a text in which an item of ``size`` words may score ``threshold``; ``inside`` tells its words."""
+    total = np.cumsum(np.where(inside, MATCH, -min(MISS, GAP)))
+    bound = total - np.minimum(np.minimum.accumulate(total), 0)  # highest sum of a stretch that ends here
+    high = np.flatnonzero(bound / (MATCH * size) >= threshold)
+    if not len(high):
         return []
-    count = seeds.edges[which + 1] - seeds.edges[which]
-    rows = np.repeat(seeds.edges[which] - np.cumsum(count) + count, count) + np.arange(count.sum())
-    item, start = seeds.item[rows], np.repeat(places, count) - seeds.offset[rows]
+    zero = np.flatnonzero(bound == 0)  # no best alignment goes on from here: what is before adds nothing
+    begin = np.append(0, zero + 1)[np.searchsorted(zero, high)]
+    last = np.append(np.flatnonzero(np.diff(begin)), len(high) - 1)
+    return list(zip(begin[last].tolist(), (high[last] + 1).tolist()))
+
+
+def candidates(codes: np.ndarray, edges: np.ndarray, items: Items, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Texts and items of which some block of the text has ``least`` of the counted words.
+
+    With ``m`` equal words an alignment has ``3 m - 2 t n`` words of the text at most (else the others cost too much), so
+    blocks of twice that length, each begun in the middle of the one before, hold every alignment whole.
+    """
+    reach = int((3 - 2 * min(threshold, 1)) * items.sizes.max()) + 1
+    size, known = len(items.ids), len(items.known)
+    cells = np.diff(edges) // reach + 1
+    text = np.repeat(np.arange(len(cells)), cells)
+    places = np.flatnonzero(codes < known)
+    of = np.searchsorted(edges, places, "right") - 1
+    inner = (places - edges[of]) // reach
+    cell, code = (np.cumsum(cells) - cells)[of] + inner, codes[places]
+    some = max(1, BLOCK_SUMS // size)
+    found = [np.zeros(0, np.int64)]
+    for first in range(0, len(text), some):
+        a, b = np.searchsorted(cell, [first, first + some + 1])  # the last block ends in the cell after it
+        own, word = cell[a:b] - first, code[a:b]
+        begun = own < some
+        before = (own > 0) & (inner[a:b] > 0)
+        at, n = np.unique(np.concatenate([own[begun] * known + word[begun], (own[before] - 1) * known + word[before]]), return_counts=True)
+        at, which = np.divmod(at, known)
+        count = items.edges[which + 1] - items.edges[which]
+        rows = np.repeat(items.edges[which] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        equal = np.bincount(np.repeat(at * size, count) + items.item[rows], np.minimum(items.times[rows], np.repeat(n, count)), min(some, len(text) - first) * size)
+        block, item = np.nonzero(equal.reshape(-1, size) >= np.maximum(items.least, 1))
+        found.append(text[first + block] * size + item)
+    return np.divmod(np.unique(np.concatenate(found)), size)
+
+
+def leaks_of(words: np.ndarray, edges: np.ndarray, items: Items, threshold: float) -> list[tuple[int, int, float, int, int]]:
+    """(text number, item number, score, first word, end) of the items that texts hold, best alignment of each."""
+    if not len(items.known) or not len(words):
+        return []
+    codes = items.codes(words)
+    mark = np.zeros(len(items.known) + 1, bool)
     out = []
-    for i in np.unique(item).tolist():
-        own = seeds.words[i]
-        pad = len(own) // 2 + 2
-        starts = np.unique(start[item == i])
-        cut = np.flatnonzero(np.diff(starts) > len(own) + 2 * pad) + 1  # windows that overlap are one
-        known = np.sort(own)
+    for text, i in zip(*(x.tolist() for x in candidates(codes, edges, items, threshold))):
+        own, start = items.words[i], int(edges[text])
+        numbers = items.codes(own)
+        mark[numbers] = True
+        inside = mark[codes[start : edges[text + 1]]]
+        mark[numbers] = False
         best = (0.0, 0, 0)
-        for group in np.split(starts, cut):
-            a, b = max(0, int(group[0]) - pad), min(len(words), int(group[-1]) + len(own) + pad)
-            window = words[a:b]
-            at = np.minimum(np.searchsorted(known, window), len(known) - 1)
-            inside = known[at] == window
-            if inside.sum() < threshold * len(own):  # a score of t needs as large a share of equal words
+        for a, b in stretches(inside, len(own), threshold):
+            have, times = np.unique(own, return_counts=True)
+            seen = np.searchsorted(have, words[start + a : start + b][inside[a:b]])
+            if np.minimum(np.bincount(seen, minlength=len(have)), times).sum() / len(own) < threshold:
                 continue
-            score, end = align(own, window)
+            score, end = align(own, words[start + a : start + b])
             if score > best[0]:
                 best = (score, max(0, a + end - len(own)), a + end)
-        if best[0] >= threshold:
-            out.append((i, *best))
+        if best[0] > 0 and best[0] >= threshold:
+            out.append((text, i, *best))
     return out
 
 
@@ -132,37 +165,21 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     out = None
     for p in range(portions):
         part = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(portions)) == p).orderBy("item", "text").collect()
-        found = _portion(rows, Seeds.of([r["item"] for r in part], [r["text"] for r in part]), threshold)
+        found = _portion(rows, Items.of([r["item"] for r in part], [r["text"] for r in part], threshold), threshold)
         out = found if out is None else out.unionByName(found)
     return out.select(F.col("_id").alias(id_col), "item_id", "score", "first_word", "end_word")
 
 
-def _portion(rows: DataFrame, seeds: Seeds, threshold: float) -> DataFrame:
-    context = rows.sparkSession.sparkContext
-    plain = lambda s: (s.ids, s.words, s.hashes, s.edges, s.item, s.offset)  # noqa: E731  workers may not know this module
-    sent = context.broadcast(plain(seeds))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Seeds(*sent.value)
-        n = np.zeros(len(own.hashes), np.int64)
-        for batch in text_slices(batches, 0):
-            words, edges = word_hashes(batch.column(0), plain=True)
-            for a, b in zip(edges[:-1], edges[1:]):
-                n[np.unique(own.find(words[a:b])[1])] += 1
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["seed", "n"])
-
-    counted = rows.select("_text").mapInArrow(count, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).toPandas()  # a row for each seed of the portion at most
-    documents = np.zeros(len(seeds.hashes), np.int64)
-    documents[counted["seed"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-    rare = context.broadcast(plain(seeds.rare(documents)))
+def _portion(rows: DataFrame, items: Items, threshold: float) -> DataFrame:
+    plain = (items.ids, items.words, items.known, items.edges, items.item, items.times, items.sizes, items.least)  # workers may not know this module
+    sent = rows.sparkSession.sparkContext.broadcast(plain)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Seeds(*rare.value)
+        own = Items(*sent.value)
         for batch in text_slices(batches, 1):
             words, edges = word_hashes(batch.column(1), plain=True)
             ids = batch.column(0).to_pylist()
-            found = [(doc, own.ids[i], *rest) for doc, a, b in zip(ids, edges[:-1], edges[1:]) for i, *rest in leaks_of(words[a:b], own, threshold)]
+            found = [(ids[at], own.ids[i], *rest) for at, i, *rest in leaks_of(words, edges, own, threshold)]
             if found:
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), kinds)], ["_id", "item_id", "score", "first_word", "end_word"])

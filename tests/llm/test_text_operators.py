@@ -161,6 +161,44 @@ def test_alignment_matches_the_table():
         assert decontaminate.align(a, b)[0] == brute_alignment(a, b)
 
 
+def test_leaks_of_edited_copies(spark, monkeypatch):
+    """Lone edited copies, groups of them and copies without any equal 3-gram, against the table of the whole text."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"v{i}" for i in range(400)]
+    items = [" ".join(rng.choice(vocabulary[: 40 * (1 + i % 10)], n)) for i, n in enumerate([15, 15, 20, 20, 24, 30, 40, 57, 3, 1])]
+
+    def edited(text, share):
+        out = []
+        for w in text.split():
+            kind = rng.integers(0, 3) if rng.random() < share else 3
+            out += {0: [], 1: ["x" + w], 2: [w, "y" + w], 3: [w]}[int(kind)]
+        return out
+
+    rows = []
+    for i, item in enumerate(items):
+        for share in (0.1, 0.15, 0.2, 0.25, 0.25, 0.35):
+            for _ in range(1 + 3 * (i % 2)):  # lone copies of one item, groups of the next
+                before, after = (list(rng.choice(vocabulary, rng.integers(0, 60))) for _ in range(2))
+                rows.append(" ".join([*before, *edited(item, share), *after]))
+    fifth = items[2].split()
+    fifth[::5] = [f"z{i}" for i in range(4)]
+    third = items[2].split()
+    third[2::3] = [f"z{i}" for i in range(6)]
+    spread = [w for v in items[5].split() for w in (v, "z")]
+    rows += [" ".join(fifth), " ".join(third), " ".join(spread), *[items[2]] * 3, " ".join(items)]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    tests = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    score = lambda a, b: brute_alignment(np.array(a.split()), np.array(b.split()))
+    scores = {(d, i): score(a, t) for d, t in enumerate(rows) for i, a in enumerate(items)}
+    for threshold in (0.5, 0.7):
+        want = {k: s for k, s in scores.items() if s >= threshold}
+        for sums in (1 << 20, 1):
+            monkeypatch.setattr(decontaminate, "BLOCK_SUMS", sums)
+            got = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(frame, tests, threshold=threshold).collect()}
+            assert got == want
+    assert (len(rows) - 7, 2) in got  # a fifth replaced
+
+
 def test_sentence_pieces(docs, empty):
     import sentencepiece
 
