@@ -30,11 +30,15 @@ from alertsieve.sources.tables import ALERTS_SQL, SCORES_SQL, TICKETS_SQL, alert
 TREES = 15
 
 
-def _halves(spark, d, binary: bool = False):
+def _all(spark, d, binary: bool = False):
     v = md.with_vectors(vectors(spark, d))
     if binary:
         v = v.withColumn("label", (F.col("label") < 3).cast("int"))
-    v = materialise(v)
+    return materialise(v)
+
+
+def _halves(spark, d, binary: bool = False):
+    v = _all(spark, d, binary)
     return v.where("id % 2 = 0"), v.where("id % 2 = 1")
 
 
@@ -101,8 +105,7 @@ def cross_validation(spark, d):
 
 @query("grid_search")
 def grid_search(spark, d):
-    train, _ = _halves(spark, d, True)
-    return md.grid_search(train, cl.LogisticRegression(maxIter=10), {"regParam": [0.0, 0.01, 0.1], "elasticNetParam": [0.0, 0.5]})[1]
+    return md.grid_search(_all(spark, d, True), cl.LogisticRegression(maxIter=10), {"regParam": [0.0, 0.01, 0.1], "elasticNetParam": [0.0, 0.5]})[1]
 
 
 @query("calibrated_probabilities")
@@ -132,8 +135,7 @@ def confidence_stage(spark, d):
 
 @query("positive_weight_search")
 def positive_weight_search(spark, d):
-    train, _ = _halves(spark, d, True)
-    return md.positive_weight_search(train.select("id", "label", "features"), lambda w: cl.LogisticRegression(maxIter=5, weightCol=w))
+    return md.positive_weight_search(_all(spark, d, True).select("id", "label", "features"), lambda w: cl.LogisticRegression(maxIter=5, weightCol=w))
 
 
 @query("stacking")
@@ -154,8 +156,7 @@ def permutation_importance(spark, d):
 
 @query("tree_importance")
 def tree_importance(spark, d):
-    train, _ = _halves(spark, d, True)
-    imp = _forest().fit(train).featureImportances
+    imp = _forest().fit(_all(spark, d, True)).featureImportances
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(imp.toArray())], "feature int, importance double").orderBy(F.desc("importance"), "feature")
 
 
