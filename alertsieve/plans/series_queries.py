@@ -257,12 +257,12 @@ _COMPARED = ["t_shift_10_2", "t_shift_10_3", "mean_shift_1", "kl_shift"]
 
 def _truth_and_hits(spark, d):
     p = positioned(spark, d)
-    every = dt.detect(p, [x for x in DETECTORS if x.name in _COMPARED or x.name == "effect_shift"])
+    every = dt.detect(p, DETECTORS)
     from alertsieve.session import materialise
 
     every = materialise(every)
     truth = every.where("detector = 'effect_shift'").select("series_id", "pos")
-    return truth, every.where("detector <> 'effect_shift'"), _population(p, _COMPARED).drop("n")
+    return truth, every.where("detector <> 'effect_shift'"), _population(p, [x.name for x in DETECTORS if x.name != "effect_shift"]).drop("n")
 
 
 @query("detector_scores")
