@@ -8,11 +8,12 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertsieve.llm import decontaminate, jaccard, language, licenses, lm_scoring, quality, sentencepiece_fst, token_counts, token_output, url_rules
+from alertsieve.llm import decontaminate, jaccard, language, licenses, lm_scoring, quality, sentencepiece_fst, sharding, token_counts, token_output, url_rules
 from alertsieve.llm.common import bucket, read
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
+SHARDS = 24
 
 
 def llm_query(name: str, sql: str | None = None):
@@ -139,4 +140,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@llm_query("op13_slot_shards")
+def op13_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = sharding.shard(read(spark, sf_dir, "documents"), SHARDS)
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 llm_query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
