@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertsieve.llm import decontaminate, jaccard, language, licenses, lm_scoring, quality, sentencepiece_fst, sharding, token_counts, token_output, url_rules
+from alertsieve.llm import decontaminate, divergence, jaccard, language, licenses, lm_scoring, quality, sentencepiece_fst, sharding, token_counts, token_output, url_rules
 from alertsieve.llm.common import bucket, read
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,6 +140,38 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@llm_query(
+    "op12_source_divergence",
+    rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+v AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+k AS (SELECT lang, count(*) AS v FROM v GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN v USING (lang, term) GROUP BY lang, source, term),
+s AS (SELECT lang, source, sum(n) AS s FROM c GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(s.s, 0) + 5 * k.v) AS p
+  FROM g JOIN v ON g.lang = v.lang JOIN k ON g.lang = k.lang LEFT JOIN c ON g.lang = c.lang AND g.source = c.source AND v.term = c.term
+  LEFT JOIN s ON g.lang = s.lang AND g.source = s.source),
+q AS (SELECT c.lang, c.term, 1 + (1000000000::HUGEINT * (sum(c.n) + 5)) // (any_value(t.t) + 5 * any_value(k.v)) AS q
+  FROM c JOIN k ON c.lang = k.lang JOIN (SELECT lang, sum(n) AS t FROM c GROUP BY lang) t ON c.lang = t.lang GROUP BY c.lang, c.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, (SELECT 0) + coalesce(sum(abs(x.p - y.p)), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY a.lang, a.source, b.source),
+r AS (SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value FROM pairs UNION ALL
+  SELECT p.lang, p.source, 'term', p.term, (p.p - q.q)::BIGINT FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p.p > q.q)
+SELECT lang, source, part, item, value, rank::INT AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 50
+""",
+)
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
 @llm_query("op13_slot_shards")
 def op13_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = sharding.shard(read(spark, sf_dir, "documents"), SHARDS)

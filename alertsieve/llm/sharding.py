@@ -68,8 +68,8 @@ def sizes(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
 def widen(slot_map: DataFrame, of_slots: DataFrame, shards: int) -> DataFrame:
     """The map with more places, all in the same shard, for slots above a ``PLACES``-th of a fair share."""
     per_slot = of_slots.groupBy("slot").agg(F.sum("bytes").alias("bytes"))
-    fair = of_slots.agg((F.sum("bytes") / F.lit(shards * PLACES)).alias("fair"))
-    want = per_slot.join(F.broadcast(fair)).select("slot", F.ceil(F.col("bytes") / F.col("fair")).cast("int").alias("n"))  # one row on the right
+    fair = F.sum("bytes").over(Window.partitionBy()) / F.lit(shards * PLACES)  # a row for each slot
+    want = per_slot.select("slot", F.ceil(F.col("bytes") / fair).cast("int").alias("n"))
     wide = F.flatten(F.array_repeat(F.col("places"), F.greatest(F.lit(1), F.ceil(F.col("n") / F.size("places")).cast("int"))))
     return slot_map.join(want, "slot", "left").select("version", "slot", F.when(F.col("n") > F.size("places"), wide).otherwise(F.col("places")).alias("places"))
 
@@ -85,10 +85,9 @@ def _moves(of_slots: DataFrame, shards: int, into: int | None) -> DataFrame:
     marked = of_slots.select("slot", "part", "shard", "bytes", (F.sum("bytes").over(ahead) <= mean).alias("_stays"))
     if into is not None:
         return marked.where(~F.col("_stays")).select("slot", "part", F.lit(into).alias("to"))
-    stay = F.when(F.col("_stays"), F.col("bytes")).otherwise(F.lit(0))
-    loads = marked.groupBy("shard").agg(F.sum(stay).alias("load")).agg(F.map_from_entries(F.collect_list(F.struct("shard", "load"))).alias("_of"))
-    leaving = marked.where(~F.col("_stays")).agg(F.sort_array(F.collect_list(F.struct((-F.col("bytes")).alias("less"), "slot", "part"))).alias("_all"))
-    both = loads.join(F.broadcast(leaving))  # one row each
+    stay, leave = F.when(F.col("_stays"), F.col("bytes")).otherwise(F.lit(0)), F.when(~F.col("_stays"), F.struct((-F.col("bytes")).alias("less"), "slot", "part"))
+    each = marked.groupBy("shard").agg(F.sum(stay).alias("load"), F.collect_list(leave).alias("leave"))  # a row for each shard
+    both = each.agg(F.map_from_entries(F.collect_list(F.struct("shard", "load"))).alias("_of"), F.sort_array(F.flatten(F.collect_list("leave"))).alias("_all"))
     start = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: F.coalesce(F.element_at("_of", i), F.lit(0)).cast("bigint"))
 
     def take(state: Column, x: Column) -> Column:
