@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertsieve.llm import decontaminate, divergence, jaccard, language, licenses, lm_scoring, quality, sentencepiece_fst, sharding, token_counts, token_output, url_rules
+from alertsieve.llm import collocations, decontaminate, divergence, jaccard, language, licenses, lm_scoring, quality, sentencepiece_fst, sharding, token_counts, token_output, url_rules
 from alertsieve.llm.common import bucket, read
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,6 +143,34 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+@llm_query(
+    "op11_collocations",
+    rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+o AS (SELECT lang, id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM p),
+g AS (SELECT lang, x, lead(x, 1) OVER s AS y, lead(x, 2) OVER s AS z FROM o WINDOW s AS (PARTITION BY id ORDER BY i)),
+n AS (SELECT lang, count(*) AS n FROM o GROUP BY lang),
+u AS (SELECT lang, x, count(*) AS f FROM g GROUP BY lang, x),
+b AS (SELECT lang, x, y, count(*) AS f FROM g WHERE y IS NOT NULL GROUP BY lang, x, y HAVING count(*) >= 10),
+t AS (SELECT lang, x, y, z, count(*) AS f FROM g WHERE z IS NOT NULL GROUP BY lang, x, y, z HAVING count(*) >= 10),
+m AS (SELECT lang, x, y, max(f) AS most FROM (SELECT lang, x, y, f FROM t UNION ALL SELECT lang, y, z, f FROM t) GROUP BY lang, x, y),
+two AS (SELECT b.lang, b.x || ' ' || b.y AS phrase, b.f AS a, l.f AS l, r.f AS r FROM b JOIN u l ON l.lang = b.lang AND l.x = b.x
+  JOIN u r ON r.lang = b.lang AND r.x = b.y LEFT JOIN m ON m.lang = b.lang AND m.x = b.x AND m.y = b.y WHERE coalesce(100 * most < 50 * b.f, true)),
+three AS (SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z AS phrase, t.f AS a, l.f AS l1, q.f AS r1, p.f AS l2, r.f AS r2 FROM t
+  JOIN u l ON l.lang = t.lang AND l.x = t.x JOIN u r ON r.lang = t.lang AND r.x = t.z
+  JOIN b p ON p.lang = t.lang AND p.x = t.x AND p.y = t.y JOIN b q ON q.lang = t.lang AND q.x = t.y AND q.y = t.z),
+c AS (SELECT lang, phrase, a, l, r, (1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS score FROM two UNION ALL
+  SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2)
+  FROM (SELECT *, (1000000::HUGEINT * a * a) // (l1::HUGEINT * r1) AS s1, (1000000::HUGEINT * a * a) // (l2::HUGEINT * r2) AS s2 FROM three)),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM c)
+SELECT k.lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM k JOIN n ON n.lang = k.lang WHERE rank <= 2000
+""",
+)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 @llm_query(
     "op12_source_divergence",
     rf"""
