@@ -7,6 +7,7 @@ shared folder named by ``spark.checkpoint.dir`` and read back.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -61,7 +62,28 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/alertsieve/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._written_to = path
+    return written
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialise`` returned and that nothing reads any more, and the shuffle files of finished jobs.
+
+    Call it once all that was derived from them is written. Spark deletes the shuffle files of plans that the driver's
+    collector has found to be unused, so it's asked to look.
+    """
+    for df in tables:
+        path = getattr(df, "_written_to", None)
+        if path is None:
+            continue
+        jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
+    spark = next((df.sparkSession for df in tables if df is not None), None)
+    if spark is not None:
+        gc.collect()  # plans are held by their Python objects
+        spark._jvm.System.gc()
 
 
 def spread(df: DataFrame) -> DataFrame:
