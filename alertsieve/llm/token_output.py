@@ -8,6 +8,7 @@ chunk     number of the chunk in its shard, ascending
 doc_ids   ids of the documents in order
 counts    ids of each document, its end id included
 n_ids     ids of the chunk
+first     ids of the shard before the chunk
 offsets   first 64-bit word of each block of ``BLOCK`` ids, so that blocks decode alone
 packed    the words: 4 bits of selector, 60 bits of ids, little-endian
 escapes   ids that need more than 60 bits, as plain 64-bit words
@@ -20,7 +21,7 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +37,14 @@ COUNTS = [1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
 BITS = [60, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60]
 BLOCK = 4096
 CHUNK_IDS = 65536
-UNITS_KEPT = 200_000
-WORDS_KEPT = 400_000
+UNITS_KEPT = 250_000  # in a generation; two are kept
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Byte-level pre-tokens never cross the borders of these units, so a unit has the same ids in any text.
 UNIT = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: A word of Latin letters (one pre-token, as no letter follows) and the marks behind it.
 WORD = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
 _ODD = ["  ", " \n", "\n ", "\n\n", "\0", *"\t\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))]
-CHUNK_SCHEMA = "shard int, chunk int, doc_ids array<bigint>, counts array<int>, n_ids bigint, offsets array<int>, packed binary, escapes binary"
+CHUNK_SCHEMA = "shard int, chunk int, doc_ids array<bigint>, counts array<int>, n_ids bigint, first bigint, offsets array<int>, packed binary, escapes binary"
 
 
 def _classes(ids: np.ndarray) -> np.ndarray:
@@ -150,10 +150,11 @@ def unpack(n: int, offsets: list[int], packed: bytes, escapes: bytes, block: int
 
 
 class Encoder:
-    """Ids of whole texts. Each distinct word goes through the tokenizer once and is kept, up to ``WORDS_KEPT`` words.
+    """Ids of whole texts. Each distinct word goes through the tokenizer once and is kept for a while.
 
     Units are what no pre-token crosses: a word with the space before it, or a line break. Texts with other
-    white space, or with two such characters in a row, are cut by ``UNIT``.
+    white space, or with two such characters in a row, are cut by ``UNIT``. Texts that hold the string of an added token
+    go through the tokenizer whole. Units are kept in two generations, so the frequent ones stay.
     """
 
     def __init__(self, path: str):
@@ -161,13 +162,14 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         show = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.shown = {i: show(chr(i))[0][0] for i in range(128)}
         self.shown |= {ord(c): show(c)[0][0] for c in map(chr, range(0xC0, 0x100))}
-        self.units: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.space = self.shown[32]
+        self.fresh: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
 
     def cut(self, text: str) -> list[str]:
         if any(x in text for x in _ODD):
@@ -176,34 +178,41 @@ class Encoder:
 
     def word(self, word: str) -> bytes:
         """Ids of a run of letters, which is one pre-token."""
-        if (ids := self.words.get(word)) is None:
-            ids = self.words[word] = array("I", [t.id for t in self.model.tokenize(word.translate(self.shown))]).tobytes()
-        return ids
+        shown = (self.space + word[1:] if word[0] == " " else word) if word.isascii() else word.translate(self.shown)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def unit(self, unit: str) -> bytes:
         """A run of Latin letters at the start and marks behind it are pre-tokens of their own; anything else goes through the whole tokenizer."""
+        if unit.isascii() and unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()):
+            return self.word(unit)
         if m := WORD.fullmatch(unit):
-            return self.word(m[1]) + (self.whole(m[2]) if m[2] else b"")
+            return self.find(m[1], self.word) + self.find(m[2], self.whole) if m[2] else self.word(unit)
         return self.whole(unit)
 
-    def whole(self, unit: str) -> bytes:
-        if (ids := self.words.get(unit)) is None:
-            ids = self.words[unit] = array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def find(self, unit: str, make: Callable[[str], bytes]) -> bytes:
+        if (ids := self.fresh.get(unit)) is None:
+            if (ids := self.old.get(unit)) is None:
+                ids = make(unit)
+            self.fresh[unit] = ids
         return ids
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.units) > UNITS_KEPT:
-            self.units.clear()
-        if len(self.words) > WORDS_KEPT:
-            self.words.clear()
-        known, out = self.units, []
+        out = []
         for text in texts:
-            units = self.cut(text)
+            if any(x in text for x in self.added):
+                out.append(self.whole(text))
+                continue
+            if len(self.fresh) > UNITS_KEPT:
+                self.old, self.fresh = self.fresh, {"": b""}
+            known, units = self.fresh, self.cut(text)
             ids = list(map(known.get, units))
             if None in ids:
                 for i, x in enumerate(ids):
                     if x is None:
-                        ids[i] = known[units[i]] = self.unit(units[i])
+                        ids[i] = self.find(units[i], self.unit)
             out.append(b"".join(ids))
         return out
 
@@ -216,7 +225,7 @@ def encoder_of(path: str) -> Encoder:
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode whole texts and write them in ascending id order; returns the written shard table.
 
-    Null texts are empty; null ids come first. Repeated ids keep one entry per row. An empty table gives no chunks.
+    Null texts are empty; null ids come first; ids are whole numbers. Strings of added tokens become those tokens, as the library does. Repeated ids keep one entry per row. An empty table gives no chunks.
     Other columns are not read. Each task holds one chunk and the units kept, whatever the size of the table.
     """
 
@@ -225,13 +234,13 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col:
         shard, number = TaskContext.get().partitionId(), 0
         end = np.asarray([end_id], "<u4").tobytes()
         held: list[tuple[int | None, bytes]] = []
-        size = 0
+        size = before = 0
 
         def chunk() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
             offsets, packed, escapes = pack(ids)
-            row = [[shard], [number], [[d for d, _ in held]], [[len(x) // 4 for _, x in held]], [len(ids)], [offsets], [packed], [escapes]]
-            kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+            row = [[shard], [number], [[d for d, _ in held]], [[len(x) // 4 for _, x in held]], [len(ids)], [before], [offsets], [packed], [escapes]]
+            kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary()]
             names = [x.split()[0] for x in CHUNK_SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds)], names)
 
@@ -241,7 +250,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col:
                 size += len(ids) // 4 + 1
                 if size >= CHUNK_IDS:
                     yield chunk()
-                    held, size, number = [], 0, number + 1
+                    held, before, size, number = [], before + size, 0, number + 1
         if held:
             yield chunk()
 
@@ -265,13 +274,9 @@ def read_shards(chunks: DataFrame) -> DataFrame:
                 ["doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
-    order = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    shards = chunks.groupBy("shard").agg(F.sum("n_ids").alias("_all"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one small row per task of the writer
-    shards = shards.select("shard", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_before"))
-    sizes = chunks.select("shard", "chunk", "n_ids")
-    base = sizes.withColumn("_in", F.coalesce(F.sum("n_ids").over(order), F.lit(0))).join(shards, "shard")
-    base = base.select("shard", "chunk", (F.col("_in") + F.col("_before")).alias("base"))
-    return chunks.join(base, ["shard", "chunk"]).select("base", "doc_ids", "counts", "n_ids", "offsets", "packed", "escapes").mapInArrow(
+    ahead = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = chunks.groupBy("shard").agg(F.sum("n_ids").alias("_all")).select("shard", F.coalesce(F.sum("_all").over(ahead), F.lit(0)).alias("_before"))
+    placed = chunks.join(F.broadcast(shards), "shard")  # one small row for each task of the writer
+    return placed.select((F.col("_before") + F.col("first")).alias("base"), "doc_ids", "counts", "n_ids", "offsets", "packed", "escapes").mapInArrow(
         decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
     )

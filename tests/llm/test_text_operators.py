@@ -249,7 +249,6 @@ def test_token_files(docs, empty):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(BPE)
-    tokenizer.encode_special_tokens = True
     got = sorted(tuple(r) for r in token_output.read_shards(token_output.write_shards(docs, BPE)).collect())
     start = 0
     for (doc, at, n, crc), t in zip(got, texts(), strict=True):
