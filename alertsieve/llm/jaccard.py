@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertsieve.llm.common import most_frequent, shingle_hashes, text_slices, word_hashes
-from alertsieve.session import materialise
+from alertsieve.session import materialise, release
 
 FRAGMENTS = 8
 COMMON = 1 << 17  # frequent shingles that the order knows; the rest of the order needs no counts
@@ -31,6 +31,7 @@ CHUNK = 1 << 22  # shingles that a task counts at once
 PIVOT_ROUNDS = 3
 SHARED = 32
 PRUNE_ROUNDS = 3
+SALTS = 8
 
 
 def _sets(batch: pa.RecordBatch, text: int, k: int) -> Iterator[np.ndarray]:
@@ -66,6 +67,7 @@ def frequent_shingles(docs: DataFrame, text_col: str, k: int, most: int = COMMON
 
     counted = materialise(docs.select(F.col(text_col).alias("_text")).mapInArrow(count, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")))
     top = most_frequent(counted, "n", most).orderBy(F.desc("n"), "s").toPandas()  # bounded by ``most``
+    release(counted)
     hashes = top["s"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     places = (len(hashes) - np.arange(len(hashes))).astype(np.uint64)  # the most frequent one is last
@@ -104,31 +106,37 @@ def set_table(docs: DataFrame, common, id_col: str, text_col: str, k: int, perce
     return materialise(rows.mapInArrow(build, "_id bigint, n bigint, digest binary, prefix array<bigint>"))
 
 
-def segment_table(docs: DataFrame, wanted: DataFrame, common, id_col: str, text_col: str, k: int) -> DataFrame:
-    """Written: _id, f, seg (the shingles of fragment f) of the documents whose ids are in ``wanted``."""
+def segment_table(docs: DataFrame, wanted: DataFrame, common, id_col: str, text_col: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """_id, f, seg (the shingles of fragment f) of the documents in ``wanted`` (_id, and whether several rows have it); one row for each.
+
+    Also the written table that it reads.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(common)
     cuts = np.asarray([(1 << 63) // (FRAGMENTS - 1) * i for i in range(1, FRAGMENTS - 1)] + [1 << 63], np.uint64)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 1):
-            ids, parts, flat = [], [], []
-            for doc, x in zip(batch.column(0).to_pylist(), _sets(batch, 1, k)):
+            ids, parts, flat, often = [], [], [], []
+            for doc, x, many in zip(batch.column(0).to_pylist(), _sets(batch, 1, k), batch.column(2).to_pylist()):
                 x, keys = _ordered(x, sent.value)
                 for f, part in enumerate(np.split(x, np.searchsorted(keys, cuts))):
                     if len(part):
                         ids.append(doc)
                         parts.append(f)
+                        often.append(many)
                         flat.append(part.view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in flat])]).astype(np.int32)
             whole = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), whole)], ["_id", "f", "seg"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), whole), pa.array(often, pa.bool_())], ["_id", "f", "seg", "often"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text")).join(wanted, "_id", "left_semi")
-    return materialise(rows.select("_id", "_text").mapInArrow(build, "_id bigint, f int, seg array<bigint>"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text")).join(wanted, "_id")
+    written = materialise(rows.select("_id", "_text", "often").mapInArrow(build, "_id bigint, f int, seg array<bigint>, often boolean"))
+    once = written.where(~F.col("often")).drop("often")
+    return once.unionByName(written.where("often").drop("often").dropDuplicates(["_id", "f"])), written
 
 
 def linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, na, b, nb) whose similarity reaches the bound, as a, b.
+    """Written: the pairs (a, na, b, nb) whose similarity reaches the bound, as a, b.
 
     First fragment 0 of each pair is counted. Two sets may differ in (100 - p) / (100 + p) of their sizes together, so a
     pair that differs in more there is dropped. The other fragments of the rest are counted one by one and summed.
@@ -145,7 +153,9 @@ def linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     parts = left.join(right, ["b", "f"]).select("a", "b", F.size(F.array_intersect("seg", "other")).cast("bigint").alias("o"))
     whole = parts.unionByName(first.select("a", "b", F.col("o0").alias("o"))).groupBy("a", "b").agg(F.sum("o").alias("o"))
     done = whole.join(first.select("a", "na", "b", "nb"), ["a", "b"])
-    return done.where(F.col("o") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
+    found = materialise(done.where(F.col("o") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b"))
+    release(first)
+    return found
 
 
 def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
@@ -155,20 +165,22 @@ def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     nothing changes.
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    both = materialise(both.distinct())
-    labels = both.groupBy(F.col("u").alias("_id")).agg(F.least(F.min("v"), F.first("u")).alias("comp"))
     if start is not None:
-        both = materialise(both.unionByName(start.where("_id <> comp").select(F.col("_id").alias("u"), F.col("comp").alias("v"))).unionByName(start.where("_id <> comp").select(F.col("comp").alias("u"), F.col("_id").alias("v"))).distinct())
-        labels = both.groupBy(F.col("u").alias("_id")).agg(F.least(F.min("v"), F.first("u")).alias("comp"))
-    labels = materialise(labels)
+        tree = start.where("_id <> comp")
+        both = both.unionByName(tree.select(F.col("_id").alias("u"), F.col("comp").alias("v"))).unionByName(tree.select(F.col("comp").alias("u"), F.col("_id").alias("v")))
+    both = materialise(both.distinct())
+    now = labels = materialise(both.groupBy(F.col("u").alias("_id")).agg(F.least(F.min("v"), F.first("u")).alias("comp")))
     while True:
         near = both.join(labels.select(F.col("_id").alias("v"), "comp"), "v").groupBy(F.col("u").alias("_id")).agg(F.min("comp").alias("near"))
         moved = labels.join(near, "_id", "left").select("_id", "comp", F.least("comp", "near").alias("to"))
         up = labels.select(F.col("_id").alias("to"), F.col("comp").alias("top"))
-        now = materialise(moved.join(up, "to", "left").select("_id", F.least("to", "top").alias("comp"), (F.least("to", "top") < F.col("comp")).alias("_moved")))
+        last, now = now, materialise(moved.join(up, "to", "left").select("_id", F.least("to", "top").alias("comp"), (F.least("to", "top") < F.col("comp")).alias("_moved")))
         labels = now.select("_id", "comp")
+        release(last)
         if now.where("_moved").isEmpty():
-            return labels
+            done = materialise(labels)
+            release(both, start, now)
+            return done
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, rounds: int = PIVOT_ROUNDS) -> DataFrame:
@@ -176,22 +188,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Two rows link when 100 * common >= ``percent`` * united over their sets of distinct ``k``-word shingles (A-Z
     lower-cased; the whole sequence if there are fewer words). Rows without words, nulls too, link with nothing.
-    Equal sets link. Ids are whole numbers; rows may repeat an id together with its text. Shingles and digests are
+    Equal sets link. Ids are whole numbers; rows may repeat an id together with its text and are one set then. Shingles and digests are
     compared as hashes of 64 and 128 bits. Other columns are not read; an empty table gives an empty result.
     """
     common = frequent_shingles(docs, text_col, k)
     sets = set_table(docs, common, id_col, text_col, k, percent)
     some = sets.where("n > 0")
-    classes = some.groupBy("digest").agg(F.min("_id").alias("rep"))
-    reps = some.join(classes, (some["_id"] == classes["rep"]) & (some["digest"] == classes["digest"]), "left_semi")
-    prefixes = reps.select(F.col("_id").alias("rep"), "n", F.posexplode("prefix").alias("at", "s"))
+    # copies become one row in the tasks already, so that a large group of them doesn't meet in one
+    reps = some.groupBy("digest").agg(F.min(F.struct("_id", "n", "prefix")).alias("r")).select("r.*").withColumnRenamed("_id", "rep")
+    prefixes = reps.select("rep", "n", F.posexplode("prefix").alias("at", "s"))
     shared = materialise(prefixes.join(prefixes.groupBy("s").count().where("count > 1").select("s"), "s"))
     need = lambda n: F.greatest(F.lit(1), F.floor(F.ceil(n * percent / 100) / SHARED))  # noqa: E731  of a set or a partner a little smaller
     for _ in range(PRUNE_ROUNDS):  # sets with too few shared shingles go, and then buckets with one set
         enough = shared.groupBy("rep").agg(F.count("*").alias("_c"), F.first("n").alias("_n")).where(F.col("_c") >= need(F.col("_n"))).select("rep")
         left = shared.join(enough, "rep")
-        shared = materialise(left.join(left.groupBy("s").count().where("count > 1").select("s"), "s").select("s", "rep", "n", "at"))
-    segments = segment_table(docs, shared.select(F.col("rep").alias("_id")).distinct(), common, id_col, text_col, k)
+        before, shared = shared, materialise(left.join(left.groupBy("s").count().where("count > 1").select("s"), "s").select("s", "rep", "n", "at"))
+        release(before)
+    often = some.groupBy("_id").count().select("_id", (F.col("count") > 1).alias("often"))
+    segments, written = segment_table(docs, shared.select(F.col("rep").alias("_id")).distinct().join(often, "_id"), common, id_col, text_col, k)
 
     def fits(n: Column, i: Column, m: Column, j: Column) -> Column:
         """Whether sets of n and m shingles may be similar enough whose first common shingle stands at places i and j.
@@ -222,7 +236,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs)
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        comps = components(linked(pairs, segments, percent), comps)
+        links = linked(pairs, segments, percent)
+        comps = components(links, comps)
+        release(links)
         rows = shared.join(comps.select(F.col("_id").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         rows = rows.select("s", "rep", "n", "at", "comp")
     mixed = rows.groupBy("s").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("s")
@@ -232,10 +248,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     last = x.join(y, "s").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib")))
     last = last.select("a", "na", "b", "nb").distinct()
     last = materialise(last.join(tried, ["a", "b"], "left_anti"))
-    comps = components(linked(last, segments, percent), comps)
+    links = linked(last, segments, percent)
+    comps = components(links, comps)
+    release(links, last, rows, shared, written)
+    # a large group of copies is spread over the salts
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
     classes = some.groupBy("digest").agg(F.min("_id").alias("rep"))
     of_class = classes.join(comps.select(F.col("_id").alias("rep"), "comp"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("comp"))
-    found = sets.select("_id", "n", "digest").join(of_class, "digest", "left")
+    of_class = of_class.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = sets.select("_id", "n", "digest", salt("_id").alias("_salt")).join(of_class, ["digest", "_salt"], "left")
     return found.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "_id").alias("component_id"))
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from alertsieve.llm import decontaminate, jaccard, language, licenses, lm_scoring, quality, sentencepiece_fst, token_counts, token_output, url_rules
+from alertsieve.llm import common, decontaminate, jaccard, language, licenses, lm_scoring, quality, sentencepiece_fst, token_counts, token_output, url_rules
 from alertsieve.llm.common import lower_words
 from alertsieve.llm.pieces import Cutter, PieceModel
 
@@ -91,6 +91,29 @@ def test_jaccard(spark, docs, empty):
     assert jaccard.jaccard_components(empty).collect() == []
 
 
+def test_jaccard_repeated_rows_link_no_more(spark):
+    """Rows that repeat an id and its text, in several partitions, don't add to an overlap"""
+    rows = []
+    for i, edits in enumerate((6, 7, 8, 9, 10, 12, 14)):
+        text = [f"p{i}w{j}" for j in range(300)]
+        other = text.copy()
+        for e in range(edits):
+            other[20 + e * 20] = f"edit{i}x{e}"
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(other))]
+    frame = spark.createDataFrame(rows + rows[::2] + rows[::2], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame).collect()}
+    assert got == brute_components([t for _, t in rows], 4, 85)
+    assert jaccard.jaccard_components(frame).count() == len(rows) * 2
+
+
+@pytest.mark.parametrize("most", [0, 1, 100, 150, 1000])
+def test_most_frequent_fills_its_room(spark, most):
+    counts = spark.createDataFrame([(i, 2 if i < 200 else 1000 + i) for i in range(210)], "h long, n long")
+    got = {r.h for r in common.most_frequent(counts, "n", most).collect()}
+    assert len(got) <= most and len(got) >= min(210, most) - 5
+    assert most < 10 or set(range(200, 210)) <= got
+
+
 def test_jaccard_group_of_near_copies(spark):
     rng = np.random.default_rng(5)
     rows = []
