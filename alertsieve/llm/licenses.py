@@ -82,21 +82,25 @@ def band_values(hashes: str, sizes: list[int]) -> Column:
 
 
 def template_bands(templates: DataFrame) -> DataFrame:
-    """license, size, value, shingle: band values of each template or part of one, the class of its size, and the shingle that has the value."""
-    hashed = materialise(templates.select("license", let(scan_words(F.col("text")), lambda w: _windows(w, lambda *x: F.xxhash64(*x))).alias("h"))).where("size(h) > 0")
+    """license, notice, size, value, shingle: band values of each template or part of one, the class of its size, and the shingle that has the value.
+
+    ``notice`` is a hash of the template's text: a license may have several.
+    """
+    hashed = materialise(templates.select("license", F.xxhash64("text").alias("notice"), let(scan_words(F.col("text")), lambda w: _windows(w, lambda *x: F.xxhash64(*x))).alias("h"))).where("size(h) > 0")
     # the last part reaches back, so that it isn't short
     parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size("h") / LARGEST).cast("int") - 1), lambda i: F.slice("h", F.greatest(F.lit(1), F.least(i * LARGEST + 1, F.size("h") - LARGEST + 1)), F.lit(LARGEST)))
-    cut = materialise(hashed.select("license", F.explode(parts).alias("h")))  # the plan below names the hashes many times
+    cut = materialise(hashed.select("license", "notice", F.explode(parts).alias("h")))  # the plan below names the hashes many times
     size = F.element_at(F.filter(F.array(*[F.lit(s) for s in SIZES]), lambda s: s >= F.size("h")), 1)
     ends = [f"{end}(transform(h, v -> v ^ {a}L))" for a in _scrambles() for end in ("array_min", "array_max")]
     values = F.expr("array(" + ", ".join(f"struct({x} AS value, {x} ^ {a}L AS shingle)" for x, a in zip(ends, [a for a in _scrambles() for _ in range(2)])) + ")")
-    return cut.select("license", size.alias("size"), F.inline(values)).distinct()
+    return cut.select("license", "notice", size.alias("size"), F.inline(values)).distinct()
 
 
 def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT, most_values: int = MOST_VALUES) -> DataFrame:
     """Rows (id, license, containment): the documents that hold at least ``containment`` of a template's distinct shingles.
 
-    ``templates`` has license, text; templates without words are skipped, repeated ones count once. Whole texts are
+    ``templates`` has license, text; templates without words are skipped, repeated ones count once; of several texts of a
+    license the one that the document holds most of counts. Whole texts are
     scanned; null and empty texts hold nothing; a repeated row with the same id and text gives one row for each license.
     Other columns are not read. Up to ``most_values`` band values of the templates travel with the scan; with more,
     the values of the documents are joined with them instead, with equal results.
@@ -116,11 +120,12 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
         values = F.when(F.arrays_overlap("_h", literal("shingle")), F.array_intersect(values, literal("value")))
     # explode() would put the whole expression into a filter as well
     hits = hits.select("_id", "_text", F.explode_outer(F.array_distinct(values)).alias("value")).where("value IS NOT NULL")
-    pairs = hits.join(bands.select("license", "value").distinct(), "value").groupBy("_id", F.xxhash64("_text").alias("_key"), "license").agg(F.first("_text").alias("_text"))
-    want = materialise(templates.select("license", let(scan_words(F.col("text")), shingle_texts).alias("_want"))).where("size(_want) > 0").groupBy("license").agg(F.max("_want").alias("_want"))
-    both = pairs.join(want, "license")
+    pairs = hits.join(bands.select("license", "notice", "value").distinct(), "value").groupBy("_id", F.xxhash64("_text").alias("_key"), "license", "notice").agg(F.first("_text").alias("_text"))
+    want = materialise(templates.select("license", F.xxhash64("text").alias("notice"), let(scan_words(F.col("text")), shingle_texts).alias("_want"))).where("size(_want) > 0").groupBy("license", "notice").agg(F.max("_want").alias("_want"))
+    both = pairs.join(want, ["license", "notice"])
     share = let(let(scan_words(F.col("_text")), shingle_texts), lambda s: F.size(F.array_intersect(F.col("_want"), s)) / F.size("_want"))
-    return both.select(F.col("_id").alias(id_col), "license", share.alias("containment")).where(F.col("containment") >= containment)
+    held = both.select("_id", "_key", "license", share.alias("containment")).where(F.col("containment") >= containment)
+    return held.groupBy(F.col("_id").alias(id_col), "_key", "license").agg(F.max("containment").alias("containment")).drop("_key")
 
 
 def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
