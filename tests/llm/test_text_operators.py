@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from alertsieve.llm import common, decontaminate, jaccard, language, licenses, lm_scoring, quality, sentencepiece_fst, token_counts, token_output, url_rules
 from alertsieve.llm.common import lower_words
@@ -68,6 +69,38 @@ def test_quality_thresholds_follow_the_source(spark):
     assert got[901]  # its source is small, so its language's fences hold
 
 
+def test_quality_fences(spark):
+    """Against exact quantiles, and the same from any partitioning"""
+    rng = np.random.default_rng(5)
+    sizes = {("en", "a"): 900, ("en", "b"): 40, ("en", None): 1, (None, "a"): 300, ("fr", "c"): 0}
+    data = [(la, so, *map(float, rng.gamma(2, 1 + n % 7, 5) * (rng.random(5) < 0.9)), True) for (la, so), n in sizes.items() for _ in range(n)] + [("fr", "c", *[9.0] * 5, False)]
+    frame = spark.createDataFrame(data, "_lang string, _source string, " + ", ".join(f"{m} double" for m in quality.FENCES) + ", good boolean")
+    got = {(r._lang, r._source): r._limit for r in quality.group_limits(frame, F.col("good"), 4.0, 16).collect()}
+    again = {(r._lang, r._source): r._limit for r in quality.group_limits(frame.repartition(7), F.col("good"), 4.0, 16).collect()}
+    assert got == again and set(got) == set(sizes)
+
+    def fence(values, m, side, spread):
+        q1, q3 = np.quantile(values, [0.25, 0.75], method="inverted_cdf")
+        return np.array([q1 - 4 * max(q3 - q1, spread) if side == "both" else np.nan, q3 + 4 * max(q3 - q1, spread)])
+
+    for (la, so), n in sizes.items():
+        for i, (m, (side, spread)) in enumerate(quality.FENCES.items()):
+            pick = lambda f: [r[2 + i] for r in data if r[-1] and f(r)]  # noqa: B023, E731
+            groups = [pick(lambda r: True), pick(lambda r: r[0] == la), pick(lambda r: r[:2] == (la, so))]  # noqa: B023
+            want = fence(groups[0], m, side, spread)
+            for g in groups[1:]:
+                want = (len(g) * fence(g, m, side, spread) + 16 * want) / (len(g) + 16) if g else want
+            assert abs(got[la, so][m]["high"] - want[1]) < 0.06 * want[1]
+            assert (got[la, so][m]["low"] is None) if side == "upper" else abs(got[la, so][m]["low"] - want[0]) < 0.06 * abs(want[0])
+
+
+def test_licenses_with_several_notices(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "pq")
+    docs = spark.createDataFrame([(1, f"x {one} y"), (2, two), (3, f"{two} {one}"), (4, "none of it")], "doc_id long, text string")
+    got = sorted(map(tuple, licenses.scan(docs, licenses.template_table(spark, [("own", one), ("own", two), ("own", one)])).collect()))
+    assert got == [(1, "own", 1.0), (2, "own", 1.0), (3, "own", 1.0)]
+
+
 def brute_components(texts, k, percent):
     sets = {}
     for i, t in enumerate(texts):
