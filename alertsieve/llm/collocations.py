@@ -37,6 +37,7 @@ TASK_ROWS = 400_000  # counts of words that a task merges before it sends them
 TASK_KEYS = 1 << 21  # keys that a task sorts at once, and about the items that it holds
 SHARD_ITEMS = 1 << 22
 LEAST_SHARD_BITS = 6
+SALTS = 16
 SLICE = 2 << 20
 _WORDS = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 _FILTER = "width int, shard bigint, bits int, items bigint, runs binary, remainders binary, counts binary"
@@ -277,6 +278,10 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         F.when(one, F.col("f23")).otherwise(F.col("u3")).alias("r"),
         F.least("_s1", "_s2").alias("score"),
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = two.unionByName(three).withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= top)
+    # the first of each salt contain the first of the language, so no task ranks more than SALTS times ``top`` phrases
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
+    salted = two.unionByName(three).withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    firsts = salted.withColumn("_rank", rank("lang", "_salt")).where(F.col("_rank") <= top).drop("_rank", "_salt")
+    ranked = firsts.withColumn("rank", rank("lang")).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
