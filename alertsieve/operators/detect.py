@@ -2,23 +2,20 @@
 
 Window detectors read two neighbouring windows of each point, all of them in one pass over the
 ordered rows. Rules that go through hits one after the other (gap suppression, greedy matching)
-first cut each series where neighbours are too far apart to influence each other; the pieces are
-spread over tasks and scanned in order with constant memory.
+are in ``scans``.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertsieve.operators.lookup import lookup_join
 from alertsieve.operators.ordering import ordered
-from alertsieve.session import materialise
+from alertsieve.operators.scans import match_points, suppress  # noqa: F401  part of this module
 
 # Two-sided 5 % points of the t distribution at 2w-2 degrees of freedom, by window w.
 T_CRITICAL = {5: 2.306004, 10: 2.100922, 15: 2.048407, 20: 2.024394}
@@ -110,41 +107,6 @@ def raw_hits(df: DataFrame, detectors: Sequence[Detector], key: str = "series_id
     return rows.select(key, "pos", F.inline(F.array_compact(F.array(*found))))
 
 
-def _in_pieces(df: DataFrame, keys: Sequence[str], pos: str, gap: Column) -> DataFrame:
-    """Add ``_piece``: a new piece starts where the distance to the previous row exceeds gap.
-
-    The points are written first: counting keys must not run the detectors again.
-    """
-    keys = list(keys)
-    o = ordered(materialise(df), keys, [pos], before=1)
-    first = o.lag(pos).isNull() | (F.col(pos) - o.lag(pos) > gap)
-    df = o.with_columns({"_new": first}).result()
-    o = ordered(df, keys, [pos], like=o).with_running({"_piece": ("last", F.when(F.col("_new"), F.col(pos)))})
-    return o.result().drop("_new")
-
-
-def suppress(hits: DataFrame, keys: Sequence[str] = ("series_id", "detector")) -> DataFrame:
-    """Keep a hit only if it is more than ``gap`` after the last kept hit of its key."""
-    keys = list(keys)
-    p = _in_pieces(hits, keys, "pos", F.col("gap"))
-    by = [*keys, "_piece"]
-    p = p.repartition(*by).sortWithinPartitions(*by, "pos")
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, last = None, 0
-        for pdf in batches:
-            keep = []
-            for row in zip(*[pdf[c] for c in by], pdf["pos"], pdf["gap"]):
-                k, pos, gap = row[: len(by)], row[-2], row[-1]
-                ok = k != current or pos - last > gap
-                current = k
-                last = pos if ok else last
-                keep.append(ok)
-            yield pdf[keep]
-
-    return p.mapInPandas(scan, p.schema).drop("_piece")
-
-
 def detect(df: DataFrame, detectors: Sequence[Detector], key: str = "series_id") -> DataFrame:
     """Final change points ``key, detector, pos`` of series rows ``key, pos, value``."""
     return suppress(raw_hits(df, detectors, key), [key, "detector"]).select(key, "detector", "pos")
@@ -169,61 +131,6 @@ def cusum(df: DataFrame, threshold: float = 3.0, drift: float = 0.5, key: str =
 # --- evaluation ---------------------------------------------------------------------------------
 
 
-def match_points(hits: DataFrame, truth: DataFrame, tolerance: int, keys: Sequence[str], nearest: bool = True) -> DataFrame:
-    """Matched pairs ``keys, true_pos, det_pos`` within the tolerance, each point used once.
-
-    ``nearest``: every true point in order takes the nearest free hit. Otherwise every hit in
-    order takes the first free true point.
-    """
-    keys = list(keys)
-    both = hits.select(*keys, "pos", F.lit(0).alias("kind")).unionByName(truth.select(*keys, "pos", F.lit(1).alias("kind")))
-    flat = both.groupBy(*keys, "pos").agg(F.max("kind").alias("truth"), F.min("kind").alias("nohit"))
-    p = _in_pieces(flat, keys, "pos", F.lit(tolerance))
-    by = [*keys, "_piece"]
-    p = p.repartition(*by).sortWithinPartitions(*by, "pos")
-    lead_truth = nearest
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in p.select(*keys).schema.fields)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, lead, follow = None, [], []
-
-        def resolve(out: list, upto: float) -> None:
-            # a leading point is settled once no later partner can be in reach
-            while lead and lead[0] + tolerance < upto:
-                a = lead.pop(0)
-                near = [b for b in follow if abs(b - a) <= tolerance]
-                if near:
-                    b = min(near, key=lambda x: (abs(x - a), x)) if nearest else near[0]
-                    follow.remove(b)
-                    out.append((*current[: len(keys)], a, b) if lead_truth else (*current[: len(keys)], b, a))
-                floor = lead[0] - tolerance if lead else -math.inf
-                while follow and follow[0] < floor:
-                    follow.pop(0)
-
-        for pdf in batches:
-            out: list = []
-            for row in zip(*[pdf[c] for c in by], pdf["pos"], pdf["truth"], pdf["nohit"]):
-                k, pos, is_true, no_hit = row[: len(by)], row[-3], row[-2] == 1, row[-1] == 1
-                if k != current:
-                    if current is not None:
-                        resolve(out, math.inf)
-                    current, lead, follow = k, [], []
-                resolve(out, pos)
-                if not lead:
-                    follow[:] = [b for b in follow if b >= pos - tolerance]
-                if is_true:
-                    (lead if lead_truth else follow).append(pos)
-                if not no_hit:
-                    (follow if lead_truth else lead).append(pos)
-            yield pd.DataFrame(out, columns=[*keys, "true_pos", "det_pos"])
-        if current is not None:
-            out = []
-            resolve(out, math.inf)
-            yield pd.DataFrame(out, columns=[*keys, "true_pos", "det_pos"])
-
-    return p.mapInPandas(scan, f"{fields}, true_pos long, det_pos long")
-
-
 def series_scores(hits: DataFrame, truth: DataFrame, tolerance: int, population: DataFrame, key: str = "series_id", nearest: bool = True) -> DataFrame:
     """Per series and detector: counts, precision, recall, F1 and mean delay.
 
