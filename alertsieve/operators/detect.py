@@ -112,10 +112,10 @@ def detect(df: DataFrame, detectors: Sequence[Detector], key: str = "series_id")
     return suppress(raw_hits(df, detectors, key), [key, "detector"]).select(key, "detector", "pos")
 
 
-def cusum(df: DataFrame, threshold: float = 3.0, drift: float = 0.5, key: str = "series_id") -> DataFrame:
-    """First point where a standardised cumulative sum exceeds the threshold.
+def cusum_excess(df: DataFrame, drift: float = 0.5, key: str = "series_id") -> DataFrame:
+    """``key, pos, excess``: how far a standardised cumulative sum, up or down, is above its lowest value so far.
 
-    The sums are never rebuilt after a hit, so a series has at most one change point.
+    For series of 10 points or more. The sums are never rebuilt.
     """
     s = df.groupBy(key).agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"), F.count(F.lit(1)).alias("_n")).where("_n >= 10")
     z = lookup_join(df.select(key, "pos", "value"), s, [key], "inner")
@@ -124,8 +124,20 @@ def cusum(df: DataFrame, threshold: float = 3.0, drift: float = 0.5, key: str =
     o = ordered(z.select(key, "pos", (F.col("_z") - step).alias("_up"), (-F.col("_z") - step).alias("_dn")), [key], ["pos"])
     o = o.with_running({"_su": ("sum", F.col("_up")), "_sd": ("sum", F.col("_dn"))})
     o = o.with_running({"_mu": ("min", F.col("_su")), "_md": ("min", F.col("_sd"))})
-    hit = (F.col("_su") - F.col("_mu") > threshold) | (F.col("_sd") - F.col("_md") > threshold)
-    return o.result().where(hit).groupBy(key).agg(F.min("pos").alias("pos"))
+    return o.result().select(key, "pos", F.greatest(F.col("_su") - F.col("_mu"), F.col("_sd") - F.col("_md")).alias("excess"))
+
+
+def cusum(df: DataFrame, threshold: float = 3.0, drift: float = 0.5, key: str = "series_id") -> DataFrame:
+    """First point where the excess of the cumulative sum is above the threshold: at most one in a series."""
+    return cusum_excess(df, drift, key).where(F.col("excess") > threshold).groupBy(key).agg(F.min("pos").alias("pos"))
+
+
+def cusum_grid(df: DataFrame, thresholds: Sequence[float], drift: float = 0.5, key: str = "series_id") -> DataFrame:
+    """``key, threshold, pos`` for a grid of thresholds, all from one pass over the points."""
+    at = {t: F.min(F.when(F.col("excess") > t, F.col("pos"))).alias(f"_{i}") for i, t in enumerate(thresholds)}
+    first = cusum_excess(df, drift, key).groupBy(key).agg(*at.values())
+    found = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"_{i}").alias("pos")) for i, t in enumerate(at)])
+    return first.select(key, F.inline(found)).where("pos IS NOT NULL")
 
 
 # --- evaluation ---------------------------------------------------------------------------------
@@ -134,10 +146,11 @@ def cusum(df: DataFrame, threshold: float = 3.0, drift: float = 0.5, key: str =
 def series_scores(hits: DataFrame, truth: DataFrame, tolerance: int, population: DataFrame, key: str = "series_id", nearest: bool = True) -> DataFrame:
     """Per series and detector: counts, precision, recall, F1 and mean delay.
 
-    ``population`` lists every (key, detector) to be scored, also those without any hit.
+    ``population`` lists every (key, detector) to be scored, also those without any hit. ``truth`` may have a column
+    detector as well, where each one has its own.
     """
     keys = [key, "detector"]
-    t = truth.join(population, key)
+    t = truth.join(population, keys if "detector" in truth.columns else key)
     m = match_points(hits, t, tolerance, keys, nearest)
     g = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_detected"))
     q = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_true"))

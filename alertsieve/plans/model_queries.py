@@ -446,7 +446,7 @@ def uncertainty_comparison(spark, d):
 
 @query("conformal_job", None)
 def conformal_job(spark, d):
-    return jobs.conformal_job(scores(spark, d), "pa", resamples=100)["metrics"]
+    return jobs.conformal_job(scores(spark, d), "pa")["metrics"]
 
 
 @query("threshold_grid_steps")

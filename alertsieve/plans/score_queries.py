@@ -648,7 +648,7 @@ def tier_change_quality(spark, d):
 
 # --- resampling -----------------------------------------------------------------------------------
 
-_B = 200
+_B = 1000
 
 
 def _boot(key: str) -> str:
@@ -695,6 +695,36 @@ def bootstrap_augrc(spark, d):
     return rs.bootstrap_augrc(test_rows(spark, d), F.col("preda") != F.col("label"), pr.confidence(F.col("pa")), _B)
 
 
+_MACRO = " + ".join(f"coalesce(2.0::DOUBLE*sum(w*(label={k} AND preda={k})::INT)/nullif(sum(w*(label={k})::INT)+sum(w*(preda={k})::INT),0),0)" for k in range(10))
+_SEEN = " + ".join(f"(sum(w*(label={k})::INT)+sum(w*(preda={k})::INT) > 0)::INT" for k in range(10))
+
+
+@query(
+    "bootstrap_metrics",
+    _TEST
+    + f""", {_boot('id')}, s AS (SELECT agree, b, sum(w*(preda=label)::INT)/nullif(sum(w),0) AS acc, ({_MACRO})/nullif({_SEEN},0) AS macro FROM boot GROUP BY agree, b),
+l AS (SELECT agree, 'accuracy' AS metric, acc AS v FROM s UNION ALL SELECT agree, 'macro_f1', macro FROM s) SELECT agree, metric, {_CI}, {R('stddev_pop(v)')} AS std FROM l GROUP BY agree, metric""",
+)
+def bootstrap_metrics(spark, d):
+    """Two metrics over the same resamples, by agreement of the two models."""
+    metrics = {"accuracy": rs.accuracy(F.col("preda") == F.col("label")), "macro_f1": rs.macro_f1(F.col("label"), F.col("preda"), range(10))}
+    return rs.bootstrap(test_rows(spark, d), F.col("id"), metrics, _B, ["agree"])
+
+
+@query(
+    "bootstrap_cascade",
+    _TEST
+    + f""", m AS (SELECT label AS major FROM t GROUP BY label ORDER BY count(*) DESC, label LIMIT 1), {_boot('id')},
+s AS (SELECT b, sum(w*(ca>=0.6::DOUBLE)::INT*(preda=label)::INT)/nullif(sum(w*(ca>=0.6::DOUBLE)::INT),0) AS acc, sum(w*(ca>=0.6::DOUBLE)::INT)/sum(w) AS cov, sum(w*(label=(SELECT major FROM m))::INT)/sum(w) AS maj FROM boot GROUP BY b),
+l AS (SELECT unnest(['accuracy','coverage','majority_baseline','accuracy_lift']) AS metric, unnest([acc, cov, maj, acc-maj]) AS v FROM s) SELECT metric, {_CI}, {R('stddev_pop(v)')} AS std FROM l GROUP BY metric""",
+)
+def bootstrap_cascade(spark, d):
+    """End-to-end metrics of a gated model with the lift over the majority class."""
+    t = test_rows(spark, d)
+    major = t.groupBy("label").count().orderBy(F.desc("count"), "label").first()["label"]  # a row for each class
+    return rs.bootstrap(t, F.col("id"), rs.cascade_metrics(F.col("preda") == F.col("label"), pr.confidence(F.col("pa")) >= 0.6, F.col("label") == major), _B)
+
+
 @query("mcnemar_counts", _TEST + f", c AS (SELECT count(*) FILTER (WHERE preda=label AND predb<>label) AS b, count(*) FILTER (WHERE preda<>label AND predb=label) AS c FROM t) SELECT b AS a_only, c AS b_only, {R('(abs(b-c)-1)**2/(b+c)')} AS statistic, (abs(b-c)-1)**2/(b+c) > 3.841459 AS significant FROM c")
 def mcnemar_counts(spark, d):
     return rs.mcnemar(test_rows(spark, d), F.col("preda") == F.col("label"), F.col("predb") == F.col("label")).drop("p_value")

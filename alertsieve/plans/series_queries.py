@@ -10,6 +10,7 @@ from alertsieve.operators import forecast as fc
 from alertsieve.operators import metrics as mt
 from alertsieve.operators import series as sr
 from alertsieve.plans.registry import R, query
+from alertsieve.session import materialise
 from alertsieve.sources.tables import SERIES_SQL, series
 
 _S = "WITH " + SERIES_SQL
@@ -248,18 +249,42 @@ def cusum_no_drift(spark, d):
     return dt.cusum(positioned(spark, d), 5.0, 0.0)
 
 
+#: thresholds and windows of the sensitivity tables (fixed values)
+CUSUM_GRID = [2.0, 3.0, 5.0, 7.0, 10.0]
+WINDOW_GRID = [5, 10, 15, 20]
+
+
+@query(
+    "cusum_thresholds",
+    _cusum_sql(0.0, 0.5).replace(" SELECT series_id, min(pos) AS pos FROM m WHERE n >= 10 AND (su-mu > 0.0 OR sd-md > 0.0) GROUP BY series_id", "")
+    + f" SELECT series_id, threshold, min(pos) AS pos FROM m JOIN (SELECT unnest({CUSUM_GRID}::DOUBLE[]) AS threshold) ON su-mu > threshold OR sd-md > threshold WHERE n >= 10 GROUP BY series_id, threshold",
+)
+def cusum_thresholds(spark, d):
+    """First passage of a grid of thresholds, from one pass."""
+    return dt.cusum_grid(positioned(spark, d), CUSUM_GRID)
+
+
+@query("cusum_sensitivity")
+def cusum_sensitivity(spark, d):
+    """Precision, recall and F1 of each threshold against effect-size truth within 5."""
+    p = positioned(spark, d)
+    truth = materialise(dt.detect(p, [dt.effect_shift()])).select("series_id", "pos")
+    name = F.concat(F.lit("cusum_"), F.col("threshold").cast("string"))
+    hits = materialise(dt.cusum_grid(p, CUSUM_GRID).select("series_id", name.alias("detector"), "pos"))
+    scores = dt.series_scores(hits, truth, 5, _population(p, [f"cusum_{t}" for t in CUSUM_GRID]).drop("n"))
+    return dt.detector_summary(scores)
+
+
 def _population(p, names):
     return p.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).select("series_id", "n", F.explode(F.array(*[F.lit(n) for n in names])).alias("detector"))
 
 
-_COMPARED = ["t_shift_10_2", "t_shift_10_3", "mean_shift_1", "kl_shift"]
+_COMPARED = [x.name for x in DETECTORS]
 
 
 def _truth_and_hits(spark, d):
     p = positioned(spark, d)
     every = dt.detect(p, DETECTORS)
-    from alertsieve.session import materialise
-
     every = materialise(every)
     truth = every.where("detector = 'effect_shift'").select("series_id", "pos")
     return truth, every.where("detector <> 'effect_shift'"), _population(p, [x.name for x in DETECTORS if x.name != "effect_shift"]).drop("n")
@@ -284,8 +309,6 @@ SENSITIVITY = [dt.t_shift(w, t, name=f"w{w}_t{t:g}") for w in (5, 10, 15, 20) fo
 @query("detector_sensitivity")
 def detector_sensitivity(spark, d):
     """Window sizes and thresholds side by side, all from one pass over the series."""
-    from alertsieve.session import materialise
-
     p = positioned(spark, d)
     every = materialise(dt.detect(p, [*SENSITIVITY, dt.effect_shift()]))
     truth = every.where("detector = 'effect_shift'").select("series_id", "pos")
@@ -293,6 +316,17 @@ def detector_sensitivity(spark, d):
     return dt.detector_summary(s)
 
 
+@query("window_sensitivity")
+def window_sensitivity(spark, d):
+    """The t rule by window, against effect-size truth of the same window, over series of two windows or more."""
+    p = positioned(spark, d)
+    rules = [r for w in WINDOW_GRID for r in (dt.t_shift(w, 2.0, name=f"window_{w}"), dt.effect_shift(w, name=f"truth_{w}"))]
+    every = materialise(dt.detect(p, rules))
+    truth = every.where("detector LIKE 'truth%'").select("series_id", F.regexp_replace("detector", "truth", "window").alias("detector"), "pos")
+    pop = _population(p, [f"window_{w}" for w in WINDOW_GRID]).where(F.col("n") >= 2 * F.regexp_extract("detector", "[0-9]+", 0).cast("int")).drop("n")
+    return dt.detector_summary(dt.series_scores(every.where("detector LIKE 'window%'"), truth, 5, pop))
+
+
 _MT = "WITH RECURSIVE " + _hits_sql(_COMPARED) + _KEEP + """, n AS (SELECT series_id, count(*) AS n FROM series GROUP BY series_id), dl(detector) AS (VALUES """ + ", ".join(f"('{x}')" for x in _COMPARED) + """), pop AS (SELECT series_id, detector, CASE WHEN series_id%2=0 THEN n-10 END AS tp FROM n, dl),
 g AS (SELECT p.series_id, p.detector, p.tp, count(k.pos) AS nd, min(abs(k.pos-p.tp)) AS dist FROM pop p LEFT JOIN k ON k.series_id=p.series_id AND k.detector=p.detector GROUP BY ALL), taus(tau) AS (VALUES (1),(3),(5),(7),(10),(15),(20)),
 c AS (SELECT detector, tau, sum(coalesce((dist<=tau)::INT,0)) AS tp, sum(nd-coalesce((dist<=tau)::INT,0)) AS fp, sum((tp IS NOT NULL)::INT-coalesce((dist<=tau)::INT,0)) AS fn FROM g, taus GROUP BY ALL),
