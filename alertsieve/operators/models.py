@@ -8,9 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from statistics import NormalDist
 
-import pandas as pd
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml import classification as cl
 from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, Imputer, NGram, Normalizer, OneHotEncoder, RegexTokenizer, StandardScaler, StopWordsRemover, StringIndexer, VectorAssembler
@@ -232,23 +230,41 @@ def stacking(train: DataFrame, test: DataFrame, bases: dict[str, Estimator], met
     return scored(meta.fit(assemble(tr)), assemble(te))
 
 
+def partner(pos: Column, n: int, seed: int) -> Column:
+    """Where position ``pos`` of 0 to n - 1 goes in permutation ``seed``: Feistel rounds, repeated until the result is below n."""
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+
+    def rounds(x: Column) -> Column:
+        left, right = F.shiftright(x, half), x.bitwiseAND(F.lit(mask))
+        for r in range(4):
+            left, right = right, left.bitwiseXOR(F.xxhash64(right, F.lit(seed), F.lit(r)).bitwiseAND(F.lit(mask)))
+        return F.shiftleft(left, half).bitwiseOR(right)
+
+    # fewer than four numbers of the domain are above n for each one below, so 200 steps are as good as never too few
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(200)), rounds(pos.cast("long")), lambda q, _: F.when(q < n, q).otherwise(rounds(q)))
+    return F.when(found < n, found).otherwise(F.raise_error(F.lit("no place found")).cast("long"))
+
+
 def permutation_importance(model, df: DataFrame, size: int, label: str = "label", repeats: int = 10, vector: str = "v", key: str = "id") -> DataFrame:
-    """Loss of macro F1 when one feature is exchanged between rows.
+    """Loss of macro F1 when one feature is exchanged between rows: ``feature, importance, std``.
 
-    A shuffle pairs the rows at the same position of two hashed orders.
+    In each repeat a bijection of the positions gives each row a partner, whose features it takes one at a time. All
+    features and repeats are scored in one pass and counted as cells of confusion matrices.
     """
-    base = mt.multiclass_metrics(scored(model, with_vectors(df, vector)), label, "pred").first()["f1_macro"]
-    n = materialise(ordered(df.withColumn("_u", F.lit(0)), [], [key]).with_position("_p").result().drop("_u"))
-    rows = []
-    for r in range(repeats):
-        sh = ordered(n.select(key, F.col(vector).alias("_o")).withColumn("_u", keyed_uniform(F.col(key), f"perm{r}")), [], ["_u", key]).with_position("_p").result().select("_p", "_o")
-        j = materialise(n.join(sh, "_p"))
-        for c in range(size):
-            x = j.withColumn(vector, F.concat(F.slice(vector, 1, c), F.array(F.get(F.col("_o"), F.lit(c))), F.slice(vector, c + 2, size)))
-            f1 = mt.multiclass_metrics(scored(model, with_vectors(x.drop("_o", "_p"), vector)), label, "pred").first()["f1_macro"]
-            rows.append((c, float(base - f1)))
-    d = df.sparkSession.createDataFrame(rows, "feature int, loss double")
-    return d.groupBy("feature").agg(F.avg("loss").alias("importance"), F.stddev_pop("loss").alias("std"))
+    n = materialise(ordered(df.select(key, F.col(label).alias("_y"), F.col(vector).cast("array<double>").alias("_v")), [], [key]).with_position("_p").result())
+    count = n.count()
+    to = F.array(*[F.struct(F.lit(r).alias("_r"), partner(F.col("_p"), count, r).alias("_q")) for r in range(repeats)])
+    pairs = n.select("_y", "_v", F.inline(to)).join(n.select(F.col("_p").alias("_q"), F.col("_v").alias("_o")), "_q")
+    changed = lambda c: F.transform("_v", lambda x, i: F.when(i == c, F.get(F.col("_o"), c)).otherwise(x))
+    every = pairs.select("_y", "_r", "_v", "_o", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("feature")).select("_y", "_r", "feature", changed(F.col("feature")).alias("_x"))
+    plain = n.select("_y", F.lit(-1).alias("_r"), F.lit(-1).alias("feature"), F.col("_v").alias("_x"))
+    cells = scored(model, with_vectors(every.unionByName(plain), "_x")).groupBy("_r", "feature", "_y", "pred").agg(F.count(F.lit(1)).alias("n"))
+    side = lambda c, hit: F.struct(F.col(c).cast("double").alias("class"), F.col("n").alias("all"), F.when(F.lit(hit) & (F.col("_y") == F.col("pred")), F.col("n")).otherwise(0).alias("hit"))
+    per = cells.select("_r", "feature", F.inline(F.array(side("_y", True), side("pred", False)))).groupBy("_r", "feature", "class").agg((F.lit(2.0) * F.sum("hit") / F.sum("all")).alias("f1"))
+    macro = materialise(per.groupBy("_r", "feature").agg(F.avg("f1").alias("f1")))
+    base = macro.where("feature < 0").first()["f1"]
+    return macro.where("feature >= 0").groupBy("feature").agg(F.avg(F.lit(base) - F.col("f1")).alias("importance"), F.stddev_pop("f1").alias("std"))
 
 
 def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins: int = 10) -> DataFrame:
@@ -367,18 +383,51 @@ class ConfidenceStage:
 # --- topics, clusters, projections ---------------------------------------------------------------------------------
 
 
-def rank_normal(df: DataFrame, cols: Sequence[str], key: str = "id") -> DataFrame:
-    """Each column replaced by the normal quantile of its rank (r + 0.5)/n."""
-    @F.pandas_udf("double")
-    def probit(p: pd.Series) -> pd.Series:
-        nd = NormalDist()
-        return p.map(nd.inv_cdf)
+# Coefficients of the rational approximations of the normal quantile (Wichura, algorithm AS 241), numerator and
+# denominator, for the middle, the tails and the far tails.
+_PROBIT = [
+    (
+        [3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3],
+        [1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3, 2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3],
+    ),
+    (
+        [1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0, 3.64784832476320460504e0, 1.27045825245236838258e0, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4],
+        [1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1, 1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9],
+    ),
+    (
+        [6.65790464350110377720e0, 5.46378491116411436990e0, 1.78482653991729133580e0, 2.96560571828504891230e-1, 2.65321895265761230930e-2, 1.24266094738807843860e-3, 2.71155556874348757815e-5, 2.01033439929228813265e-7],
+        [1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612908506148525e-2, 7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15],
+    ),
+]
+
 
+def _ratio(x: str, tables: tuple[list[float], list[float]]) -> str:
+    def poly(c: list[float]) -> str:
+        out = f"{c[-1]!r}e0" if "e" not in repr(c[-1]) else repr(c[-1])
+        for v in reversed(c[:-1]):
+            out = f"({v!r}{'' if 'e' in repr(v) else 'e0'} + {x} * {out})"
+        return out
+
+    return f"({poly(tables[0])} / {poly(tables[1])})"
+
+
+def probit_sql(p: str) -> str:
+    """The normal quantile of an expression between 0 and 1, in SQL that Spark and others read; to about 16 digits."""
+    q = f"({p} - 0.5e0)"
+    r = f"sqrt(-ln(least({p}, 1e0 - {p})))"
+    middle = f"{q} * {_ratio(f'(0.180625e0 - {q} * {q})', _PROBIT[0])}"
+    tail = f"CASE WHEN {r} <= 5e0 THEN {_ratio(f'({r} - 1.6e0)', _PROBIT[1])} ELSE {_ratio(f'({r} - 5e0)', _PROBIT[2])} END"
+    return f"CASE WHEN abs({q}) <= 0.425e0 THEN {middle} ELSE sign({q}) * ({tail}) END"
+
+
+def rank_normal(df: DataFrame, cols: Sequence[str], key: str = "id") -> DataFrame:
+    """Each column replaced by the normal quantile of its rank (r + 0.5)/n; ties by the key. All columns are ranked in one pass."""
     n = df.count()
-    for c in cols:
-        df = ordered(df, [], [c, key]).with_position("_p").result()
-        df = df.withColumn(c, probit((F.col("_p") + 0.5) / float(n))).drop("_p")
-    return df
+    long = df.select(key, F.inline(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(cols)])))
+    placed = ordered(long, ["_c"], ["_v", key]).with_position("_p").result()
+    placed = placed.select(key, "_c", ((F.col("_p") + 0.5) / F.lit(float(max(n, 1)))).alias("_u")).select(key, "_c", F.expr(probit_sql("_u")).alias("_z"))
+    wide = placed.groupBy(key).agg(*[F.max(F.when(F.col("_c") == i, F.col("_z"))).alias(c) for i, c in enumerate(cols)])
+    return df.drop(*cols).join(wide, key).select(*df.columns)
 
 
 def kmeans_labels(df: DataFrame, k: int, seed: int = SEED) -> DataFrame:
@@ -409,16 +458,11 @@ def lda_topics(df: DataFrame, vocabulary: Sequence[str], k: int = 5, words: int
     return t.select("topic", F.transform("termIndices", lambda i: F.get(names, i)).alias("terms"), "termWeights")
 
 
-def nmf_topics(weights: DataFrame, k: int = 5, words: int = 8) -> DataFrame:
+def nmf_topics(weights: DataFrame, k: int = 5, words: int = 8, rounds: int = 10) -> DataFrame:
     """Non-negative factors of (id, term, weight): the strongest terms per factor."""
-    from pyspark.ml.recommendation import ALS
-
+    from alertsieve.operators.factors import factorise
     from alertsieve.operators.topk import first_k
 
-    weights = materialise(weights)
-    terms = materialise(ordered(weights.select("term").distinct(), [], ["term"]).with_position("t").result())
-    w = weights.join(terms, "term").select(F.col("id").cast("int").alias("id"), F.col("t").cast("int").alias("t"), "weight")
-    m = ALS(rank=k, maxIter=10, nonnegative=True, implicitPrefs=False, seed=SEED, userCol="id", itemCol="t", ratingCol="weight", regParam=0.01).fit(w)
-    f = m.itemFactors.select(F.col("id").alias("t"), F.posexplode("features").alias("topic", "w"))
-    f = f.join(terms.withColumn("t", F.col("t").cast("int")), "t")
-    return first_k(f.select("topic", "term", "w"), ["topic"], [F.desc("w"), "term"], words).select("topic", "_rank", "term", "w")
+    f = factorise(weights, k, rounds).cols
+    long = f.select(F.col("col").alias("term"), F.inline(F.array(*[F.struct(F.lit(j).alias("topic"), F.col(f"f{j}").alias("w")) for j in range(k)])))
+    return first_k(long, ["topic"], [F.desc("w"), "term"], words).select("topic", "_rank", "term", "w")

@@ -142,16 +142,15 @@ def positive_weight_search(spark, d):
 def stacking(spark, d):
     train, test = _halves(spark, d, True)
     bases = {"forest": _forest(), "logistic": cl.LogisticRegression(maxIter=10)}
-    s = md.stacking(train.select("id", "label", "features"), test.select("id", "label", "features"), bases, cl.GBTClassifier(maxIter=5, seed=md.SEED), k=3)
+    s = md.stacking(train.select("id", "label", "features"), test.select("id", "label", "features"), bases, cl.GBTClassifier(maxIter=5, seed=md.SEED), k=5)
     return mt.binary_metrics(s, F.col("label"), F.col("pred"))
 
 
 @query("permutation_importance")
 def permutation_importance(spark, d):
-    v = vectors(spark, d).select("id", F.slice("v", 1, 4).alias("v"), (F.col("label") < 3).cast("int").alias("label"))
-    v = materialise(v)
+    v = materialise(vectors(spark, d).select("id", "v", (F.col("label") < 3).cast("int").alias("label")))
     m = _forest().fit(md.with_vectors(v.where("id % 2 = 0")))
-    return md.permutation_importance(m, v.where("id % 2 = 1"), 4, repeats=2)
+    return md.permutation_importance(m, v.where("id % 2 = 1"), 64)
 
 
 @query("tree_importance")
@@ -173,13 +172,13 @@ def feature_selection(spark, d):
 
 @query(
     "mutual_information",
-    """WITH f AS (SELECT label AS y, unnest(['f0','f1','f2']) AS feature, unnest([embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE]) AS x FROM embeddings), r AS (SELECT *, min(x) OVER (PARTITION BY feature) AS lo, max(x) OVER (PARTITION BY feature) AS hi FROM f),
+    """WITH f AS (SELECT label AS y, 'f' || (k-1) AS feature, embedding[k]::DOUBLE AS x FROM embeddings, range(1, 65) r(k)), r AS (SELECT *, min(x) OVER (PARTITION BY feature) AS lo, max(x) OVER (PARTITION BY feature) AS hi FROM f),
 b AS (SELECT feature, y, least(floor((x-lo)/(hi-lo)*10),9) AS bin FROM r), n AS (SELECT feature, bin, y, count(*) AS n FROM b GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY feature, bin) AS nb, sum(n) OVER (PARTITION BY feature, y) AS ny, sum(n) OVER (PARTITION BY feature) AS nt FROM n) """
     + f"SELECT feature, {R('sum(n/nt*ln(n*nt/(nb*ny)))')} AS mutual_information FROM m GROUP BY feature",
 )
 def mutual_information(spark, d):
-    v = vectors(spark, d).select("label", *[F.col("v")[i].alias(f"f{i}") for i in range(3)])
-    return md.mutual_information(v, ["f0", "f1", "f2"], "label")
+    v = vectors(spark, d).select("label", *[F.col("v")[i].alias(f"f{i}") for i in range(64)])
+    return md.mutual_information(v, [f"f{i}" for i in range(64)], "label")
 
 
 @query("pca_projection")
@@ -196,8 +195,8 @@ def pca_projection(spark, d):
 def kmeans_profiles(spark, d):
     from alertsieve.operators.clusters import cluster_profiles
 
-    v = md.kmeans_labels(md.with_vectors(vectors(spark, d)), 5).withColumn("x", F.col("v")[0])
-    return cluster_profiles(v, "cluster", ["x"], ["label"])
+    v = md.kmeans_labels(md.with_vectors(vectors(spark, d)), 5).select("cluster", "label", *[F.col("v")[i].alias(f"x{i}") for i in range(64)])
+    return cluster_profiles(v, "cluster", [f"x{i}" for i in range(64)], ["label"])
 
 
 @query("kmeans_search")
@@ -205,10 +204,16 @@ def kmeans_search(spark, d):
     return md.kmeans_search(materialise(md.with_vectors(vectors(spark, d)).select("features")), [2, 4, 6])
 
 
-@query("rank_normal")
+@query(
+    "rank_normal",
+    "WITH f AS (SELECT vec_id AS id, k-1 AS feature, embedding[k]::DOUBLE AS x FROM embeddings, range(1, 65) r(k)), p AS (SELECT id, feature, (row_number() OVER (PARTITION BY feature ORDER BY x, id) - 0.5) / count(*) OVER (PARTITION BY feature) AS u FROM f) "
+    + f"SELECT id, feature::INT AS feature, {R(md.probit_sql('u'))} AS value FROM p",
+)
 def rank_normal(spark, d):
-    v = vectors(spark, d).select("id", F.col("v")[0].alias("x"), F.col("v")[1].alias("y"))
-    return md.rank_normal(v, ["x", "y"])
+    """All dimensions, as id, feature, value."""
+    v = vectors(spark, d).select("id", *[F.col("v")[i].alias(f"x{i}") for i in range(64)])
+    z = md.rank_normal(v, [f"x{i}" for i in range(64)])
+    return z.select("id", F.inline(F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f"x{i}").alias("value")) for i in range(64)])))
 
 
 # --- text ----------------------------------------------------------------------------------------------------
@@ -410,10 +415,10 @@ def alert_cascade(spark, d):
     return gt.cascade_curve(out.withColumn("truth", F.when(F.col("final_stage") == "invalid", F.col("y")).otherwise(F.col("label"))), "truth")
 
 
-@query("retrieval_over_k", _NN.format(k=5) + ", ".join([""] + [f"b{k} AS (WITH j AS (SELECT nn.id, l.label, sum(1/(d+1e-6)) AS s FROM nn JOIN v l ON l.id=nn.nid WHERE rank <= {k} GROUP BY ALL) SELECT id, arg_min(label, (-round(s,9), label)) AS pred_label, max(s)/sum(s) AS conf FROM j GROUP BY id)" for k in (1, 3, 5)]) + " " + " UNION ALL ".join(f"SELECT {k} AS k, {R('avg((pred_label=label)::INT)')} AS accuracy, {R('avg(conf)')} AS mean_confidence FROM b{k} JOIN v USING (id)" for k in (1, 3, 5)))
+@query("retrieval_over_k", _NN.format(k=10) + ", ".join([""] + [f"b{k} AS (WITH j AS (SELECT nn.id, l.label, sum(1/(d+1e-6)) AS s FROM nn JOIN v l ON l.id=nn.nid WHERE rank <= {k} GROUP BY ALL) SELECT id, arg_min(label, (-round(s,9), label)) AS pred_label, max(s)/sum(s) AS conf FROM j GROUP BY id)" for k in (1, 3, 5, 7, 10)]) + " " + " UNION ALL ".join(f"SELECT {k} AS k, {R('avg((pred_label=label)::INT)')} AS accuracy, {R('avg(conf)')} AS mean_confidence FROM b{k} JOIN v USING (id)" for k in (1, 3, 5, 7, 10)))
 def retrieval_over_k(spark, d):
     v = vectors(spark, d)
-    return jobs.retrieval_over_k(v.where("id % 2 = 1"), v.where("id % 2 = 0"), [1, 3, 5])
+    return jobs.retrieval_over_k(v.where("id % 2 = 1"), v.where("id % 2 = 0"), [1, 3, 5, 7, 10])
 
 
 @query("root_cause_profiles")

@@ -31,10 +31,11 @@ _STOP_SQL = "[" + ",".join(f"'{w}'" for w in STOP) + "]"
     "SELECT 'c_custkey' AS \"column\", 'bigint' AS type, count(*) AS n_rows, count(*) FILTER (WHERE c_custkey IS NULL) AS n_null, min(c_custkey)::VARCHAR AS min, max(c_custkey)::VARCHAR AS max FROM customer UNION ALL "
     "SELECT 'c_name', 'string', count(*), count(*) FILTER (WHERE c_name IS NULL), min(c_name), max(c_name) FROM customer UNION ALL "
     "SELECT 'c_nationkey', 'int', count(*), count(*) FILTER (WHERE c_nationkey IS NULL), min(c_nationkey)::VARCHAR, max(c_nationkey)::VARCHAR FROM customer UNION ALL "
-    "SELECT 'c_mktsegment', 'string', count(*), count(*) FILTER (WHERE c_mktsegment IS NULL), min(c_mktsegment), max(c_mktsegment) FROM customer",
+    "SELECT 'c_mktsegment', 'string', count(*), count(*) FILTER (WHERE c_mktsegment IS NULL), min(c_mktsegment), max(c_mktsegment) FROM customer UNION ALL "
+    "SELECT 'c_acctbal', 'double', count(*), count(*) FILTER (WHERE c_acctbal IS NULL), min(c_acctbal)::VARCHAR, max(c_acctbal)::VARCHAR FROM customer",
 )
 def table_profile(spark, d):
-    return rd.profile(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
+    return rd.profile(table(spark, d, "customer"))
 
 
 @query(

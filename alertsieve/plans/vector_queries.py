@@ -182,15 +182,19 @@ def cluster_internal_quality(spark, d):
     return cu.internal_quality(_clustered(spark, d), "cluster")
 
 
-@query("cluster_profiles", _CL + f", m AS (SELECT cluster, label, count(*) AS n FROM c GROUP BY cluster, label QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, label)=1) SELECT c.cluster, count(*) AS size, {R('avg(v[3])')} AS x_mean, {R('stddev_samp(v[3])')} AS x_std, any_value(m.label) AS label_mode, count(DISTINCT c.label) AS label_unique FROM c JOIN m USING (cluster) GROUP BY c.cluster")
+_XS = ", ".join(f"{R(f'avg(v[{i + 1}])')} AS x{i}_mean, {R(f'stddev_samp(v[{i + 1}])')} AS x{i}_std" for i in range(64))
+
+
+@query("cluster_profiles", _CL + f", m AS (SELECT cluster, label, count(*) AS n FROM c GROUP BY cluster, label QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, label)=1) SELECT c.cluster, count(*) AS size, {_XS}, any_value(m.label) AS label_mode, count(DISTINCT c.label) AS label_unique FROM c JOIN m USING (cluster) GROUP BY c.cluster")
 def cluster_profiles(spark, d):
-    return cu.cluster_profiles(_clustered(spark, d).withColumn("x", F.col("v")[2]), "cluster", ["x"], ["label"])
+    c = _clustered(spark, d).select("cluster", "label", *[F.col("v")[i].alias(f"x{i}") for i in range(64)])
+    return cu.cluster_profiles(c, "cluster", [f"x{i}" for i in range(64)], ["label"])
 
 
-@query("standout_features", _CL + f", l AS (SELECT cluster, 'f3' AS feature, v[3] AS x FROM c UNION ALL SELECT cluster, 'f4', v[4] FROM c UNION ALL SELECT cluster, 'f5', v[5] FROM c), g AS (SELECT feature, avg(x) AS g FROM l GROUP BY feature), a AS (SELECT cluster, l.feature, avg(x)-max(g) AS dv FROM l JOIN g ON l.feature=g.feature GROUP BY ALL) SELECT cluster, feature, {R('dv')} AS deviation FROM a QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY round(abs(dv),9) DESC, feature)=1")
+@query("standout_features", _CL + f", l AS (SELECT cluster, 'f' || (k-1) AS feature, v[k] AS x FROM c, range(1, 65) r(k)), g AS (SELECT feature, avg(x) AS g FROM l GROUP BY feature), a AS (SELECT cluster, l.feature, avg(x)-max(g) AS dv FROM l JOIN g ON l.feature=g.feature GROUP BY ALL) SELECT cluster, feature, {R('dv')} AS deviation FROM a QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY round(abs(dv),9) DESC, feature)=1")
 def standout_features(spark, d):
-    c = _clustered(spark, d).select("cluster", *[F.col("v")[i - 1].alias(f"f{i}") for i in (3, 4, 5)])
-    return cu.standout_features(c, "cluster", ["f3", "f4", "f5"])
+    c = _clustered(spark, d).select("cluster", *[F.col("v")[i].alias(f"f{i}") for i in range(64)])
+    return cu.standout_features(c, "cluster", [f"f{i}" for i in range(64)])
 
 
 @query("noise_share", "WITH c AS (SELECT CASE WHEN embedding[1] > 0.1 THEN -1 ELSE label END AS k FROM embeddings) " + f"SELECT count(*) FILTER (WHERE k<0) AS n_noise, {R('avg((k<0)::INT)')} AS noise_ratio, count(DISTINCT k) FILTER (WHERE k>=0) AS n_clusters FROM c")

@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 GROUP_ROWS_CONF = "spark.alertsieve.maxGroupRows"
 DEFAULT_GROUP_ROWS = 2_000_000
+COLLECT_SECONDS = 5.0
+_collected = 0.0
 
 
 def build_session(app: str = "alertsieve", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -71,8 +74,9 @@ def release(*tables: DataFrame | None) -> None:
     """Delete tables that ``materialise`` returned and that nothing reads any more, and the shuffle files of finished jobs.
 
     Call it once all that was derived from them is written. Spark deletes the shuffle files of plans that the driver's
-    collector has found to be unused, so it's asked to look.
+    collector has found to be unused, so it's asked to look, though not more often than every ``COLLECT_SECONDS``.
     """
+    global _collected
     for df in tables:
         path = getattr(df, "_written_to", None)
         if path is None:
@@ -81,9 +85,10 @@ def release(*tables: DataFrame | None) -> None:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
     spark = next((df.sparkSession for df in tables if df is not None), None)
-    if spark is not None:
+    if spark is not None and time.monotonic() - _collected > COLLECT_SECONDS:
         gc.collect()  # plans are held by their Python objects
         spark._jvm.System.gc()
+        _collected = time.monotonic()
 
 
 def spread(df: DataFrame) -> DataFrame:
