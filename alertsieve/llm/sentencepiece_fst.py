@@ -1,11 +1,17 @@
 """Encoding and decoding with a sentence-piece vocabulary as a weighted finite-state transducer.
 
-Three machines are compiled from the vocabulary file: the normaliser (text to text with visible spaces), the pieces (a
-trie that reads characters and writes an id at each piece's end) and the byte fallback (an arc of 1 to 4 byte ids for
-a character that no piece has). Composed with a unit of text they give a graph whose nodes are places in the unit; an
-arc is a piece or a fallback. The weight of an arc is 0 if its piece may follow the piece before it, and infinite if
-not: a piece may follow another if merging their joint characters, best score first, gives just the two. Then exactly
-one path of a unit has finite weight, and that shortest path is the encoding the vocabulary's merges define.
+Three machines are compiled from the vocabulary file: the normaliser (text to text with visible spaces), the pieces (an
+automaton that reads characters and writes an id at each piece's end) and the byte fallback (an arc of 1 to 4 byte
+ids for a character that no piece has). Composed with units of text they give a graph whose nodes are places in the
+units; an arc is a piece or a fallback. The weight of an arc is 0 if its piece may follow the piece before it, and
+infinite if not: a piece may follow another if merging their joint characters, best score first, gives just the two.
+Exactly one path of a unit has finite weight in the tropical semiring, and that shortest path is the encoding that the
+vocabulary's merges define.
+
+Many units are composed at once. Their arcs are taken place by place: weights are added to the distance of the place where
+an arc begins, the least distance of the place where it ends is kept, and the paths are read backwards. Whether a piece may
+follow another is told from the merges inside the two, compiled once for each piece: they run in order of their scores
+until one across the border would be better than both, or none is left.
 """
 
 from __future__ import annotations
@@ -19,14 +25,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertsieve.llm.common import kept_in_worker, slices
+from alertsieve.llm.common import kept_in_worker, mix64, slices
 from alertsieve.llm.pieces import SPACE, Cutter, PieceModel
 
 UNITS_KEPT = 100_000
-PAIRS_KEPT = 250_000
+START = 0x2545F4914F6CDD1D
+CHARACTERS = 400_000  # of the units that are composed at once; a longer unit comes alone
 FALLBACK = -1  # the piece before is a fallback or the start: anything may follow
 
 
+class Table:
+    """A hash table of numbers from 1 on, as arrays with open addresses; many keys are looked up at once."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.keys, self.values, self.used = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (mix64(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray, missing: int) -> np.ndarray:
+        slot, out = self._slots(keys), np.full(len(keys), missing, np.int32)
+        at = np.arange(len(keys))
+        while len(at):
+            there = self.keys[slot]
+            hit = there == keys
+            out[at[hit]] = self.values[slot[hit]]
+            on = np.flatnonzero(~hit & (there != 0))
+            at, keys, slot = at[on], keys[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct keys that aren't there yet. A table that is half full is emptied first."""
+        if 2 * (self.used + len(keys)) > len(self.keys):
+            self.__init__(max(self.bits, (4 * len(keys)).bit_length()))
+        self.used += len(keys)
+        slot = self._slots(keys)
+        while len(keys):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[free]
+            mine = self.keys[slot] == keys  # of several keys for a slot the last one stays
+            self.values[slot[mine]] = values[mine]
+            keys, values, slot = keys[~mine], values[~mine], (slot[~mine] + 1) & ((1 << self.bits) - 1)
+
+
+def _read(state: np.ndarray, character: np.ndarray) -> np.ndarray:
+    """The state of the piece machine after one more character: a hash of what was read since its start."""
+    return mix64((state ^ character.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)) | np.uint64(1)
+
+
 class Transducer:
     def __init__(self, model: PieceModel):
         self.model = model
@@ -35,21 +82,26 @@ class Transducer:
         self.bytes = model.bytes()
         self.scores = model.scores
         self.units: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.trie: dict = {}
+        self.pairs = Table(21)
+        self.lengths = np.array([len(p) for p in model.pieces], np.int64)
+        self.inner: dict[int, tuple[str, str, list[tuple[float, str]], list[tuple[float, str]]]] = {}
         for piece, number in self.normal.items():
-            if len(piece) == 1 or self.merge(piece) == [piece]:  # others are never reached by merges
-                node = self.trie
-                for c in piece:
-                    node = node.setdefault(c, {})
-                node[""] = number
+            parts, steps = self.merge(piece)
+            if parts == [piece]:  # others are never reached by merges
+                self.inner[number] = (piece[0], piece[-1], [(s, first) for s, first, _ in steps], [(s, last) for s, _, last in steps])
+        self.longest = max((len(model.pieces[i]) for i in self.inner), default=0)
+        self.machine = self.compile()
         self.shown = [p.encode("utf-8") for p in model.pieces]
         for b, i in self.bytes.items():
             self.shown[i] = bytes([b])
 
-    def merge(self, text: str) -> list[str]:
-        """Characters merged pairwise, best score first, leftmost among equals; for short strings."""
+    def merge(self, text: str) -> tuple[list[str], list[tuple[float, str, str]]]:
+        """Characters merged pairwise, best score first, leftmost among equals; for short strings.
+
+        Also the score of each merge with the first and the last part after it.
+        """
         parts, normal, scores = list(text), self.normal, self.scores
+        steps = []
         while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
@@ -58,70 +110,144 @@ class Transducer:
             if at < 0:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+            steps.append((best, parts[0], parts[-1]))
+        return parts, steps
 
     def follows(self, a: int, b: int) -> bool:
-        """Whether the arc of piece b after piece a has a finite weight."""
-        if (known := self.pairs.get((a, b))) is None:
-            x, y = self.model.pieces[a], self.model.pieces[b]
-            known = self.pairs[a, b] = self.merge(x + y) == [x, y]
-        return known
-
-    def shortest(self, unit: str) -> list[int]:
-        """Ids of the shortest path through the composition of the machines with one unit."""
-        n = len(unit)
-        back: list[tuple[int, int] | None] = [None] * (n + 1)  # for each place: where its arc begins, and the piece
-        back[0] = (0, FALLBACK)
-        pairs = self.pairs
-        for i in range(n):
-            if back[i] is None:
-                continue
-            last = back[i][1]
-            node = self.trie.get(unit[i])
-            if node is None or "" not in node:
-                if back[i + 1] is None:
-                    back[i + 1] = (i, FALLBACK)
-            j = i
-            while node is not None:
+        """Whether the arc of piece b after piece a has weight 0: no merge across their border is ever the best one left.
+
+        Among equal scores the leftmost goes first: those in a, then the one across, then those in b.
+        """
+        _, left, _, ours = self.inner[a]
+        right, _, theirs, _ = self.inner[b]
+        normal, scores = self.normal, self.scores
+        i, j, m, n = 0, 0, len(ours), len(theirs)
+        while True:
+            k = normal.get(left + right)
+            if k is not None:
+                across = scores[k]
+                if (i == m or across > ours[i][0]) and (j == n or across >= theirs[j][0]):
+                    return False
+            if i < m and (j == n or ours[i][0] >= theirs[j][0]):
+                left = ours[i][1]
+                i += 1
+            elif j < n:
+                right = theirs[j][1]
                 j += 1
-                if (piece := node.get("")) is not None and back[j] is None:
-                    ok = last == FALLBACK or pairs.get((last, piece))
-                    if ok is None:
-                        ok = self.follows(last, piece)
-                    if ok:
-                        back[j] = (i, piece)
-                node = node.get(unit[j]) if j < n else None
-        out: list[int] = []
-        at = n
-        while at:
-            i, piece = back[at]
-            if piece != FALLBACK:
-                out.append(piece)
-            elif self.bytes:
-                out.extend(self.bytes[b] for b in reversed(unit[i].encode("utf-8", "surrogatepass")))
             else:
-                out.append(self.model.unknown())
-            at = i
-        return out[::-1]
+                return True
+
+    def compile(self) -> Table:
+        """The states of the piece machine: the piece that ends there, or -1 inside of pieces."""
+        state = {"": START}
+        at: dict[int, int] = {}
+        layer = [""]
+        pieces = {self.model.pieces[i]: i for i in self.inner}
+        for size in range(1, self.longest + 1):
+            layer = sorted({p[:size] for p in pieces if len(p) >= size})
+            after = _read(np.array([state[p[:-1]] for p in layer], np.uint64), np.array([ord(p[-1]) for p in layer], np.uint32))
+            state.update(zip(layer, after.tolist()))
+            at.update((s, pieces.get(p, -1)) for p, s in zip(layer, after.tolist()))
+        if len(at) != len(state) - 1:
+            raise ValueError("two states of the piece machine share a name")
+        table = Table(20)
+        table.add(np.fromiter(at.keys(), np.uint64, len(at)), np.fromiter(at.values(), np.int32, len(at)))
+        return table
+
+    def compose(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ends of the units in their joint text (a break after each), and where the arcs begin, end, and their pieces."""
+        text = "\0".join(units) + "\0"
+        ends = np.cumsum([len(u) + 1 for u in units]) - 1
+        characters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        at, state = np.arange(len(text)), np.full(len(text), START, np.uint64)
+        begins, tos, pieces = [], [], []
+        for size in range(self.longest):
+            state = _read(state, characters[at + size])
+            piece = self.machine.find(state, -2)
+            ends_here = piece >= 0
+            begins.append(at[ends_here])
+            tos.append(at[ends_here] + size + 1)
+            pieces.append(piece[ends_here])
+            on = (piece > -2) & (at + size + 1 < len(text))
+            at, state = at[on], state[on]
+        none = np.zeros(0, np.int64)
+        begin, to, piece = np.concatenate([none, *begins]), np.concatenate([none, *tos]), np.concatenate([none.astype(np.int32), *pieces])
+        known = np.zeros(len(text), bool)
+        known[begin[to == begin + 1]] = True
+        known[ends] = True
+        odd = np.flatnonzero(~known)  # characters that only the fallback reads
+        return ends, np.concatenate([begin, odd]), np.concatenate([to, odd + 1]), np.concatenate([piece, np.full(len(odd), FALLBACK, piece.dtype)])
+
+    def weights(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Weights of arcs after the pieces that come before them."""
+        out = np.zeros(len(piece))
+        both = np.flatnonzero((before != FALLBACK) & (piece != FALLBACK))
+        keys = before[both].astype(np.uint64) << np.uint64(20) | piece[both].astype(np.uint64) | np.uint64(1 << 50)
+        fits = self.pairs.find(keys, -1)
+        while len(new := np.unique(keys[fits < 0])):  # twice if the table was emptied for the new ones
+            self.pairs.add(new, np.array([self.follows(k >> 20 & 0xFFFFF, k & 0xFFFFF) for k in new.tolist()], np.int32))
+            fits = self.pairs.find(keys, -1)
+        out[both[fits == 0]] = np.inf
+        return out
+
+    def shortest(self, units: list[str]) -> list[bytes]:
+        """Ids of the shortest paths of the units, as 32-bit words."""
+        ends, begin, to, piece = self.compose(units)
+        sizes = np.diff(ends, prepend=-1) - 1
+        starts = ends - sizes
+        size = int(ends[-1]) + 1
+        distance, last, back = np.full(size, np.inf), np.full(size, FALLBACK, np.int32), np.zeros(size, np.int64)
+        distance[starts] = 0.0
+        depth = to - np.repeat(starts, sizes + 1)[begin]
+        order = np.argsort(depth, kind="stable")
+        begin, to, piece = begin[order], to[order], piece[order]
+        levels = np.searchsorted(depth[order], np.arange(1, int(sizes.max(initial=0)) + 2))
+        for a, b in zip(levels[:-1], levels[1:]):
+            live = a + np.flatnonzero(distance[begin[a:b]] < np.inf)
+            total = distance[begin[live]] + self.weights(last[begin[live]], piece[live])
+            best = live[total < distance[to[live]]]
+            distance[to[best]] = total[total < distance[to[live]]]
+            last[to[best]], back[to[best]] = piece[best], begin[best]
+        owner, path = [], []
+        at, unit = ends[sizes > 0], np.flatnonzero(sizes > 0)
+        while len(at):
+            owner.append(unit)
+            path.append(np.where(last[at] == FALLBACK, -1 - at, last[at]))
+            at = back[at]
+            more = at > starts[unit]
+            at, unit = at[more], unit[more]
+        owner, path = np.concatenate(owner)[::-1] if owner else np.zeros(0, np.int64), np.concatenate(path)[::-1] if path else np.zeros(0, np.int64)
+        order = np.argsort(owner, kind="stable")
+        owner, path = owner[order], path[order]
+        cut = (np.searchsorted(owner, np.arange(len(units) + 1)) * 4).tolist()
+        raw = path.astype(np.int32).tobytes()
+        out = [raw[a:b] for a, b in zip(cut, cut[1:])]
+        for u in np.unique(owner[path < 0]).tolist():
+            ids: list[int] = []
+            for x in path[cut[u] // 4 : cut[u + 1] // 4].tolist():
+                ids.extend([x] if x >= 0 else self.fallback(units[u][-2 - x - int(starts[u])]))
+            out[u] = array("I", ids).tobytes()
+        return out
+
+    def fallback(self, character: str) -> list[int]:
+        return [self.bytes[b] for b in character.encode("utf-8", "surrogatepass")] if self.bytes else [self.model.unknown()]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts as little-endian 32-bit words. Each distinct unit is composed once and kept for a while."""
         if len(self.units) > UNITS_KEPT:
             self.units.clear()
-        if len(self.pairs) > PAIRS_KEPT:
-            self.pairs.clear()
-        known, out = self.units, []
-        for text in texts:
-            units = self.cut(text)
-            ids = list(map(known.get, units))
-            if None in ids:
-                for i, x in enumerate(ids):
-                    if x is None:
-                        if (x := known.get(units[i])) is None:
-                            x = known[units[i]] = array("I", self.shortest(units[i])).tobytes()
-                        ids[i] = x
-            out.append(b"".join(ids))
-        return out
+        known = self.units
+        cut = [self.cut(t) for t in texts]
+        new = list({u for units in cut for u in units} - known.keys())
+        at = 0
+        while at < len(new):
+            stop, room = at, CHARACTERS
+            while stop < len(new) and (room > 0 or stop == at):
+                room -= len(new[stop]) + 1
+                stop += 1
+            known.update(zip(new[at:stop], self.shortest(new[at:stop])))
+            at = stop
+        return [b"".join(map(known.__getitem__, units)) for units in cut]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: the machines read from output to input. The space that the normaliser put first goes."""

@@ -301,6 +301,24 @@ def test_simple8b_round_trip():
                 assert (token_output.unpack(n, offsets, packed, escapes, k) == ids[k * token_output.BLOCK : (k + 1) * token_output.BLOCK]).all()
 
 
+def test_pieces_of_whole_documents(spark):
+    """Against the library, with tables that are emptied often and units composed in small lots"""
+    import sentencepiece
+
+    from alertsieve.llm import sentencepiece_fst as fst
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    machine = fst.Transducer(PieceModel.read(PIECES))
+    machine.pairs = fst.Table(10)
+    rows = [r.text for r in common.read(spark, "/root/testdata/sf0.001", "documents").select("text").collect()] + ["a" * 3000, "漢字" * 500 + "x", "\x01\x02 \u0301\u0301b", "zzzzq" * 400, "  ", ""]
+    for many in (400_000, 50):
+        fst.CHARACTERS = many
+        machine.units.clear()
+        got = [np.frombuffer(x, np.int32).tolist() for x in machine.encode(rows)]
+        assert got == library.encode(rows, num_threads=1)
+        fst.CHARACTERS = 400_000
+
+
 def test_token_files(docs, empty):
     from tokenizers import Tokenizer
 
