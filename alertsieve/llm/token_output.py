@@ -37,7 +37,7 @@ COUNTS = [1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
 BITS = [60, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60]
 BLOCK = 4096
 CHUNK_IDS = 65536
-UNITS_KEPT = 250_000  # in a generation; two are kept
+UNITS_KEPT = 450_000  # in a generation; two are kept
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Byte-level pre-tokens never cross the borders of these units, so a unit has the same ids in any text.
 UNIT = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
