@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from alertsieve.functions.probs import let
 from alertsieve.operators.lookup import lookup_join
+from alertsieve.session import materialise
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
@@ -32,9 +34,12 @@ def ngrams(t: Column, n: int = 2) -> Column:
     """Words and, for n=2, pairs of neighbouring words."""
     if n == 1:
         return t
-    nxt = F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0)))
-    pairs = F.array_compact(F.zip_with(t, nxt, lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))))
-    return F.concat(t, pairs)
+
+    def both(w: Column) -> Column:
+        nxt = F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0)))
+        return F.concat(w, F.array_compact(F.zip_with(w, nxt, lambda x, y: F.when(y.isNotNull(), F.concat_ws(" ", x, y)))))
+
+    return let(t, both)
 
 
 def vocabulary(df: DataFrame, text: Column, n: int = 2, max_features: int = 500, min_df: int = 2, max_df: float = 1.0, stop_words: Sequence[str] = ()) -> DataFrame:
@@ -42,11 +47,16 @@ def vocabulary(df: DataFrame, text: Column, n: int = 2, max_features: int = 500,
 
     Every task first adds up its own terms; corpus counts and document counts share one pass.
     """
-    n_docs = df.count()
-    t = df.select(ngrams(tokens(text, stop_words), n).alias("t"))
-    every = F.transform("t", lambda w: F.struct(w.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d")))
-    once = F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d")))
-    v = t.select(F.inline(F.concat(every, once))).groupBy("term").agg(F.sum("d").alias("df"), F.sum("n").alias("n"))
+    return _vocabulary(df.select(ngrams(tokens(text, stop_words), n).alias("t")), df.count(), max_features, min_df, max_df)
+
+
+def _vocabulary(t: DataFrame, n_docs: int, max_features: int, min_df: int, max_df: float) -> DataFrame:
+    def counts(x: Column) -> Column:
+        every = F.transform(x, lambda w: F.struct(w.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d")))
+        return F.concat(every, F.transform(F.array_distinct(x), lambda w: F.struct(w.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d"))))
+
+    # inline() alone would put the whole expression into a filter as well
+    v = t.select(F.inline_outer(let(F.col("t"), counts))).where("term IS NOT NULL").groupBy("term").agg(F.sum("d").alias("df"), F.sum("n").alias("n"))
     v = v.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
     v = v.orderBy(F.desc("n"), "term").limit(max_features)
     idf = F.ln(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
@@ -58,10 +68,14 @@ def weigh(df: DataFrame, key: str, text: Column, vocab: DataFrame, n: int = 2, s
 
     Other terms are dropped inside the row, before anything is exploded or shuffled.
     """
+    return _weigh(df.select(key, ngrams(tokens(text, stop_words), n).alias("t")), key, vocab, sublinear)
+
+
+def _weigh(tokenised: DataFrame, key: str, vocab: DataFrame, sublinear: bool) -> DataFrame:
     rows = vocab.collect()  # at most max_features rows
     known = [r["term"] for r in rows]
-    v = df.sparkSession.createDataFrame(rows, vocab.schema)
-    t = df.select(key, F.explode(F.filter(ngrams(tokens(text, stop_words), n), lambda w: w.isin(known))).alias("term"))
+    v = tokenised.sparkSession.createDataFrame(rows, vocab.schema)
+    t = tokenised.select(key, F.explode_outer(F.filter("t", lambda w: w.isin(known))).alias("term")).where("term IS NOT NULL")
     tf = t.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     w = tf.join(F.broadcast(v), "term")
     c = F.ln(F.col("tf")) + 1.0 if sublinear else F.col("tf").cast("double")
@@ -71,9 +85,9 @@ def weigh(df: DataFrame, key: str, text: Column, vocab: DataFrame, n: int = 2, s
 
 
 def tfidf(df: DataFrame, key: str, text: Column, max_features: int = 500, n: int = 2, min_df: int = 2, max_df: float = 1.0, sublinear: bool = False, stop_words: Sequence[str] = ()) -> DataFrame:
-    """Vocabulary and weights of the same documents, in long form ``key, term, weight``."""
-    v = vocabulary(df, text, n, max_features, min_df, max_df, stop_words)
-    return weigh(df, key, text, v, n, sublinear, stop_words)
+    """Vocabulary and weights of the same documents, in long form ``key, term, weight``. Texts are cut once and written."""
+    t = materialise(df.select(key, ngrams(tokens(text, stop_words), n).alias("t")))
+    return _weigh(t, key, _vocabulary(t, t.count(), max_features, min_df, max_df), sublinear)
 
 
 def top_terms(weights: DataFrame, k: int, n_docs: int | None = None) -> DataFrame:
