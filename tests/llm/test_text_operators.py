@@ -386,6 +386,43 @@ def test_lm_scores(spark, docs, empty):
     assert lm_scoring.score(empty, empty["n"] > 0).collect() == []
 
 
+def test_lm_scores_equal_a_direct_model(spark):
+    """From any partitioning; against the same model as one dense loop over the tokens"""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"{'abc'[i % 3]}{min(int(rng.zipf(1.6)), 40)}" for _ in range(30)), i % 4 > 0) for i in range(120)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n boolean")
+    got = [{r.doc_id: r.score for r in lm_scoring.score(frame.repartition(p), F.col("n"), hot=25).collect()} for p in (1, 8)]
+    assert got[0] == pytest.approx(got[1], rel=1e-5)
+    texts_ = frame.where("n").select(F.col("text").alias("_text"))
+    words = lm_scoring.build_vocabulary(texts_, lm_scoring.count_words(texts_), 25)
+    coded = {}
+    for i, t, on in rows:
+        tokens, edges = lm_scoring.tokens_of(common.pa.array([t]))
+        places = words.look_up(tokens)
+        classes = lm_scoring.class_of(words, places)
+        coded[i] = (places, classes, lm_scoring.features(lm_scoring.histories(words, places, classes, edges)))
+    weights = np.zeros((lm_scoring.BUCKETS, lm_scoring.CLASSES))
+    weights[0] = words.class_bias()
+    share = lambda at: (lambda e: e / e.sum())(np.exp(weights[at].sum(axis=0)))
+    learned = [(c, at) for i, _, on in rows if on for c, at in zip(coded[i][1], coded[i][2])]
+    observed = np.zeros_like(weights)
+    for c, at in learned:
+        observed[at, c] += 1
+    for _ in range(lm_scoring.ROUNDS):
+        expected = np.zeros_like(weights)
+        for c, at in learned:
+            expected[at] += share(at)
+        weights += lm_scoring.RATE / 4 * (observed - expected) / (np.maximum(observed, expected) + 4)
+    inner, rare = words.word_shares()
+    count = Counter(w for _, t, on in rows if on for w in t.split())
+    for i, t, on in rows[:40]:
+        places, classes, at = coded[i]
+        want = sum(np.log10(share(x)[c]) for c, x in zip(classes, at))
+        for p, w in zip(places, [*t.split(), None]):
+            want += inner[p] if p >= 0 else np.log10(count[w] + 1) - rare
+        assert got[0][i] == pytest.approx(want, rel=1e-4)
+
+
 def test_lm_probabilities_sum_to_one():
     words = lm_scoring.Vocabulary(np.arange(1, 7, dtype=np.uint64), np.array([9, 5, 4, 3, 2, 2]), np.arange(6), np.array([0, 1, 12, 12, 13, 30]), 30, 11)
     shares, rare = words.word_shares()
