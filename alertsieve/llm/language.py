@@ -23,7 +23,6 @@ SPECTRUM = 4
 DIMS = 1 << 15
 SAMPLE_ROWS = 2400  # labelled rows that the model is fitted on, over all languages
 LANDMARKS = 400
-LANGUAGES = 200  # the most frequent labels are learned
 RIDGE = 1e-3
 UNDECIDED = "und"
 BATCH = 256
@@ -71,19 +70,17 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMARKS) -> LanguageModel:
-    """Fit on at most ``sample_rows`` rows with text and label, as many of each of the ``LANGUAGES`` most frequent labels.
+    """Fit on at most ``sample_rows`` rows with text and label, as many of each label; one of each if there are more labels than that.
 
     The rows are those with the least hash of their id. Only their flags come to the driver: DIMS / 8 bytes a row.
     Without labelled rows the model knows no language and answers ``und``.
     """
     rows = docs.select(F.xxhash64(id_col).alias("_hash"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).where("_text IS NOT NULL AND _lang IS NOT NULL")
-    sizes = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(LANGUAGES).collect()}
+    sizes = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()}  # a row for each label
     if not sizes:
         return LanguageModel([], np.zeros((DIMS, 0), np.float32), np.zeros(0, np.float32))
     each = max(1, sample_rows // len(sizes))
-    share = F.lit(None).cast("double")
-    for lang, n in sizes.items():
-        share = F.when(F.col("_lang") == lang, F.lit(min(1.0, (2 * each + 20) / n))).otherwise(share)
+    share = F.element_at(F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, (2 * each + 20) / n)))]), F.col("_lang"))
     near = rows.where((F.pmod(F.col("_hash"), F.lit(1 << 30)) / float(1 << 30)) < share)  # about twice what is wanted
     order = Window.partitionBy("_lang").orderBy("_hash", F.xxhash64("_text"))
     sample = near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= each)
@@ -112,7 +109,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``lang_score``; names that the table has already are taken over. Whole texts are read.
 
-    The model is broadcast: at most DIMS x LANGUAGES floats (26 MB).
+    The model is broadcast: DIMS floats (128 kB) for each label.
     """
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.bias))  # plain values: workers may not know this module
     at = docs.columns.index(text_col)
