@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from alertsieve.functions.probs import ranked
 
+# The two accuracies, the bounds of the tiers and the sentences of the functions below.
 AGREE_ACCURACY, DISAGREE_ACCURACY = 0.857, 0.271
 # What the two models are called in the texts.
 TEXT_MODEL, METADATA_MODEL = "the text model", "the metadata model"

@@ -98,10 +98,12 @@ def related_chains(df: DataFrame, key: str, related: str, max_depth: int = 5) ->
     Each group names one related group, so a hop is one join that keeps the row count.
     """
     nxt = df.select(F.col(key).alias("_last"), F.col(related).alias("_next")).where("_next is not null and _next <> _last").groupBy("_last").agg(F.min("_next").alias("_next"))
+    nxt = nxt.withColumn("_ended", F.lit(0))
+    ended = F.when(F.col("_last").isNull(), F.pmod(F.xxhash64("summary_id"), F.lit(1 << 20)).cast("int") + 1).otherwise(F.lit(0))  # spreads the ended chains
     cur = df.select(F.col(key).alias("summary_id")).distinct()
     cur = cur.withColumns({"path": F.array("summary_id"), "_last": F.col("summary_id")})
     for _ in range(max_depth):
-        cur = cur.join(nxt, "_last", "left")
+        cur = cur.withColumn("_ended", ended).join(nxt, ["_last", "_ended"], "left").drop("_ended")
         grow = F.col("_next").isNotNull() & ~F.array_contains("path", F.col("_next"))
         cur = cur.withColumns({"path": F.when(grow, F.array_append("path", F.col("_next"))).otherwise(F.col("path")), "_last": F.when(grow, F.col("_next"))})
         cur = cur.drop("_next")

@@ -173,6 +173,7 @@ def detector_summary(scores: DataFrame, by: Sequence[str] = ("detector",)) -> Da
     return scores.groupBy(*by).agg(*aggs, F.sum("n_detected").alias("n_detected"), F.sum("n_true").alias("n_true"), F.sum("n_matches").alias("n_matches"), F.count(F.lit(1)).alias("n_series"))
 
 
+# Distances of a hit from the truth.
 TOLERANCES = [1, 3, 5, 7, 10, 15, 20]
 
 

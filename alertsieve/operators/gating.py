@@ -300,6 +300,7 @@ def rescue(df: DataFrame, second: DataFrame, threshold: float = 0.60) -> DataFra
     )
 
 
+# Thresholds of the cascade curve.
 CASCADE_GRID = [0.40, 0.50, 0.60, 0.70, 0.80, 0.85, 0.90, 0.95]
 
 

@@ -247,6 +247,7 @@ def tier_table(df: DataFrame, y: Column, p: Column) -> DataFrame:
 def tier_change_quality(df: DataFrame, y: Column, before: Column, after: Column) -> DataFrame:
     """Whether moving a row to another tier helped."""
     b, a = tier_rank(before), tier_rank(after)
+    # The texts of the verdicts.
     q = (
         F.when(a == b, "unchanged")
         .when((y == 1) & (a < b), "GOOD (defective moved up)")

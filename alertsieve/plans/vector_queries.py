@@ -224,7 +224,7 @@ def dirichlet_uncertainty(spark, d):
     return e.select("id", "strength", *[c.alias(n) for n, c in u.items()])
 
 
-# --- segmentation of signals ---------------------------------------------------------------------------------------
+# --- rows with labels ------------------------------------------------------------
 
 
 @query("labelled_rows", "SELECT l.quality, count(*) AS n FROM documents d JOIN labels l USING (doc_id) GROUP BY 1")

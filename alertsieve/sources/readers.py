@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from alertsieve.functions.probs import let
+
 ALERT_SCHEMA = T.StructType(
     [
         T.StructField("single_alert_id", T.LongType()),
@@ -44,8 +46,9 @@ def clean_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[re.sub(r"\s+", "_", c.strip().lower()) for c in df.columns])
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, line_breaks: bool = True) -> DataFrame:
+    """A CSV with a header. Without ``line_breaks`` inside of cells, a file is read by several tasks."""
+    r = spark.read.option("header", True).option("multiLine", line_breaks).option("escape", '"')
     return (r.schema(schema) if schema is not None else r).csv(path)
 
 
@@ -72,13 +75,26 @@ def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("split") == split).drop("split")
 
 
+WIDEST = 64  # columns of a series file
+
+
 def read_series(spark: SparkSession, glob: str) -> DataFrame:
-    """One CSV per series; the id is the last number in the file name."""
-    lines = spark.read.text(glob).select(F.regexp_replace("value", '[\r"]', "").alias("_line"), F.col("_metadata.file_path").alias("_f")).where(~F.col("_f").contains("__MACOSX"))
-    # fields are found by name, as files may order them differently; a header names both needed columns
-    is_head = F.col("_line").contains("push_timestamp") & F.col("_line").contains("value")
-    heads = lines.where(is_head).groupBy("_f").agg(F.first(F.split("_line", ",")).alias("_head"))
-    rows = lines.where(~is_head).join(heads, "_f").withColumn("_cells", F.split("_line", ","))
+    """One CSV per series; the id is the last number in the file name.
+
+    Columns are found by the file's header, the line with cells named ``push_timestamp`` and ``value``; quoted cells may hold
+    commas. A file with lines but without a header raises. Lines are read in any order, so files are splittable, and a cell
+    can't hold a line break. Files of the ``__MACOSX`` folder are left out.
+    """
+    lines = spark.read.text(glob).select(F.regexp_replace("value", "\r", "").alias("_line"), F.col("_metadata.file_path").alias("_f"))
+    lines = lines.where(~F.col("_f").contains("__MACOSX") & (F.col("_line") != ""))
+    parsed = F.from_csv("_line", ", ".join(f"c{i} string" for i in range(WIDEST)), {"escape": '"'})
+    cells = let(parsed, lambda r: F.transform(F.array(*[r[f"c{i}"] for i in range(WIDEST)]), lambda c: F.trim(F.coalesce(c, F.lit("")))))
+    lines = lines.select("_f", cells.alias("_cells"))
+    is_head = F.array_contains("_cells", "push_timestamp") & F.array_contains("_cells", "value")
+    heads = lines.where(is_head).groupBy("_f").agg(F.first("_cells").alias("_head"))
+    rows = lines.where(~is_head).join(heads, "_f", "left")
+    head = F.when(F.col("_head").isNotNull(), F.col("_head")).otherwise(F.raise_error(F.concat(F.lit("no header in "), F.col("_f"))).cast("array<string>"))
+    rows = rows.withColumn("_head", head)
     names = [x.split() for x in SERIES_FIELDS.split(", ")]
     cell = lambda n: F.when(F.array_position("_head", n) > 0, F.nullif(F.try_element_at("_cells", F.array_position("_head", n).cast("int")), F.lit("")))
     df = rows.select("_f", *[cell(n).try_cast(kind).alias(n) for n, kind in names])

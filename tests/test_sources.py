@@ -28,6 +28,18 @@ def test_series_files(spark, tmp_path):
     assert [(r["series_id"], r["value"]) for r in rd.read_series_zip(spark, str(tmp_path / "*.zip")).collect()] == [(5, 1.5)]
 
 
+def test_series_files_by_their_headers(spark, tmp_path):
+    """Other orders of columns, quoted commas and quotes, words of a header in a row; a file without a header raises"""
+    (tmp_path / "sig_1.csv").write_text('revision,"value",push_timestamp\r\n"a, ""b""",2.5,2020-01-01 00:00:00\r\n"push_timestamp value",3.5,2020-01-02 00:00:00\r\n\r\n')
+    (tmp_path / "sig_2.csv").write_text("push_timestamp,other,value\n2020-01-03 00:00:00,9,4.5\n")
+    (tmp_path / "sig_3.csv").write_text("")
+    got = sorted((r["series_id"], r["value"], r["revision"]) for r in rd.read_series(spark, str(tmp_path / "*.csv")).collect())
+    assert got == [(1, 2.5, 'a, "b"'), (1, 3.5, "push_timestamp value"), (2, 4.5, None)]
+    (tmp_path / "sig_4.csv").write_text("time,amount\n2020-01-03 00:00:00,9\n")
+    with pytest.raises(Exception, match="no header in"):
+        rd.read_series(spark, str(tmp_path / "*.csv")).collect()
+
+
 def test_splits_and_results(spark, tmp_path):
     df = spark.createDataFrame([(1, "train"), (2, "test")], "id long, split string")
     rd.write_splits(df, str(tmp_path / "s"))
