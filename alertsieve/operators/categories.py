@@ -218,13 +218,10 @@ def safe_columns(names: Sequence[str], targets: Sequence[str], strict: bool = Fa
 def fit_impute(train: DataFrame, cols: Sequence[str], strategy: str = "median") -> DataFrame:
     """One row of fill values."""
     if strategy == "median":
-        from alertsieve.operators.ordering import Quantile, quantiles
+        from alertsieve.operators.ordering import Quantile, column_quantiles
 
-        out = None
-        for c in cols:
-            q = quantiles(train, [], F.col(c).cast("double"), {c: Quantile(0.5)}).select(c)
-            out = q if out is None else with_scalars(out, q)
-        return out
+        q = column_quantiles(train, cols, {"_q": Quantile(0.5)})
+        return q.agg(*[F.max(F.when(F.col("column") == c, F.col("_q"))).alias(c) for c in cols])
     return train.agg(*[(F.avg(c) if strategy == "mean" else F.lit(0.0)).alias(c) for c in cols])
 
 

@@ -320,6 +320,15 @@ def quantiles(
     return out.groupBy(*keys).agg(F.max("n").alias("n"), *cols)
 
 
+def column_quantiles(df: DataFrame, cols: Sequence[str], wanted: dict[str, Quantile], max_rows: int | None = None) -> DataFrame:
+    """Exact quantiles of several columns: ``column, n, <names>``, a row for each column with a value; nulls and NaN are no values.
+
+    The columns become keys of one long table, so all brackets are refined and counted in the same jobs.
+    """
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("_x")) for c in cols])))
+    return quantiles(long, ["column"], "_x", wanted, max_rows)
+
+
 def rank_cut(df: DataFrame, order: Sequence[str], ranks: Sequence[int], max_rows: int | None = None) -> list[tuple]:
     """The tuples of ``order`` at the given 0-based ranks, column by column.
 

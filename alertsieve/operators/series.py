@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from alertsieve.functions import arrays as ar
 from alertsieve.operators.lookup import lookup_join
-from alertsieve.operators.ordering import Quantile, ordered, quantiles, with_scalars
+from alertsieve.operators.ordering import Quantile, column_quantiles, ordered, with_scalars
 
 # Feature groups for ablations.
 FEATURE_GROUPS = {
@@ -178,10 +178,9 @@ def fill_features(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Infinite values to 0, missing ones to the column's median, else 0."""
     inf = float("inf")
     df = df.withColumns({c: F.when(F.abs(F.col(c)) == inf, 0.0).otherwise(F.nanvl(F.col(c), F.lit(None).cast("double"))) for c in cols})
-    for c in cols:
-        df = with_scalars(df, quantiles(df, [], c, {"_q": Quantile(0.5)}).select("_q"))
-        df = df.withColumn(c, F.coalesce(c, "_q", F.lit(0.0))).drop("_q")
-    return df
+    medians = column_quantiles(df, cols, {"_q": Quantile(0.5)})
+    df = with_scalars(df, medians.agg(*[F.max(F.when(F.col("column") == c, F.col("_q"))).alias(f"_q_{c}") for c in cols]))
+    return df.withColumns({c: F.coalesce(c, f"_q_{c}", F.lit(0.0)) for c in cols}).drop(*[f"_q_{c}" for c in cols])
 
 
 def prepare_signal(df: DataFrame, smooth: int = 1, normalise: bool = True, key: str = "series_id", order: Sequence[str] = ("ts", "eid")) -> DataFrame:

@@ -438,6 +438,24 @@ def median_impute(spark, d):
     return ct.apply_impute(t, ct.fit_impute(t.where("resolution = 'F'"), ["value"])).select("id", "value")
 
 
+_IMPUTED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(
+    "median_impute_columns",
+    "WITH x AS (SELECT " + ", ".join(f"CASE WHEN l_returnflag='R' OR l_linenumber={i + 1} THEN NULL ELSE {c} END AS {c}" for i, c in enumerate(_IMPUTED)) + " FROM lineitem) "
+    + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {R(f'(SELECT quantile_cont({c}, 0.5) FROM x)')} AS median, {R(f'avg(coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM x)))')} AS mean FROM x" for c in _IMPUTED),
+)
+def median_impute_columns(spark, d):
+    """Four columns imputed by the jobs of one."""
+    li = table(spark, d, "lineitem")
+    x = li.select(*[F.when((F.col("l_returnflag") != "R") & (F.col("l_linenumber") != i + 1), F.col(c)).alias(c) for i, c in enumerate(_IMPUTED)])
+    fills = ct.fit_impute(x, _IMPUTED)
+    row = fills.first()
+    full = ct.apply_impute(x, fills).agg(*[F.avg(c).alias(c) for c in _IMPUTED])
+    return full.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(row[c]).alias("median"), F.col(c).alias("mean")) for c in _IMPUTED])))
+
+
 @query("null_ratios", _T + f", x AS (SELECT CASE WHEN severity='LOW' THEN NULL ELSE value END AS value, CASE WHEN resolution='F' THEN creator END AS creator FROM tickets) SELECT 'value' AS \"column\", {R('avg((value IS NULL)::INT)')} AS null_ratio FROM x UNION ALL SELECT 'creator', {R('avg((creator IS NULL)::INT)')} FROM x")
 def null_ratios(spark, d):
     t = tickets(spark, d).select(F.when(F.col("severity") != "LOW", F.col("value")).alias("value"), F.when(F.col("resolution") == "F", F.col("creator")).alias("creator"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from alertsieve.operators.ordering import Quantile, before_cut, ordered, quantiles, rank_cut
+from alertsieve.operators.ordering import Quantile, before_cut, column_quantiles, ordered, quantiles, rank_cut
 
 
 @pytest.fixture(scope="module")
@@ -101,7 +101,7 @@ def test_quantiles_of_distinct_values(spark, keys):
 def test_null_keys_and_null_order_values_on_both_paths(spark):
     from pyspark.sql import functions as F
 
-    from alertsieve.operators.ordering import Quantile, before_cut, ordered, quantiles, rank_cut
+    from alertsieve.operators.ordering import Quantile, before_cut, column_quantiles, ordered, quantiles, rank_cut
 
     rows = [(i, None if i % 2 else "a", float(i), None if i < 10 else i // 3) for i in range(40)]
     df = spark.createDataFrame(rows, "id long, k string, v double, t int")
@@ -114,3 +114,17 @@ def test_null_keys_and_null_order_values_on_both_paths(spark):
         cuts = rank_cut(df, ["t", "id"], [5, 24, 32], max_rows=limit)
         assert cuts[0] == (None, 5)
         assert [df.where(before_cut(["t", "id"], c)).count() for c in cuts] == [5, 24, 32]
+
+
+def test_column_quantiles(spark):
+    """Several columns at once, by windows and by brackets, with nulls, NaN, ties and a column without values"""
+    rng = np.random.default_rng(8)
+    rows = [(float(rng.normal()), None if i % 3 else float(i % 7), float("nan") if i % 2 else float(i), None) for i in range(900)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    wanted = {"q": Quantile(0.5), "hi": Quantile(0.9, "higher")}
+    for limit in (None, 60):
+        got = {r["column"]: (r["n"], r["q"], r["hi"]) for r in column_quantiles(df, ["a", "b", "c", "d"], wanted, limit).collect()}
+        assert set(got) == {"a", "b", "c"}
+        for i, c in enumerate("abc"):
+            x = np.array([r[i] for r in rows if r[i] is not None and r[i] == r[i]])
+            assert got[c] == (len(x), pytest.approx(np.quantile(x, 0.5)), pytest.approx(np.quantile(x, 0.9, method="higher")))
