@@ -21,7 +21,8 @@ from alertsieve.operators import text as tx
 from alertsieve.operators.grid import steps
 from alertsieve.operators.ordering import ordered
 from alertsieve.plans import jobs
-from alertsieve.plans.registry import R, query
+from alertsieve.plans import score_queries  # noqa: F401  registers the SQL that is used here
+from alertsieve.plans.registry import ORACLE, R, query
 from alertsieve.plans.ticket_queries import STOP, _weights
 from alertsieve.plans.vector_queries import _NN, _VOTE, vectors
 from alertsieve.session import materialise
@@ -449,7 +450,7 @@ def uncertainty_comparison(spark, d):
     return out
 
 
-@query("conformal_job", None)
+@query("conformal_job", ORACLE["raps_single_model"])
 def conformal_job(spark, d):
     return jobs.conformal_job(scores(spark, d), "pa")["metrics"]
 
