@@ -1,7 +1,7 @@
 """Language-model scores from a hashed maximum-entropy model with a class-factored softmax.
 
 p(word | history) = p(class | history) p(word | class). The class is a softmax over hashed features of the history: the
-word before, the one before that (a skip), both together, and a bias. The word within its class has bias features
+word before, the one before that (a skip), both together, and a bias. Each of the ``HOT`` words is a feature by itself. The word within its class has bias features
 only, whose maximum-entropy solution is its smoothed share of the class. Frequent words have classes of their own;
 the others of the ``HOT`` most frequent words share the class of the frequent word that they follow most above its
 share; all further words, those seen once and unknown ones included, form the last class.
@@ -16,11 +16,11 @@ all others are joined to the texts.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,16 +32,14 @@ HOT = 1 << 18  # words whose counts and classes are broadcast
 CLASSES = 32
 OWN_CLASS = 10  # most frequent words with a class of their own
 LEADERS = 20  # frequent words that give the shared classes
-NAMED = 2048  # most frequent words that are features themselves; others stand for their class
-BUCKETS = 1 << 14
+BUCKETS = 1 << 16
 CHUNK = 1 << 22  # tokens that a task counts at once
 STEP = 8192  # histories whose softmax is computed at once
 ROUNDS = 10
 RATE = 2.0  # of a step of (observed - expected) / the larger of them, shared by the features of a token
-SHARDS = 16  # of the histories; there are at most (NAMED + CLASSES + 1)^2, whatever the input
 END = np.uint64(0x656E642D6F662D74)
 OTHER, RARE = CLASSES - 2, CLASSES - 1
-START = NAMED + CLASSES
+PLACE = np.int64(BUCKETS.bit_length() - 1)  # bits of a bucket in a history
 
 
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +64,12 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.hashes, tokens), len(self.hashes) - 1)
         return np.where(self.hashes[at] == tokens, at, -1)
 
+    @cached_property
+    def names(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Names of the classes, of the place before a text and of the hot words; their buckets as nearer and as other word."""
+        names = np.append(np.arange(CLASSES + 1, dtype=np.uint64), mix64(self.hashes))
+        return names, bucket(names, 1) << 2 * PLACE, bucket(names, 2) << PLACE
+
     def word_shares(self) -> tuple[np.ndarray, float]:
         """log10 p(word | class) of the hot words; log10 of what a count of rare words is divided by."""
         size = np.bincount(self.classes, self.counts, CLASSES) + np.bincount(self.classes, minlength=CLASSES)
@@ -80,32 +84,37 @@ class Vocabulary:
         return np.log(size / size.sum()).astype(np.float32)
 
 
+def bucket(names: np.ndarray, kind: int) -> np.ndarray:
+    return (mix64(names * np.uint64(4) + np.uint64(kind)) % np.uint64(BUCKETS - 1)).astype(np.int64) + 1
+
+
 def class_of(vocabulary: Vocabulary, places: np.ndarray) -> np.ndarray:
     return np.where(places < 0, RARE, vocabulary.classes[places] if len(vocabulary.classes) else RARE)
 
 
 def histories(vocabulary: Vocabulary, places: np.ndarray, classes: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """For each token the two words before it, as names up to START: the nearer one * (START + 1) + the other one."""
-    named = NAMED + classes
-    if len(vocabulary.ranks):
-        ranks = vocabulary.ranks[places]
-        named = np.where((places >= 0) & (ranks < NAMED), ranks, named)
-    before = np.full((2, len(places)), START)
+    """For each token the buckets of the features of the two words before it, in one number: nearer one, other one, both.
+
+    A hot word is named by its own hash, the others by their class, the place before the first word by CLASSES.
+    """
+    names, near, far = vocabulary.names
+    named = np.where(places >= 0, places + CLASSES + 1, classes)
+    before = np.full((2, len(places)), CLASSES)
     before[0, 1:], before[1, 2:] = named[:-1], named[:-2]
     first = edges[:-1]
-    before[0, first] = START
-    before[1, first] = START
+    before[0, first] = CLASSES
+    before[1, first] = CLASSES
     second = first + 1
-    before[1, second[second < edges[1:]]] = START
-    return before[0].astype(np.int64) * (START + 1) + before[1]
+    before[1, second[second < edges[1:]]] = CLASSES
+    both = bucket(names[before[0]] * np.uint64(8191) + names[before[1]], 3)
+    return near[before[0]] | far[before[1]] | both
 
 
 def features(history: np.ndarray) -> np.ndarray:
     """Buckets of the features of histories: bias, word before, word two before, both. A row for each."""
-    a, b = (history // (START + 1)).astype(np.uint64), (history % (START + 1)).astype(np.uint64)
-    out = np.zeros((len(history), 4), np.int64)
-    for k, x in ((1, a), (2, b), (3, a * np.uint64(8191) + b)):
-        out[:, k] = mix64(x * np.uint64(4) + np.uint64(k)) % np.uint64(BUCKETS - 1) + np.uint64(1)
+    out = np.zeros((len(history), 4), np.uint16)
+    for k in (1, 2, 3):
+        out[:, k] = (history >> (3 - k) * PLACE) & (BUCKETS - 1)
     return out
 
 
@@ -124,8 +133,9 @@ def add_rows(to: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
     """Add rows of values to the rows of ``to`` that each of their features names."""
     for k in range(at.shape[1]):
         order = np.argsort(at[:, k], kind="stable")
-        found, first = np.unique(at[order, k], return_index=True)
-        to[found] += np.add.reduceat(values[order], first, axis=0)
+        there = at[order, k]
+        first = np.flatnonzero(np.append(True, there[1:] != there[:-1]))
+        to[there[first]] += np.add.reduceat(values[order], first, axis=0)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -184,8 +194,8 @@ def build_vocabulary(texts: DataFrame, counts: DataFrame, hot: int = HOT) -> Voc
 
 
 def count_histories(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Written, in ``SHARDS`` parts: history, and n, how often each class follows it (an array)."""
-    sent = texts.sparkSession.sparkContext.broadcast(vars(vocabulary))
+    """Written: history, c, n, how often class c follows it."""
+    sent = texts.sparkSession.sparkContext.broadcast(asdict(vocabulary))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Vocabulary(**sent.value)
@@ -207,45 +217,55 @@ def count_histories(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         if held:
             yield summed(held)
 
-    each = texts.mapInArrow(count, "history bigint, c bigint, n bigint").groupBy("history", "c").agg(F.sum("n").alias("n"))
-    rows = each.repartition(SHARDS, "history").groupBy("history")
-    return materialise(rows.agg(F.array(*[F.coalesce(F.sum(F.when(F.col("c") == c, F.col("n"))), F.lit(0)) for c in range(CLASSES)]).alias("n")))
+    each = texts.mapInArrow(count, "history bigint, c bigint, n bigint")
+    return materialise(each.groupBy("history", "c").agg(F.sum("n").alias("n")))
 
 
 def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
     """Weights (BUCKETS x CLASSES) after rounds of gradient sums over all histories."""
     context = texts.sparkSession.sparkContext
-    table = count_histories(texts, vocabulary)
+    pairs = count_histories(texts, vocabulary)
+    table = materialise(pairs.groupBy("history").agg(F.sum("n").alias("n")).sortWithinPartitions("history"))
     names = [f"w{i}" for i in range(CLASSES)]
 
-    def sums(weights: np.ndarray | None) -> np.ndarray:
-        """What the model expects of each feature and class; without weights, what is observed."""
-        sent = context.broadcast(weights)
+    def added(rows: DataFrame, add) -> np.ndarray:
+        """The sum of the (BUCKETS x CLASSES) tables that ``add`` makes of the batches of each task."""
 
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((BUCKETS, CLASSES))
             for batch in batches:
-                n = pc.list_flatten(batch.column(1)).to_numpy().reshape(-1, CLASSES).astype(float)
-                at = features(batch.column(0).to_numpy())
-                for i in range(0, len(at), STEP):
-                    rows, own = at[i : i + STEP], n[i : i + STEP]
-                    add_rows(total, rows, own if sent.value is None else class_shares(sent.value, rows) * own.sum(axis=1, keepdims=True))
+                add(total, *[c.to_numpy() for c in batch.columns])
             some = np.flatnonzero(total.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(total[some, i]) for i in range(CLASSES))], ["bucket", *names])
 
-        each = table.mapInArrow(add, "bucket bigint, " + ", ".join(f"{c} double" for c in names))
-        rows = each.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]).toPandas()  # BUCKETS rows at most
+        each = rows.mapInArrow(sums, "bucket bigint, " + ", ".join(f"{c} double" for c in names))
+        got = each.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]).toPandas()  # BUCKETS rows at most
         out = np.zeros((BUCKETS, CLASSES))
-        out[rows["bucket"].to_numpy(np.int64)] = rows[names].to_numpy(float)
+        out[got["bucket"].to_numpy(np.int64)] = got[names].to_numpy(float)
         return out
 
+    def count(total: np.ndarray, history: np.ndarray, c: np.ndarray, n: np.ndarray) -> None:
+        for at in features(history).astype(np.int64).T:
+            total += np.bincount(at * CLASSES + c, n, total.size).reshape(total.shape)
+
+    def expect(weights: np.ndarray) -> np.ndarray:
+        """How often the model expects each class after each feature."""
+        sent = context.broadcast(weights)
+
+        def add(total: np.ndarray, history: np.ndarray, n: np.ndarray) -> None:
+            at = features(history)
+            for i in range(0, len(at), STEP):
+                add_rows(total, at[i : i + STEP], class_shares(sent.value, at[i : i + STEP]) * n[i : i + STEP, None])
+
+        return added(table, add)
+
     weights = np.zeros((BUCKETS, CLASSES), np.float32)
     weights[0] = vocabulary.class_bias()  # bucket 0 is the bias of every token
-    observed = sums(None)
+    observed = added(pairs, count)
     for _ in range(rounds):
-        expected = sums(weights)
+        expected = expect(weights)
         weights += (RATE / 4 * (observed - expected) / (np.maximum(observed, expected) + 4.0)).astype(np.float32)
-    release(table)
+    release(pairs, table)
     return weights
 
 
@@ -262,7 +282,7 @@ def score(docs: DataFrame, learned: Column, id_col: str = "doc_id", text_col: st
     counts = count_words(texts)
     vocabulary = build_vocabulary(texts, counts, hot)
     weights = train(texts, vocabulary)
-    sent = docs.sparkSession.sparkContext.broadcast((vars(vocabulary), weights))
+    sent = docs.sparkSession.sparkContext.broadcast((asdict(vocabulary), weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Vocabulary(**sent.value[0])

@@ -433,3 +433,13 @@ def test_lm_probabilities_sum_to_one():
     assert p.sum() == pytest.approx(1, abs=1e-5)
     for c in (0, 1, 12, 13, 30):
         assert (10 ** shares[words.classes == c]).sum() == pytest.approx(1)
+
+
+def test_lm_histories_tell_all_hot_words_apart():
+    n = 5000
+    words = lm_scoring.Vocabulary(np.arange(1, n + 1, dtype=np.uint64) << np.uint64(40), np.full(n, 2), np.arange(n), np.full(n, lm_scoring.OTHER), 2 * n, n)
+    places = np.repeat(np.arange(n), 2)
+    edges = np.arange(0, 2 * n + 1, 2)  # texts of two tokens
+    found = lm_scoring.histories(words, places, lm_scoring.class_of(words, places), edges)
+    assert len(np.unique(found[1::2])) > 0.99 * n and len(np.unique(found[::2])) == 1
+    assert len(np.unique(lm_scoring.features(found)[1::2, 1])) > n / 2  # they share buckets by chance only
