@@ -71,3 +71,31 @@ def test_smote_lies_between(cloud, spark):
         s = x[r["source_id"]]
         others = [o for o in x[:30] if np.linalg.norm(np.cross(np.array(r["v"]) - s, o - s)) < 1e-9 and np.dot(np.array(r["v"]) - s, o - s) >= -1e-12]
         assert others
+
+
+def test_many_dimensions_meet_in_a_grid(spark, monkeypatch):
+    """Pivots leave out nothing here; each row is copied once per block of the other side"""
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1.0, (200, 32))
+    x[150:170] = x[150]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>").cache()
+    spark.conf.set(nb.SMALL_CONF, "20")
+    monkeypatch.setattr(nb, "GRID_ROWS", 30)
+    monkeypatch.setattr(nb, "TILE", 100)
+    grids, whole = [], nb._grid
+    monkeypatch.setattr(nb, "_grid", lambda *a, **k: grids.append(a[4:]) or whole(*a, **k))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    try:
+        got = {(r["id"], r["rank"]): r["nid"] for r in nb.knn_join(df, df, 5, skip_same=True, pivots=8).collect()}
+        assert got == {(i, r + 1): j for i in range(200) for r, j in enumerate(sorted((j for j in range(200) if j != i), key=lambda j: (round(d[i, j], 12), j))[:5])}
+        near = {r["id"]: (r["n"], r["low"]) for r in nb.within(df, df, 6.5, pivots=8).collect()}
+        assert near == {i: (int((d[i] <= 6.5).sum()), int(np.nonzero(d[i] <= 6.5)[0].min())) for i in range(200)}
+        assert len(grids) == 2
+    finally:
+        spark.conf.unset(nb.SMALL_CONF)
+
+
+def test_linked_blocks_give_the_smallest_id():
+    x = np.array([[0.0], [1.0], [2.0], [9.0], [10.0], [50.0]])
+    found = nb._linked(np.array([5, 3, 8]), x[[0, 2, 3]], np.array([4, 7, 9]), x[[1, 4, 5]], 1.0)
+    assert sorted(found.itertuples(index=False, name=None)) == [(4, 3), (5, 3), (8, 7)]
