@@ -47,10 +47,12 @@ def vocabulary(df: DataFrame, text: Column, n: int = 2, max_features: int = 500,
 
     Every task first adds up its own terms; corpus counts and document counts share one pass.
     """
-    return _vocabulary(df.select(ngrams(tokens(text, stop_words), n).alias("t")), df.count(), max_features, min_df, max_df)
+    return corpus_vocabulary(df.select(ngrams(tokens(text, stop_words), n).alias("t")), df.count(), max_features, min_df, max_df)
 
 
-def _vocabulary(t: DataFrame, n_docs: int, max_features: int, min_df: int, max_df: float) -> DataFrame:
+def corpus_vocabulary(t: DataFrame, n_docs: int, max_features: int, min_df: int, max_df: float) -> DataFrame:
+    """``vocabulary`` of rows that are cut to terms (column ``t``), most frequent first."""
+
     def counts(x: Column) -> Column:
         every = F.transform(x, lambda w: F.struct(w.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d")))
         return F.concat(every, F.transform(F.array_distinct(x), lambda w: F.struct(w.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d"))))
@@ -87,7 +89,7 @@ def _weigh(tokenised: DataFrame, key: str, vocab: DataFrame, sublinear: bool) ->
 def tfidf(df: DataFrame, key: str, text: Column, max_features: int = 500, n: int = 2, min_df: int = 2, max_df: float = 1.0, sublinear: bool = False, stop_words: Sequence[str] = ()) -> DataFrame:
     """Vocabulary and weights of the same documents, in long form ``key, term, weight``. Texts are cut once and written."""
     t = materialise(df.select(key, ngrams(tokens(text, stop_words), n).alias("t")))
-    return _weigh(t, key, _vocabulary(t, t.count(), max_features, min_df, max_df), sublinear)
+    return _weigh(t, key, corpus_vocabulary(t, t.count(), max_features, min_df, max_df), sublinear)
 
 
 def top_terms(weights: DataFrame, k: int, n_docs: int | None = None) -> DataFrame:

@@ -23,3 +23,15 @@ def test_searches_and_importance_use_all_vectors(spark, monkeypatch):
     monkeypatch.setattr(md, "positive_weight_search", lambda df, *a: (seen.append(df.count()), weights(df, *a))[1])
     assert mq.grid_search(spark, "").count() == 6 and mq.positive_weight_search(spark, "").count() == 5
     assert seen == [240, 240]
+
+
+def test_vocabulary_takes_ties_by_name(spark):
+    from alertsieve.operators import models as md
+
+    words = [f"w{i:02d}" for i in range(40)]
+    rows = [(i, " ".join(words[::-1] if i else words)) for i in range(2)] + [(2, "w39"), (3, None), (4, "")]
+    frame = spark.createDataFrame([(i, t or "") for i, t in rows], "id long, text string")
+    m = md.text_vectoriser(frame, "text", 10, 2, [])
+    assert m.stages[0].stages[-1].vocabulary == ["w39", *words[:9]]
+    got = {r["id"]: [round(float(x), 6) for x in r["text_vec"].toArray()] for r in m.transform(frame).collect()}
+    assert got[2] == [1.0] + [0.0] * 9 and got[4] == [0.0] * 10
