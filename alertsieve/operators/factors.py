@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertsieve.functions.random import keyed_uniform
@@ -28,12 +28,14 @@ class Factors:
 
 
 def _observed(side: DataFrame, k: int) -> tuple[DataFrame, list[list[float]], float]:
-    """``side``, written; seen while it's written: the k x k matrix of products of its factors, and the sum of their products with the entries."""
-    seen = Observation()
+    """``side``, written; from what was written: the k x k matrix of products of its factors, and the sum of their products with the entries.
+
+    A plain aggregate: once a session has an ``Observation``, the closures of MLlib that hold the session can't be sent to tasks.
+    """
     sums = [F.sum(F.col(f"f{i}") * F.col(f"f{j}")).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]  # k (k + 1) / 2 numbers
     hit = F.sum(sum((F.col(f"f{j}") * F.col(f"a{j}") for j in range(1, k)), F.col("f0") * F.col("a0"))) if "a0" in side.columns else F.sum(F.lit(0.0))
-    table = materialise(side.observe(seen, *sums, hit.alias("hit")))
-    r = seen.get
+    table = materialise(side)
+    r = table.agg(*sums, hit.alias("hit")).first()
     return table, [[r[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)], r["hit"] or 0.0
 
 

@@ -66,3 +66,13 @@ def test_rank_normal(spark):
         want = {r[0]: NormalDist().inv_cdf((k + 0.5) / 20) for k, r in enumerate(order)}
         assert all(r[j] == pytest.approx(want[r[0]]) for r in got)
     assert {r["s"] for r in got} == {"k"} and len(got) == 20
+
+
+def test_models_fit_in_the_session_of_factors(spark):
+    """The trees' closures hold the session; before, it couldn't be sent to tasks after the first factors"""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    factorise(spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "id long, term string, weight double"), 2, 1)
+    rows = spark.createDataFrame([(i, [float(i % 3), float(i)], i % 2) for i in range(40)], "id long, v array<double>, label int")
+    best, table = md.grid_search(md.with_vectors(rows), RandomForestClassifier(seed=1), {"maxDepth": [2, 3], "numTrees": [2]})
+    assert table.count() == 2
