@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertsieve.operators.lookup import lookup_join
+from alertsieve.operators.lookup import TASK_ROWS, large_join, lookup_join, task_count
 from alertsieve.operators.ordering import ordered
 
 
@@ -26,6 +26,19 @@ def group_rollup(df: DataFrame, key: str, numeric: Sequence[str], flags: Sequenc
     return out
 
 
+def linked_components(links: DataFrame, components: DataFrame, key: str = "summary_id", on: str = "series_id", component: str = "component", rows: int = TASK_ROWS) -> DataFrame:
+    """Per component: groups with a link to it and links.
+
+    Links are counted per component and group first, in tasks of about ``rows`` links. ``links`` should be written.
+    """
+    j = large_join(links, components, on, rows=rows).select(component, key)
+    n = task_count(links, rows)
+    if n > 1:
+        j = j.repartition(n, component, key)
+    per = j.groupBy(component, key).agg(F.count(F.lit(1)).alias("_n"))
+    return per.groupBy(component).agg(F.count(key).alias("n_summaries"), F.sum("_n").alias("n_links"))
+
+
 def mark_primary(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """``is_primary`` for the first alert of each group, ``is_downstream`` for the others."""
     out = ordered(df, [key], list(order)).with_position("_p").result()

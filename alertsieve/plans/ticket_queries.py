@@ -14,7 +14,7 @@ from alertsieve.operators import splits as sp
 from alertsieve.operators import text as tx
 from alertsieve.operators.ordering import with_scalars
 from alertsieve.plans.registry import R, query
-from alertsieve.session import spread
+from alertsieve.session import materialise, spread
 from alertsieve.sources import readers as rd
 from alertsieve.sources.tables import ALERTS_SQL, TICKETS_SQL, alerts, documents, table, ticket_text, tickets
 
@@ -601,9 +601,9 @@ def alert_bug_join(spark, d):
 
 @query("summary_bug_join", _A + ", m AS (SELECT DISTINCT summary_id, series_id FROM alerts) SELECT p_brand AS component, count(DISTINCT summary_id) AS n_summaries, count(*) AS n_links FROM m JOIN part ON series_id=p_partkey GROUP BY 1")
 def summary_bug_join(spark, d):
-    m = alerts(spark, d).select("summary_id", "series_id").distinct()
+    m = materialise(alerts(spark, d).select("summary_id", "series_id").distinct())
     b = table(spark, d, "part").select(F.col("p_partkey").alias("series_id"), F.col("p_brand").alias("component"))
-    return m.join(b, "series_id").groupBy("component").agg(F.count_distinct("summary_id").alias("n_summaries"), F.count(F.lit(1)).alias("n_links"))
+    return al.linked_components(m, b)
 
 
 @query("first_row_lookup", _T + ", f AS (SELECT creator, severity AS first_severity FROM tickets WHERE resolution='O' QUALIFY row_number() OVER (PARTITION BY creator ORDER BY ts, id)=1) SELECT id, coalesce(first_severity, 'unknown') AS first_severity FROM tickets LEFT JOIN f USING (creator)")
