@@ -26,6 +26,7 @@ LANDMARKS = 400
 RIDGE = 1e-3
 UNDECIDED = "und"
 BATCH = 256
+SCORED = 32  # texts that a task scores at once, as each has DIMS numbers
 
 
 def presence(texts: list[str | None]) -> np.ndarray:
@@ -48,7 +49,8 @@ def presence(texts: list[str | None]) -> np.ndarray:
 
 def _normed(flags: np.ndarray) -> np.ndarray:
     x = flags.astype(np.float32)
-    return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+    return x
 
 
 @dataclass
@@ -86,7 +88,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     sample = near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= each)
 
     def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, BATCH):
+        for batch in slices(batches, SCORED):
             bits = np.packbits(presence(batch.column("_text").to_pylist()), axis=1)
             yield pa.RecordBatch.from_arrays([batch.column("_lang"), batch.column("_rank").cast(pa.int32()), pa.array([x.tobytes() for x in bits], pa.binary())], ["lang", "rank", "bits"])
 
@@ -118,7 +120,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = LanguageModel(*sent.value)
-        for batch in slices(batches, BATCH):
+        for batch in slices(batches, SCORED):
             best, value = own.score(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(best, pa.string()), pa.array(value, pa.float64())], [*(f.name for f in fields), "lang_pred", "lang_score"])
 

@@ -164,10 +164,10 @@ def count_words(texts: DataFrame) -> DataFrame:
 def build_vocabulary(texts: DataFrame, counts: DataFrame, hot: int = HOT) -> Vocabulary:
     context = texts.sparkSession.sparkContext
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = most_frequent(counts.where("n > 1"), "n", hot).orderBy(F.desc("n"), "h").toPandas()  # at most ``hot`` rows; words seen once stand for the unknown ones too
-    order = np.argsort(top["h"].to_numpy(np.int64).view(np.uint64))
-    hashes = top["h"].to_numpy(np.int64).view(np.uint64)[order]
-    n = top["n"].to_numpy(np.int64)[order]
+    top = most_frequent(counts.where("n > 1"), "n", hot).orderBy(F.desc("n"), "h").toArrow()  # at most ``hot`` rows; words seen once stand for the unknown ones too
+    hashes = top["h"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    hashes, n = hashes[order], top["n"].to_numpy().astype(np.int64)[order]
     sent = context.broadcast((hashes, order))
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,9 +185,9 @@ def build_vocabulary(texts: DataFrame, counts: DataFrame, hot: int = HOT) -> Voc
     size = np.ones(LEADERS)
     size[: min(LEADERS, len(n))] = np.sort(n)[::-1][:LEADERS]
     share = F.col("n") / F.element_at(F.array(*[F.lit(float(x)) for x in size]), (F.col("leader") + 1).cast("int"))
-    best = pairs.groupBy("w").agg(F.max_by("leader", F.struct(share.alias("x"), -F.col("leader"))).alias("leader")).toPandas()  # at most ``hot`` rows
+    best = pairs.groupBy("w").agg(F.max_by("leader", F.struct(share.alias("x"), -F.col("leader"))).alias("leader")).toArrow()  # at most ``hot`` rows
     classes = np.full(len(hashes), OTHER)
-    classes[best["w"].to_numpy(np.int64)] = OWN_CLASS + best["leader"].to_numpy(np.int64)
+    classes[best["w"].to_numpy().astype(np.int64)] = OWN_CLASS + best["leader"].to_numpy().astype(np.int64)
     own = order < OWN_CLASS
     classes[own] = order[own]
     return Vocabulary(hashes, n, order, classes, int(total), int(distinct))
@@ -239,9 +239,12 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.
             yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(total[some, i]) for i in range(CLASSES))], ["bucket", *names])
 
         each = rows.mapInArrow(sums, "bucket bigint, " + ", ".join(f"{c} double" for c in names))
-        got = each.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]).toPandas()  # BUCKETS rows at most
+        got = each.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]).toArrow()  # BUCKETS rows at most, never as Python's numbers
         out = np.zeros((BUCKETS, CLASSES))
-        out[got["bucket"].to_numpy(np.int64)] = got[names].to_numpy(float)
+        for part in got.to_batches():
+            at = part.column(0).to_numpy()
+            for i in range(CLASSES):
+                out[at, i] = part.column(i + 1).to_numpy()
         return out
 
     def count(total: np.ndarray, history: np.ndarray, c: np.ndarray, n: np.ndarray) -> None:
@@ -257,14 +260,18 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.
             for i in range(0, len(at), STEP):
                 add_rows(total, at[i : i + STEP], class_shares(sent.value, at[i : i + STEP]) * n[i : i + STEP, None])
 
-        return added(table, add)
+        out = added(table, add)
+        sent.destroy()
+        return out
 
     weights = np.zeros((BUCKETS, CLASSES), np.float32)
     weights[0] = vocabulary.class_bias()  # bucket 0 is the bias of every token
     observed = added(pairs, count)
     for _ in range(rounds):
         expected = expect(weights)
-        weights += (RATE / 4 * (observed - expected) / (np.maximum(observed, expected) + 4.0)).astype(np.float32)
+        for i in range(0, BUCKETS, STEP):  # a part at a time, as the driver holds the tables already
+            seen, awaited = observed[i : i + STEP], expected[i : i + STEP]
+            weights[i : i + STEP] += (RATE / 4 * (seen - awaited) / (np.maximum(seen, awaited) + 4.0)).astype(np.float32)
     release(pairs, table)
     return weights
 

@@ -28,9 +28,9 @@ from pyspark.sql import types as T
 from alertsieve.llm.common import kept_in_worker, mix64, slices
 from alertsieve.llm.pieces import SPACE, Cutter, PieceModel
 
-UNITS_KEPT = 100_000
+UNITS_KEPT = 200_000
 START = 0x2545F4914F6CDD1D
-CHARACTERS = 400_000  # of the units that are composed at once; a longer unit comes alone
+CHARACTERS = 200_000  # of the units that are composed at once; a longer unit comes alone
 FALLBACK = -1  # the piece before is a fallback or the start: anything may follow
 
 
@@ -82,7 +82,7 @@ class Transducer:
         self.bytes = model.bytes()
         self.scores = model.scores
         self.units: dict[str, bytes] = {}
-        self.pairs = Table(21)
+        self.pairs = Table(20)
         self.lengths = np.array([len(p) for p in model.pieces], np.int64)
         self.inner: dict[int, tuple[str, str, list[tuple[float, str]], list[tuple[float, str]]]] = {}
         for piece, number in self.normal.items():
@@ -159,7 +159,7 @@ class Transducer:
         text = "\0".join(units) + "\0"
         ends = np.cumsum([len(u) + 1 for u in units]) - 1
         characters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        at, state = np.arange(len(text)), np.full(len(text), START, np.uint64)
+        at, state = np.arange(len(text), dtype=np.int32), np.full(len(text), START, np.uint64)
         begins, tos, pieces = [], [], []
         for size in range(self.longest):
             state = _read(state, characters[at + size])
@@ -170,17 +170,17 @@ class Transducer:
             pieces.append(piece[ends_here])
             on = (piece > -2) & (at + size + 1 < len(text))
             at, state = at[on], state[on]
-        none = np.zeros(0, np.int64)
-        begin, to, piece = np.concatenate([none, *begins]), np.concatenate([none, *tos]), np.concatenate([none.astype(np.int32), *pieces])
+        none = np.zeros(0, np.int32)
+        begin, to, piece = np.concatenate([none, *begins]), np.concatenate([none, *tos]), np.concatenate([none, *pieces])
         known = np.zeros(len(text), bool)
         known[begin[to == begin + 1]] = True
         known[ends] = True
-        odd = np.flatnonzero(~known)  # characters that only the fallback reads
+        odd = np.flatnonzero(~known).astype(np.int32)  # characters that only the fallback reads
         return ends, np.concatenate([begin, odd]), np.concatenate([to, odd + 1]), np.concatenate([piece, np.full(len(odd), FALLBACK, piece.dtype)])
 
     def weights(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Weights of arcs after the pieces that come before them."""
-        out = np.zeros(len(piece))
+        out = np.zeros(len(piece), np.float32)
         both = np.flatnonzero((before != FALLBACK) & (piece != FALLBACK))
         keys = before[both].astype(np.uint64) << np.uint64(20) | piece[both].astype(np.uint64) | np.uint64(1 << 50)
         fits = self.pairs.find(keys, -1)
@@ -196,18 +196,21 @@ class Transducer:
         sizes = np.diff(ends, prepend=-1) - 1
         starts = ends - sizes
         size = int(ends[-1]) + 1
-        distance, last, back = np.full(size, np.inf), np.full(size, FALLBACK, np.int32), np.zeros(size, np.int64)
+        distance, last, back = np.full(size, np.inf, np.float32), np.full(size, FALLBACK, np.int32), np.zeros(size, np.int32)
         distance[starts] = 0.0
-        depth = to - np.repeat(starts, sizes + 1)[begin]
+        longest = int(sizes.max(initial=0))
+        depth = (to - np.repeat(starts.astype(np.int32), sizes + 1)[begin]).astype(np.uint16 if longest < 1 << 16 else np.int32)  # short numbers are sorted by their digits
         order = np.argsort(depth, kind="stable")
         begin, to, piece = begin[order], to[order], piece[order]
-        levels = np.searchsorted(depth[order], np.arange(1, int(sizes.max(initial=0)) + 2))
+        levels = np.searchsorted(depth[order], np.arange(1, longest + 2))
         for a, b in zip(levels[:-1], levels[1:]):
             live = a + np.flatnonzero(distance[begin[a:b]] < np.inf)
-            total = distance[begin[live]] + self.weights(last[begin[live]], piece[live])
-            best = live[total < distance[to[live]]]
-            distance[to[best]] = total[total < distance[to[live]]]
-            last[to[best]], back[to[best]] = piece[best], begin[best]
+            source, end = begin[live], to[live]
+            total = distance[source] + self.weights(last[source], piece[live])
+            better = total < distance[end]
+            best, end = live[better], end[better]
+            distance[end] = total[better]
+            last[end], back[end] = piece[best], source[better]
         owner, path = [], []
         at, unit = ends[sizes > 0], np.flatnonzero(sizes > 0)
         while len(at):
@@ -238,7 +241,9 @@ class Transducer:
             self.units.clear()
         known = self.units
         cut = [self.cut(t) for t in texts]
-        new = list({u for units in cut for u in units} - known.keys())
+        found = [list(map(known.get, units)) for units in cut]
+        lacking = [i for i, ids in enumerate(found) if None in ids]
+        new = list({u for i in lacking for u, ids in zip(cut[i], found[i]) if ids is None})
         at = 0
         while at < len(new):
             stop, room = at, CHARACTERS
@@ -247,7 +252,9 @@ class Transducer:
                 stop += 1
             known.update(zip(new[at:stop], self.shortest(new[at:stop])))
             at = stop
-        return [b"".join(map(known.__getitem__, units)) for units in cut]
+        for i in lacking:
+            found[i] = map(known.__getitem__, cut[i])
+        return [b"".join(ids) for ids in found]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: the machines read from output to input. The space that the normaliser put first goes."""
@@ -289,7 +296,9 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "piece_ids", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(model_path)
         for batch in slices(batches, 256):
-            texts = [None if x is None else machine.decode(x) for x in batch.column(at).to_pylist()]
+            lists = batch.column(at)
+            ends, ids = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)  # of the whole batch, not only of the slice
+            texts = [machine.decode(ids[a:b].tolist()) if some else None for a, b, some in zip(ends[:-1], ends[1:], lists.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), pa.array(texts, pa.string())], [*(f.name for f in kept), text_col])
 
     schema = rows.select(*[F.col(f"`{f.name}`") for f in kept]).schema.add(text_col, "string")
