@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
@@ -40,6 +41,23 @@ def kept_in_worker(key: Hashable, make: Callable[[], Any]) -> Any:
     return kept[key]
 
 
+def drop_kept() -> None:
+    """Forget what earlier operators kept in this worker."""
+    sys.__dict__.get("_alertsieve_kept", {}).clear()
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` that gives memory back to the system after its last batch, as workers stay alive between tasks and stages."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+            trim(0)
+
+    return tidied
+
+
 def lower_words(text: str | None) -> list[bytes]:
     """Words of a text as UTF-8, with A-Z lower-cased (bytes.lower and bytes.split know ASCII only)."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

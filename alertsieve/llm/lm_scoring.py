@@ -7,7 +7,7 @@ the others of the ``HOT`` most frequent words share the class of the frequent wo
 share; all further words, those seen once and unknown ones included, form the last class.
 
 Counts of all training words are added up in tasks first and then by shuffle. So are the histories: how often each class
-follows each pair of words before. The weights are trained on these by ``ROUNDS`` of gradient sums: each round, the
+follows each pair of words before, packed as sorted numbers. The weights are trained on these by ``ROUNDS`` of gradient sums: each round, the
 tasks add up what the model expects of each feature and class, the sums are added by shuffle, and each weight moves along
 observed minus expected. So the weights come from all rows, however these are partitioned. Words are compared as 64-bit hashes; only the ``HOT`` words are broadcast, the counts of
 all others are joined to the texts.
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertsieve.llm.common import mix64, most_frequent, text_slices, word_hashes
+from alertsieve.llm.common import mix64, most_frequent, text_slices, tidy, word_hashes
 from alertsieve.session import materialise, release
 
 HOT = 1 << 18  # words whose counts and classes are broadcast
@@ -34,6 +34,10 @@ OWN_CLASS = 10  # most frequent words with a class of their own
 LEADERS = 20  # frequent words that give the shared classes
 BUCKETS = 1 << 16
 CHUNK = 1 << 22  # tokens that a task counts at once
+SHARD_TOKENS = 1 << 21  # tokens whose histories are merged at once
+PART = 1024  # keys in a packed row, so that a batch of rows is small
+PARTS = 64  # packed rows that a task adds up at once
+PIECE = 8192  # sums in a row of the shuffle
 STEP = 8192  # histories whose softmax is computed at once
 ROUNDS = 10
 RATE = 2.0  # of a step of (observed - expected) / the larger of them, shared by the features of a token
@@ -129,13 +133,47 @@ def class_shares(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
     return z
 
 
-def add_rows(to: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
-    """Add rows of values to the rows of ``to`` that each of their features names."""
-    for k in range(at.shape[1]):
-        order = np.argsort(at[:, k], kind="stable")
-        there = at[order, k]
-        first = np.flatnonzero(np.append(True, there[1:] != there[:-1]))
-        to[there[first]] += np.add.reduceat(values[order], first, axis=0)
+def byte_places(x: np.ndarray) -> bytes:
+    """Numbers from 0 on as their lowest bytes, then their next ones, and so on; few bytes that compress well if the numbers are small."""
+    places = (int(x.max(initial=0)).bit_length() + 7) // 8
+    return x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :places].T.tobytes()
+
+
+def from_byte_places(data: bytes, size: int) -> np.ndarray:
+    out = np.zeros((size, 8), np.uint8)
+    if data:
+        out[:, : len(data) // size] = np.frombuffer(data, np.uint8).reshape(-1, size).T
+    return out.view("<i8").ravel()
+
+
+PACKED = "shard int, size int, first bigint, keys binary, counts binary"
+
+
+def pack(shards: list[int], parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """A row for each part of sorted keys with their counts."""
+    columns = [
+        pa.array(shards, pa.int32()),
+        pa.array([len(k) for k, _ in parts], pa.int32()),
+        pa.array([int(k[0]) for k, _ in parts], pa.int64()),
+        pa.array([byte_places(np.diff(k)) for k, _ in parts], pa.binary()),
+        pa.array([byte_places(n) for _, n in parts], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["shard", "size", "first", "keys", "counts"])
+
+
+def unpack(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of all rows, one after the other."""
+    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for size, first, k, n in zip(*(rows.column(c).to_pylist() for c in ("size", "first", "keys", "counts"))):
+        keys.append(np.cumsum(np.append(first, from_byte_places(k, size - 1))))
+        counts.append(from_byte_places(n, size))
+    return np.concatenate(keys), np.concatenate(counts)
+
+
+def add_up(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of sorted keys and the sums of their counts."""
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.add.reduceat(n, first) if len(n) else n
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -194,15 +232,24 @@ def build_vocabulary(texts: DataFrame, counts: DataFrame, hot: int = HOT) -> Voc
 
 
 def count_histories(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Written: history, c, n, how often class c follows it."""
-    sent = texts.sparkSession.sparkContext.broadcast(asdict(vocabulary))
+    """Written: how often each class follows each history, as packed parts of sorted keys (history * CLASSES + class) with their counts.
+
+    Tasks count their own tokens, and a shard of the histories (by the bucket of both words, a hash) is merged at once, about
+    ``SHARD_TOKENS`` keys at most. The rows travel and stay packed, ``PART`` keys in a row.
+    """
+    context = texts.sparkSession.sparkContext
+    sent = context.broadcast(asdict(vocabulary))
+    shards = min(max(2 * context.defaultParallelism, -(-vocabulary.total // SHARD_TOKENS)), BUCKETS // 2)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Vocabulary(**sent.value)
 
-        def summed(held: list[np.ndarray]) -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(found // CLASSES), pa.array(found % CLASSES), pa.array(n.astype(np.int64))], ["history", "c", "n"])
+        def dealt(held: list[np.ndarray]) -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            shard = (keys // CLASSES % BUCKETS % shards).astype(np.uint16)
+            order = np.argsort(shard, kind="stable")
+            some, at = np.unique(shard[order], return_index=True)
+            return pack(some.tolist(), list(zip(np.split(keys[order], at[1:]), np.split(n[order], at[1:]))))
 
         held, size = [], 0
         for batch in text_slices(batches, 0):
@@ -212,67 +259,101 @@ def count_histories(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             held.append(histories(words, places, classes, edges) * CLASSES + classes)
             size += len(tokens)
             if size >= CHUNK:
-                yield summed(held)
+                yield dealt(held)
                 held, size = [], 0
-        if held:
-            yield summed(held)
+        if size:
+            yield dealt(held)
+
+    def merge(rows: pa.Table) -> pa.Table:
+        keys, n = unpack(rows)
+        order = np.argsort(keys, kind="stable")
+        keys, n = add_up(keys[order], n[order])
+        starts = range(0, len(keys), PART)
+        return pa.Table.from_batches([pack([rows.column("shard")[0].as_py()] * len(starts), [(keys[i : i + PART], n[i : i + PART]) for i in starts])])
 
-    each = texts.mapInArrow(count, "history bigint, c bigint, n bigint")
-    return materialise(each.groupBy("history", "c").agg(F.sum("n").alias("n")))
+    return materialise(texts.mapInArrow(tidy(count), PACKED).groupBy("shard").applyInArrow(merge, PACKED))
 
 
 def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
     """Weights (BUCKETS x CLASSES) after rounds of gradient sums over all histories."""
     context = texts.sparkSession.sparkContext
-    pairs = count_histories(texts, vocabulary)
-    table = materialise(pairs.groupBy("history").agg(F.sum("n").alias("n")).sortWithinPartitions("history"))
-    names = [f"w{i}" for i in range(CLASSES)]
+    counted = count_histories(texts, vocabulary)
 
-    def added(rows: DataFrame, add) -> np.ndarray:
-        """The sum of the (BUCKETS x CLASSES) tables that ``add`` makes of the batches of each task."""
+    def added(start) -> np.ndarray:
+        """The sum of the (CLASSES x BUCKETS) tables that the tasks add to, by the function that ``start`` gives each task.
+
+        A task for each core, as each sends a whole table, in pieces that are added up by shuffle.
+        """
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((BUCKETS, CLASSES))
+            total, add = np.zeros((CLASSES, BUCKETS)), start()
             for batch in batches:
-                add(total, *[c.to_numpy() for c in batch.columns])
-            some = np.flatnonzero(total.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(total[some, i]) for i in range(CLASSES))], ["bucket", *names])
-
-        each = rows.mapInArrow(sums, "bucket bigint, " + ", ".join(f"{c} double" for c in names))
-        got = each.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]).toArrow()  # BUCKETS rows at most, never as Python's numbers
-        out = np.zeros((BUCKETS, CLASSES))
-        for part in got.to_batches():
-            at = part.column(0).to_numpy()
-            for i in range(CLASSES):
-                out[at, i] = part.column(i + 1).to_numpy()
-        return out
-
-    def count(total: np.ndarray, history: np.ndarray, c: np.ndarray, n: np.ndarray) -> None:
-        for at in features(history).astype(np.int64).T:
-            total += np.bincount(at * CLASSES + c, n, total.size).reshape(total.shape)
+                for i in range(0, batch.num_rows, PARTS):
+                    add(total, *unpack(batch.slice(i, PARTS)))
+            pieces = total.reshape(-1, PIECE)
+            some = np.flatnonzero(pieces.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([x.tobytes() for x in pieces[some]], pa.binary())], ["piece", "sums"])
+
+        def whole(rows: pa.Table) -> pa.Table:
+            out = np.zeros(PIECE)
+            for x in sorted(rows.column("sums").to_pylist()):  # in the same order each time
+                out += np.frombuffer(x)
+            return pa.table({"piece": rows.column("piece")[:1], "sums": pa.array([out.tobytes()], pa.binary())})
+
+        kind = "piece int, sums binary"
+        each = counted.coalesce(context.defaultParallelism).mapInArrow(tidy(sums), kind)
+        got = each.groupBy("piece").applyInArrow(whole, kind).toArrow()  # CLASSES * BUCKETS / PIECE rows, never as Python's numbers
+        out = np.zeros((CLASSES * BUCKETS // PIECE, PIECE))
+        for piece, x in zip(got["piece"].to_pylist(), got["sums"]):
+            out[piece] = np.frombuffer(x.as_buffer())
+        return out.reshape(CLASSES, BUCKETS)
+
+    def count():
+        def add(total: np.ndarray, keys: np.ndarray, n: np.ndarray) -> None:
+            c = keys % CLASSES
+            total[:, 0] += np.bincount(c, n, CLASSES)
+            for at in features(keys // CLASSES)[:, 1:].T:
+                np.add.at(total.reshape(-1), c * BUCKETS + at, n.astype(np.float64))
+
+        return add
 
     def expect(weights: np.ndarray) -> np.ndarray:
         """How often the model expects each class after each feature."""
         sent = context.broadcast(weights)
 
-        def add(total: np.ndarray, history: np.ndarray, n: np.ndarray) -> None:
-            at = features(history)
-            for i in range(0, len(at), STEP):
-                add_rows(total, at[i : i + STEP], class_shares(sent.value, at[i : i + STEP]) * n[i : i + STEP, None])
-
-        out = added(table, add)
+        def start():
+            factors = np.exp(sent.value.T.astype(np.float64))  # a softmax of sums is a share of products, so no history needs an exponential
+
+            def add(total: np.ndarray, keys: np.ndarray, n: np.ndarray) -> None:
+                history, n = add_up(keys // CLASSES, n)
+                at = list(features(history)[:, 1:].T.astype(np.intp))
+                shares = np.empty((CLASSES, len(history)))
+                for c, f in enumerate(factors):
+                    shares[c] = f[0]
+                    for x in at:
+                        shares[c] *= f.take(x)
+                shares *= n / shares.sum(axis=0)
+                total[:, 0] += shares.sum(axis=1)
+                for x in at:
+                    for c in range(CLASSES):
+                        np.add.at(total[c], x, shares[c])
+
+            return add
+
+        out = added(start)
         sent.destroy()
         return out
 
     weights = np.zeros((BUCKETS, CLASSES), np.float32)
     weights[0] = vocabulary.class_bias()  # bucket 0 is the bias of every token
-    observed = added(pairs, count)
+    observed = added(count)
     for _ in range(rounds):
         expected = expect(weights)
         for i in range(0, BUCKETS, STEP):  # a part at a time, as the driver holds the tables already
-            seen, awaited = observed[i : i + STEP], expected[i : i + STEP]
+            seen, awaited = observed[:, i : i + STEP].T, expected[:, i : i + STEP].T
             weights[i : i + STEP] += (RATE / 4 * (seen - awaited) / (np.maximum(seen, awaited) + 4.0)).astype(np.float32)
-    release(pairs, table)
+        release(texts)  # the shuffle files of the rounds
+    release(counted)
     return weights
 
 

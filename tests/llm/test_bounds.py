@@ -1,13 +1,16 @@
 """Memory of the driver and of the workers, and rows in slices; the rows are made here."""
 
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertsieve.llm import language, lm_scoring, sentencepiece_fst
+from alertsieve.llm import common, language, lm_scoring, sentencepiece_fst
+from alertsieve.llm.pieces import PieceModel
 
 
 def test_gradient_sums_are_no_python_rows(spark, monkeypatch):
@@ -41,3 +44,46 @@ def test_pieces_of_sliced_rows(spark):
     coded = sentencepiece_fst.encode(docs, path).withColumn("piece_ids", F.when(F.col("doc_id") % 13 != 0, F.col("piece_ids")))
     for r in sentencepiece_fst.decode(coded, path).collect():
         assert r["decoded"] == (None if r["doc_id"] % 13 == 0 else r["text"] or "")
+
+
+def test_histories_are_written_once_and_packed(spark, monkeypatch):
+    """op1: the histories were written and shuffled twice as plain rows, and each task of many sent a whole table of sums in each round"""
+    rng = np.random.default_rng(0)
+    docs = [" ".join(f"w{x}" for x in rng.integers(0, 300, 60)) for _ in range(400)] + [None, ""]
+    frame = spark.createDataFrame([(t,) for t in docs], "_text string").repartition(20)
+    words = lm_scoring.build_vocabulary(frame, lm_scoring.count_words(frame))
+    written, plain = [], lm_scoring.materialise
+    monkeypatch.setattr(lm_scoring, "materialise", lambda df: (written.append(plain(df)), written[-1])[1])
+    monkeypatch.setattr(lm_scoring, "PART", 100)
+    table = lm_scoring.count_histories(frame, words)
+    rows = table.toArrow()
+    assert max(rows["size"].to_pylist()) <= 100
+    keys, n = lm_scoring.unpack(rows)
+    want = Counter()
+    for t in docs:
+        tokens, edges = lm_scoring.tokens_of(pa.array([t], pa.string()))
+        places = words.look_up(tokens)
+        classes = lm_scoring.class_of(words, places)
+        want.update((lm_scoring.histories(words, places, classes, edges) * lm_scoring.CLASSES + classes).tolist())
+    assert dict(zip(keys.tolist(), n.tolist())) == want and len(keys) == len(want)
+    assert sum(len(k) + len(c) for k, c in zip(rows["keys"].to_pylist(), rows["counts"].to_pylist())) < 9 * len(keys)  # three numbers of 8 bytes before
+    assert np.array_equal(lm_scoring.from_byte_places(lm_scoring.byte_places(np.array([0, 1 << 52, 255])), 3), [0, 1 << 52, 255])
+    written.clear()
+    lm_scoring.train(frame, words, rounds=1)
+    assert len(written) == 1
+
+
+def test_workers_forget_the_encoder():
+    """pipeline: workers that had encoded pieces kept 60 MB of machines through the other stages, and decoding built them too"""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    tracemalloc.start()
+    inverse = sentencepiece_fst.Inverse(PieceModel.read(path))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 12e6 and inverse.decode([]) == ""
+    common.kept_in_worker("machine", lambda: 1)
+    common.drop_kept()
+    assert common.kept_in_worker("machine", lambda: 2) == 2
+    common.drop_kept()
+    before = []
+    assert list(common.tidy(lambda b: (before.append(x) or x for x in b))(iter([1, 2]))) == before == [1, 2]
