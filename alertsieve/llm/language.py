@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertsieve.llm.common import slices
+from alertsieve.llm.common import drop_kept, slices, tidy
 
 SPECTRUM = 4
 DIMS = 1 << 15
@@ -88,11 +88,12 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     sample = near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= each)
 
     def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         for batch in slices(batches, SCORED):
             bits = np.packbits(presence(batch.column("_text").to_pylist()), axis=1)
             yield pa.RecordBatch.from_arrays([batch.column("_lang"), batch.column("_rank").cast(pa.int32()), pa.array([x.tobytes() for x in bits], pa.binary())], ["lang", "rank", "bits"])
 
-    got = sorted(sample.select("_text", "_lang", "_rank").mapInArrow(flags, "lang string, rank int, bits binary").collect(), key=lambda r: (r["rank"], r["lang"]))
+    got = sorted(sample.select("_text", "_lang", "_rank").mapInArrow(tidy(flags), "lang string, rank int, bits binary").collect(), key=lambda r: (r["rank"], r["lang"]))
     languages = sorted({r["lang"] for r in got})
     y = np.asarray([[r["lang"] == k for k in languages] for r in got], np.float64)
     part = lambda i, n: _normed(np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in got[i : i + n]), np.uint8).reshape(-1, DIMS // 8), axis=1))
@@ -119,10 +120,11 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
     fields = [docs.schema.fields[i] for i in kept]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()  # a worker that encoded texts before would hold its machines beside this
         own = LanguageModel(*sent.value)
         for batch in slices(batches, SCORED):
             best, value = own.score(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(best, pa.string()), pa.array(value, pa.float64())], [*(f.name for f in fields), "lang_pred", "lang_score"])
 
     schema = docs.select(*[F.col(f"`{f.name}`") for f in fields]).schema.add("lang_pred", "string").add("lang_score", "double")
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(tidy(score), schema)

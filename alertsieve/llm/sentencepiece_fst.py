@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertsieve.llm.common import kept_in_worker, mix64, slices
+from alertsieve.llm.common import kept_in_worker, mix64, slices, tidy
 from alertsieve.llm.pieces import SPACE, Cutter, PieceModel
 
 UNITS_KEPT = 200_000
@@ -84,16 +84,15 @@ class Transducer:
         self.units: dict[str, bytes] = {}
         self.pairs = Table(20)
         self.lengths = np.array([len(p) for p in model.pieces], np.int64)
-        self.inner: dict[int, tuple[str, str, list[tuple[float, str]], list[tuple[float, str]]]] = {}
+        self.inner: dict[int, tuple[str, str, tuple, tuple]] = {}  # scores and parts by turns, as few objects as possible
+        one = {p: p for p in model.pieces}
         for piece, number in self.normal.items():
             parts, steps = self.merge(piece)
             if parts == [piece]:  # others are never reached by merges
-                self.inner[number] = (piece[0], piece[-1], [(s, first) for s, first, _ in steps], [(s, last) for s, _, last in steps])
+                part = lambda x: one.setdefault(x, x)
+                self.inner[number] = (part(piece[0]), part(piece[-1]), tuple(x for s, first, _ in steps for x in (s, part(first))), tuple(x for s, _, last in steps for x in (s, part(last))))
         self.longest = max((len(model.pieces[i]) for i in self.inner), default=0)
         self.machine = self.compile()
-        self.shown = [p.encode("utf-8") for p in model.pieces]
-        for b, i in self.bytes.items():
-            self.shown[i] = bytes([b])
 
     def merge(self, text: str) -> tuple[list[str], list[tuple[float, str, str]]]:
         """Characters merged pairwise, best score first, leftmost among equals; for short strings.
@@ -126,14 +125,14 @@ class Transducer:
             k = normal.get(left + right)
             if k is not None:
                 across = scores[k]
-                if (i == m or across > ours[i][0]) and (j == n or across >= theirs[j][0]):
+                if (i == m or across > ours[i]) and (j == n or across >= theirs[j]):
                     return False
-            if i < m and (j == n or ours[i][0] >= theirs[j][0]):
-                left = ours[i][1]
-                i += 1
+            if i < m and (j == n or ours[i] >= theirs[j]):
+                left = ours[i + 1]
+                i += 2
             elif j < n:
-                right = theirs[j][1]
-                j += 1
+                right = theirs[j + 1]
+                j += 2
             else:
                 return True
 
@@ -150,7 +149,7 @@ class Transducer:
             at.update((s, pieces.get(p, -1)) for p, s in zip(layer, after.tolist()))
         if len(at) != len(state) - 1:
             raise ValueError("two states of the piece machine share a name")
-        table = Table(20)
+        table = Table((4 * len(at)).bit_length())
         table.add(np.fromiter(at.keys(), np.uint64, len(at)), np.fromiter(at.values(), np.int32, len(at)))
         return table
 
@@ -256,10 +255,20 @@ class Transducer:
             found[i] = map(known.__getitem__, cut[i])
         return [b"".join(ids) for ids in found]
 
+
+class Inverse:
+    """The machines read from output to input: ids to text. It needs no merges, so it's small."""
+
+    def __init__(self, model: PieceModel):
+        self.prefix = model.prefix
+        self.shown = [p.encode("utf-8") for p in model.pieces]
+        for b, i in model.bytes().items():
+            self.shown[i] = bytes([b])
+
     def decode(self, ids: list[int]) -> str:
-        """The text of ids: the machines read from output to input. The space that the normaliser put first goes."""
+        """The text of ids. The space that the normaliser put first goes."""
         text = b"".join(map(self.shown.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
-        return text[1:] if self.model.prefix and text.startswith(" ") else text
+        return text[1:] if self.prefix and text.startswith(" ") else text
 
 
 def transducer(path: str) -> Transducer:
@@ -284,7 +293,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), lists], [*(f.name for f in kept), ids_col])
 
     schema = docs.select(*[F.col(f"`{f.name}`") for f in kept]).schema.add(ids_col, T.ArrayType(T.IntegerType()))
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def decode(rows: DataFrame, model_path: str, ids_col: str = "piece_ids", text_col: str = "decoded") -> DataFrame:
@@ -294,12 +303,12 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "piece_ids", text_co
     at = rows.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = transducer(model_path)
+        inverse = kept_in_worker(("inverse", model_path), lambda: Inverse(PieceModel.read(model_path)))
         for batch in slices(batches, 256):
             lists = batch.column(at)
             ends, ids = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)  # of the whole batch, not only of the slice
-            texts = [machine.decode(ids[a:b].tolist()) if some else None for a, b, some in zip(ends[:-1], ends[1:], lists.is_valid().to_pylist())]
+            texts = [inverse.decode(ids[a:b].tolist()) if some else None for a, b, some in zip(ends[:-1], ends[1:], lists.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), pa.array(texts, pa.string())], [*(f.name for f in kept), text_col])
 
     schema = rows.select(*[F.col(f"`{f.name}`") for f in kept]).schema.add(text_col, "string")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
