@@ -334,8 +334,8 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.
                         shares[c] *= f.take(x)
                 shares *= n / shares.sum(axis=0)
                 total[:, 0] += shares.sum(axis=1)
-                for x in at:
-                    for c in range(CLASSES):
+                for c in range(CLASSES):
+                    for x in at:
                         np.add.at(total[c], x, shares[c])
 
             return add
