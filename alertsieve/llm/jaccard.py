@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertsieve.llm.common import most_frequent, shingle_hashes, text_slices, word_hashes
+from alertsieve.llm.common import most_frequent, shingle_hashes, text_slices, tidy, word_hashes
 from alertsieve.session import materialise, release
 
 FRAGMENTS = 8
@@ -40,6 +40,14 @@ def _sets(batch: pa.RecordBatch, text: int, k: int) -> Iterator[np.ndarray]:
         yield np.unique(shingle_hashes(words[a:b], k))
 
 
+def thrice(x: np.ndarray, most: int) -> pa.RecordBatch:
+    """s and n of the ``most`` most frequent numbers of those that stand thrice or more in ``x``, which is sorted in place."""
+    x.sort()
+    found, n = np.unique(x[2:][x[2:] == x[:-2]], return_counts=True)  # all but the first two of each
+    keep = np.argsort(-n, kind="stable")[:most]
+    return pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(n[keep].astype(np.int64) + 2)], ["s", "n"])
+
+
 def frequent_shingles(docs: DataFrame, text_col: str, k: int, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the most frequent shingles (sorted) and their places by count.
 
@@ -48,24 +56,20 @@ def frequent_shingles(docs: DataFrame, text_col: str, k: int, most: int = COMMON
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def report(held: list[np.ndarray]) -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            keep = np.flatnonzero(n >= 3)
-            keep = keep[np.argsort(-n[keep], kind="stable")[: most // 8]]
-            return pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["s", "n"])
-
-        held, size = [], 0
+        room, size = np.empty(CHUNK, np.uint64), 0
         for batch in text_slices(batches, 0):
             for x in _sets(batch, 0, k):
-                held.append(x)
+                if size + len(x) > len(room):
+                    room = np.append(room[:size], x)
+                room[size : size + len(x)] = x
                 size += len(x)
                 if size >= CHUNK:
-                    yield report(held)
-                    held, size = [], 0
-        if held:
-            yield report(held)
+                    yield thrice(room[:size], most // 8)
+                    size = 0
+        if size:
+            yield thrice(room[:size], most // 8)
 
-    counted = materialise(docs.select(F.col(text_col).alias("_text")).mapInArrow(count, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")))
+    counted = materialise(docs.select(F.col(text_col).alias("_text")).mapInArrow(tidy(count), "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")))
     top = most_frequent(counted, "n", most).orderBy(F.desc("n"), "s").toPandas()  # bounded by ``most``
     release(counted)
     hashes = top["s"].to_numpy(np.int64).view(np.uint64)
@@ -103,7 +107,7 @@ def set_table(docs: DataFrame, common, id_col: str, text_col: str, k: int, perce
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["_id", "n", "digest", "prefix"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
-    return materialise(rows.mapInArrow(build, "_id bigint, n bigint, digest binary, prefix array<bigint>"))
+    return materialise(rows.mapInArrow(tidy(build), "_id bigint, n bigint, digest binary, prefix array<bigint>"))
 
 
 def segment_table(docs: DataFrame, wanted: DataFrame, common, id_col: str, text_col: str, k: int) -> tuple[DataFrame, DataFrame]:
@@ -130,7 +134,7 @@ def segment_table(docs: DataFrame, wanted: DataFrame, common, id_col: str, text_
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), whole), pa.array(often, pa.bool_())], ["_id", "f", "seg", "often"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text")).join(wanted, "_id")
-    written = materialise(rows.select("_id", "_text", "often").mapInArrow(build, "_id bigint, f int, seg array<bigint>, often boolean"))
+    written = materialise(rows.select("_id", "_text", "often").mapInArrow(tidy(build), "_id bigint, f int, seg array<bigint>, often boolean"))
     once = written.where(~F.col("often")).drop("often")
     return once.unionByName(written.where("often").drop("often").dropDuplicates(["_id", "f"])), written
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertsieve.llm import common, language, lm_scoring, sentencepiece_fst
+from alertsieve.llm import common, jaccard, language, lm_scoring, sentencepiece_fst
 from alertsieve.llm.pieces import PieceModel
 
 
@@ -87,3 +87,23 @@ def test_workers_forget_the_encoder():
     common.drop_kept()
     before = []
     assert list(common.tidy(lambda b: (before.append(x) or x for x in b))(iter([1, 2]))) == before == [1, 2]
+
+
+def test_shingles_are_counted_in_place():
+    """pipeline, op4: a worker took four more arrays of a chunk's size to count its shingles, and kept them"""
+    x = np.random.default_rng(5).integers(0, 1 << 16, 1 << 18).astype(np.uint64) ** 2 // np.uint64(1 << 14)
+    values, counts = np.unique(x, return_counts=True)
+    for most in (1 << 20, 50):
+        keep = np.flatnonzero(counts >= 3)
+        keep = keep[np.argsort(-counts[keep], kind="stable")[:most]]
+        got = jaccard.thrice(x.copy(), most)
+        assert got.column(0).to_pylist() == values[keep].tolist() and got.column(1).to_pylist() == counts[keep].tolist()
+    for few in ([], [7], [7, 7], [7, 7, 7]):
+        assert jaccard.thrice(np.array(few, np.uint64), 9).num_rows == (len(few) == 3)
+    x = np.random.default_rng(6).integers(0, 1 << 62, 1 << 20).astype(np.uint64)  # hardly any number twice, as most shingles
+    tracemalloc.start()
+    jaccard.thrice(x, 9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < x.nbytes // 2
+    assert common.SLICE_BYTES <= 1 << 18  # about 40 bytes for each byte of a slice are held to hash its words
