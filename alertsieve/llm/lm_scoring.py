@@ -37,6 +37,8 @@ CHUNK = 1 << 22  # tokens that a task counts at once
 SHARD_TOKENS = 1 << 21  # tokens whose histories are merged at once
 PART = 1024  # keys in a packed row, so that a batch of rows is small
 PARTS = 64  # packed rows that a task adds up at once
+TASK_KEYS = 1 << 23  # keys for which a task of a round sends a table of sums, so that the tables follow the input
+STEPS = 16  # hot words of one slot that are looked at one by one
 PIECE = 8192  # sums in a row of the shuffle
 STEP = 8192  # histories whose softmax is computed at once
 ROUNDS = 10
@@ -52,6 +54,28 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words, edges[1:], END), edges + np.arange(len(edges))
 
 
+def slots_of(hashes: np.ndarray) -> tuple[int, np.ndarray, int]:
+    """For sorted hashes: the shift that gives a hash's slot, where the hashes of each slot begin, and the most of a slot."""
+    bits = len(hashes).bit_length() + 1
+    begin = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)
+    return 64 - bits, begin, int(np.diff(begin, append=len(hashes)).max())
+
+
+def places_among(hashes: np.ndarray, slots: tuple[int, np.ndarray, int], tokens: np.ndarray) -> np.ndarray:
+    """Places of the tokens among sorted hashes, or -1. Hashes are spread evenly, so a token's slot gives its place up to a few."""
+    if not len(hashes):
+        return np.full(len(tokens), -1)
+    shift, begin, most = slots
+    if most > STEPS:
+        at = np.minimum(np.searchsorted(hashes, tokens), len(hashes) - 1)
+    else:
+        at = begin.take((tokens >> np.uint64(shift)).astype(np.intp)).astype(np.intp)
+        for _ in range(most - 1):
+            at += hashes.take(at, mode="clip") < tokens
+        np.minimum(at, len(hashes) - 1, out=at)
+    return np.where(hashes.take(at) == tokens, at, -1)
+
+
 @dataclass
 class Vocabulary:
     hashes: np.ndarray  # of the hot words, sorted
@@ -61,12 +85,13 @@ class Vocabulary:
     total: int  # training tokens
     distinct: int
 
+    @cached_property
+    def slots(self) -> tuple[int, np.ndarray, int]:
+        return slots_of(self.hashes)
+
     def look_up(self, tokens: np.ndarray) -> np.ndarray:
         """Places of the tokens among the hot words, or -1."""
-        if not len(self.hashes):
-            return np.full(len(tokens), -1)
-        at = np.minimum(np.searchsorted(self.hashes, tokens), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == tokens, at, -1)
+        return places_among(self.hashes, self.slots, tokens)
 
     @cached_property
     def names(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,17 +147,42 @@ def features(history: np.ndarray) -> np.ndarray:
     return out
 
 
-def class_shares(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Softmax of the summed weights of each row's features."""
-    z = weights[at[:, 0]]
+def exponentials(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Exponentials of the summed weights of each row's features, less the largest."""
+    z = weights.take(at[:, 0], axis=0)
+    one = np.empty_like(z)
     for k in range(1, at.shape[1]):
-        z = z + weights[at[:, k]]
+        z += np.take(weights, at[:, k].astype(np.intp), axis=0, out=one, mode="clip")
     z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
+    return np.exp(z, out=z)
+
+
+def class_shares(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Softmax of the summed weights of each row's features."""
+    z = exponentials(weights, at)
     z /= z.sum(1, keepdims=True)
     return z
 
 
+def class_logs(weights: np.ndarray, at: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """log10 of the softmax at each row's class, ``STEP`` rows at once."""
+    out = np.empty(len(at), weights.dtype)
+    for i in range(0, len(at), STEP):
+        z, c = exponentials(weights, at[i : i + STEP]), classes[i : i + STEP]
+        out[i : i + STEP] = z[np.arange(len(c)), c] / z.sum(1)
+    return np.log10(np.maximum(out, 1e-30))
+
+
+def renumbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets in ``x``, and for each row the place of its bucket among them."""
+    seen = np.zeros(BUCKETS, bool)
+    seen[x] = True
+    found = np.flatnonzero(seen)
+    place = np.empty(BUCKETS, np.intp)
+    place[found] = np.arange(len(found))
+    return found, place[x]
+
+
 def byte_places(x: np.ndarray) -> bytes:
     """Numbers from 0 on as their lowest bytes, then their next ones, and so on; few bytes that compress well if the numbers are small."""
     places = (int(x.max(initial=0)).bit_length() + 7) // 8
@@ -210,11 +260,12 @@ def build_vocabulary(texts: DataFrame, counts: DataFrame, hot: int = HOT) -> Voc
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = sent.value
+        slots = slots_of(known)
         for tokens in _chunks(batches):
             if not len(known):
                 continue
-            at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-            hit = known[at] == tokens
+            at = places_among(known, slots, tokens)
+            hit = at >= 0
             pair = np.flatnonzero(hit[1:] & hit[:-1] & (rank[at[:-1]] < LEADERS))
             found, n = np.unique(at[pair + 1] * LEADERS + rank[at[pair]], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found // LEADERS), pa.array(found % LEADERS), pa.array(n.astype(np.int64))], ["w", "leader", "n"])
@@ -278,11 +329,13 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.
     """Weights (BUCKETS x CLASSES) after rounds of gradient sums over all histories."""
     context = texts.sparkSession.sparkContext
     counted = count_histories(texts, vocabulary)
+    keys = counted.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    tasks = min(context.defaultParallelism, max(1, -(-keys // TASK_KEYS)))
 
     def added(start) -> np.ndarray:
         """The sum of the (CLASSES x BUCKETS) tables that the tasks add to, by the function that ``start`` gives each task.
 
-        A task for each core, as each sends a whole table, in pieces that are added up by shuffle.
+        Each task sends a whole table, in pieces that are added up by shuffle, so there is one for ``TASK_KEYS`` keys and for each core at most.
         """
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +354,7 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.
             return pa.table({"piece": rows.column("piece")[:1], "sums": pa.array([out.tobytes()], pa.binary())})
 
         kind = "piece int, sums binary"
-        each = counted.coalesce(context.defaultParallelism).mapInArrow(tidy(sums), kind)
+        each = counted.coalesce(tasks).mapInArrow(tidy(sums), kind)
         got = each.groupBy("piece").applyInArrow(whole, kind).toArrow()  # CLASSES * BUCKETS / PIECE rows, never as Python's numbers
         out = np.zeros((CLASSES * BUCKETS // PIECE, PIECE))
         for piece, x in zip(got["piece"].to_pylist(), got["sums"]):
@@ -324,19 +377,21 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.
         def start():
             factors = np.exp(sent.value.T.astype(np.float64))  # a softmax of sums is a share of products, so no history needs an exponential
 
+            room = np.empty((CLASSES + 1, PARTS * PART))
+
             def add(total: np.ndarray, keys: np.ndarray, n: np.ndarray) -> None:
                 history, n = add_up(keys // CLASSES, n)
-                at = list(features(history)[:, 1:].T.astype(np.intp))
-                shares = np.empty((CLASSES, len(history)))
-                for c, f in enumerate(factors):
-                    shares[c] = f[0]
-                    for x in at:
-                        shares[c] *= f.take(x)
+                shares, x = room[:CLASSES, : len(history)], room[CLASSES, : len(history)]
+                near, *others = kinds = [renumbered(at) for at in features(history)[:, 1:].T]  # so few numbers of a class are used that a core's cache holds them
+                for f, share in zip(factors, shares):
+                    np.take(f[near[0]] * f[0], near[1], out=share, mode="clip")
+                    for found, at in others:
+                        share *= np.take(f[found], at, out=x, mode="clip")
                 shares *= n / shares.sum(axis=0)
                 total[:, 0] += shares.sum(axis=1)
-                for c in range(CLASSES):
-                    for x in at:
-                        np.add.at(total[c], x, shares[c])
+                for sums, share in zip(total, shares):
+                    for found, at in kinds:
+                        sums[found] += np.bincount(at, share, len(found))
 
             return add
 
@@ -384,7 +439,7 @@ def score(docs: DataFrame, learned: Column, id_col: str = "doc_id", text_col: st
             classes = class_of(words, places)
             known = places >= 0
             at = features(histories(words, places, classes, edges))
-            value = np.concatenate([np.log10(np.maximum(class_shares(model, at[i : i + STEP])[np.arange(len(c := classes[i : i + STEP])), c], 1e-30)) for i in range(0, len(at), STEP)])
+            value = class_logs(model, at, classes)
             value = value.astype(np.float64)
             value[known] += shares[places[known]]
             value[~known] -= rare_size

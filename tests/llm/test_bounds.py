@@ -107,3 +107,33 @@ def test_shingles_are_counted_in_place():
     tracemalloc.stop()
     assert peak < x.nbytes // 2
     assert common.SLICE_BYTES <= 1 << 18  # about 40 bytes for each byte of a slice are held to hash its words
+
+
+def test_rounds_send_a_table_for_many_histories(spark, monkeypatch):
+    """op1: each round sent a table for each core, however few histories there were, so what was sent did not follow the input"""
+    frame = spark.createDataFrame([(" ".join(f"w{x}" for x in np.random.default_rng(i).integers(0, 99, 50)),) for i in range(100)], "_text string").repartition(9)
+    words = lm_scoring.build_vocabulary(frame, lm_scoring.count_words(frame))
+    tasks, plain = [], type(frame).coalesce
+    monkeypatch.setattr(type(frame), "coalesce", lambda self, n: (tasks.append(n), plain(self, n))[1])
+    one = lm_scoring.train(frame, words, rounds=2)
+    assert tasks == [1, 1, 1]
+    monkeypatch.setattr(lm_scoring, "TASK_KEYS", 1500)
+    two = lm_scoring.train(frame, words, rounds=2)
+    assert 1 < tasks[-1] <= spark.sparkContext.defaultParallelism
+    assert np.allclose(one, two, rtol=1e-6)
+
+
+def test_hot_words_are_found_by_slots(monkeypatch):
+    """op1: each token of three passes was looked up by bisection over all hot words"""
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 2, 1000, 5000):
+        hashes = np.unique(np.append(rng.integers(0, 1 << 62, max(0, n - 2)).astype(np.uint64) << np.uint64(2), np.array([0, 2**64 - 1][:n], np.uint64)))
+        words = lm_scoring.Vocabulary(hashes, np.ones(len(hashes), int), np.arange(len(hashes)), np.zeros(len(hashes), int), 1, 1)
+        tokens = np.concatenate([hashes, hashes + np.uint64(1), rng.integers(0, 1 << 62, 500).astype(np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        want = [{h: i for i, h in enumerate(hashes.tolist())}.get(t, -1) for t in tokens.tolist()]
+        assert words.look_up(tokens).tolist() == want
+        if n == 5000:
+            assert words.slots[2] <= lm_scoring.STEPS
+        monkeypatch.setattr(lm_scoring, "STEPS", 0)  # as for uneven hashes
+        assert words.look_up(tokens).tolist() == want
+        monkeypatch.undo()
